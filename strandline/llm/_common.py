@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Bytes of text handled at once inside a task.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C13)  # odd, 3 modulo 8
 BASE2 = U64(0xC2B2AE3D27D4EB4B)
