@@ -21,12 +21,14 @@ repeated pairs; no items or no documents give no pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _common as C
 
@@ -137,20 +139,22 @@ class _Filter:
         return self.table[self._at(x)]
 
 
-def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, hashes: int = 64, block: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Pairs kid, doc_id, item_id, n_shared, n_shingles, containment with containment >= threshold."""
-    docs = C.keyed(docs, id_col, text_col)
-    spark = docs.sparkSession
+def item_blocks(items: DataFrame, n: int = 5, threshold: float = 0.8, hashes: int = 64, block: int = 20_000, item_id: str = "item_id", item_text: str = "text") -> Iterator[ItemIndex]:
+    """Indexes of the distinct items, ``block`` of them at a time (about; they are dealt by hash)."""
     items = items.select(items[item_id].alias("item_id"), items[item_text].cast("string").alias("text")).distinct()
-    kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    schema = f"kid long, doc_id {kinds[0]}, item_id {kinds[1]}, n_shared long, n_shingles long"
-    count = items.count()
-    blocks = max(1, -(-count // block))
-    dealt = items.withColumn("b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))) if blocks > 1 else items.withColumn("b", F.lit(0))
+    blocks = max(1, -(-items.count() // block))
+    dealt = items.withColumn("b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    for b in range(blocks):
+        yield ItemIndex([(r.item_id, r.text) for r in dealt.where(F.col("b") == b).orderBy("item_id", "text").collect()], n, hashes, threshold)
 
-    def one(b: int) -> DataFrame:
-        index = ItemIndex([(r.item_id, r.text) for r in dealt.where(F.col("b") == b).orderBy("item_id", "text").collect()], n, hashes, threshold)  # about ``block`` short texts
 
+def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """Pairs doc_id, item_id, n_shared, n_shingles, containment; ``how`` as in ``item_blocks``."""
+    docs = C.keyed(docs, id_col, text_col).select("doc_id", "text")
+    kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema[how.get("item_id", "item_id")].dataType
+    item_kind = to_arrow_type(kinds[1])
+
+    def one(index: ItemIndex) -> DataFrame:
         def emit(batches):
             for batch in batches:
                 data, offsets = C.buffers(batch.column("text"))
@@ -158,24 +162,36 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: fl
                     hits = index.search(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                     if hits:
                         row, item, shared, size = zip(*hits)
-                        at = pa.array([lo + r for r in row])
-                        yield pa.record_batch([batch.column("kid").take(at), batch.column("doc_id").take(at), pa.array(item, kind), pa.array(shared, pa.int64()), pa.array(size, pa.int64())], names=["kid", "doc_id", "item_id", "n_shared", "n_shingles"])
-
-        from pyspark.sql.pandas.types import to_arrow_type
+                        yield pa.record_batch([batch.column("doc_id").take(pa.array([lo + r for r in row])), pa.array(item, item_kind), pa.array(shared, pa.int64()), pa.array(size, pa.int64())], names=["doc_id", "item_id", "n_shared", "n_shingles"])
 
-        kind = to_arrow_type(items.schema["item_id"].dataType)
-        return docs.mapInArrow(emit, schema)
+        return docs.mapInArrow(emit, f"doc_id {kinds[0]}, item_id {kinds[1].simpleString()}, n_shared long, n_shingles long")
 
-    if not count:
-        return spark.createDataFrame([], schema).withColumn("containment", F.lit(0.0))
-    found = reduce(DataFrame.unionByName, map(one, range(blocks)))
+    found = reduce(DataFrame.unionByName, map(one, item_blocks(items, **how)))
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
+def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """The rows, with all their columns, that contain none of the items."""
+    C.findable(docs.sparkSession)
+
+    def one(rows: DataFrame, index: ItemIndex) -> DataFrame:
+        def emit(batches):
+            for batch in batches:
+                data, offsets = C.buffers(batch.column(text_col))
+                keep = np.ones(batch.num_rows, bool)
+                for lo, hi in C.slices(offsets):
+                    keep[[lo + hit[0] for hit in index.search(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]] = False
+                yield batch.filter(pa.array(keep))
+
+        return rows.mapInArrow(emit, docs.schema)
+
+    return reduce(one, item_blocks(items, **how), docs)
+
+
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) pair where the document contains the item."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return contained_items(read("documents"), read("benchmark")).drop("kid")
+    return contained_items(read("documents"), read("benchmark"))
 
 
 ORACLE_SQL = r"""

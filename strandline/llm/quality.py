@@ -106,41 +106,50 @@ def measure(data: np.ndarray, offsets: np.ndarray, min_repeat: int) -> dict[str,
     return out
 
 
-def quality_rules(
-    docs: DataFrame,
-    min_repeat: int = 5,
-    max_covered: float = 0.4,
-    max_longest: int = 200,
-    max_longest_share: float = 0.3,
-    min_words: int = 50,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """kid and doc_id with the counts, base_failed, n_covered, longest_repeat and the verdict ``kept``."""
+LIMITS = {"min_repeat": 5, "max_covered": 0.4, "max_longest": 200, "max_longest_share": 0.3, "min_words": 50}
+
+
+def verdicts(data: np.ndarray, offsets: np.ndarray, limits: dict) -> dict[str, np.ndarray]:
+    m = measure(data, offsets, limits["min_repeat"])
+    n, longest = m["n_words"], m["longest_repeat"]
+    m["base_failed"] = (n < limits["min_words"]) | (100 * m["n_repeat_words"] > 50 * n)
+    good = m["n_covered"] <= limits["max_covered"] * n
+    good &= (longest < limits["min_repeat"]) | (longest <= np.minimum(limits["max_longest"], limits["max_longest_share"] * n))
+    m["kept"] = ~m["base_failed"] & good
+    return m
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """doc_id with the counts, base_failed, n_covered, longest_repeat and the verdict ``kept``; limits as in ``LIMITS``."""
     docs = C.keyed(docs, id_col, text_col)
+    limits = LIMITS | limits
+    longs, flags = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat"], ["base_failed", "kept"]
 
     def emit(batches):
         for batch in batches:
             data, offsets = C.buffers(batch.column("text"))
             for lo, hi in C.slices(offsets):
-                m = measure(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], min_repeat)
-                n = m["n_words"]
-                failed = (n < min_words) | (100 * m["n_repeat_words"] > 50 * n)
-                longest = m["longest_repeat"]
-                good = (m["n_covered"] <= max_covered * n) & ((longest < min_repeat) | (longest <= np.minimum(max_longest, max_longest_share * n)))
-                columns = [m[x] for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-                yield pa.record_batch(
-                    [batch.column("kid").slice(lo, hi - lo), batch.column("doc_id").slice(lo, hi - lo), *[pa.array(x, pa.int64()) for x in columns], pa.array(failed), pa.array(~failed & good), pa.array(m["n_covered"], pa.int64()), pa.array(longest, pa.int64())],
-                    names=["kid", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered", "longest_repeat"],
-                )
+                m = verdicts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], limits)
+                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), *[pa.array(m[x], pa.int64()) for x in longs], *[pa.array(m[x]) for x in flags]], names=["doc_id", *longs, *flags])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(emit, f"kid long, doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_covered long, longest_repeat long")
+    return docs.select("doc_id", "text").mapInArrow(emit, f"doc_id {kind}, " + ", ".join([*(f"{x} long" for x in longs), *(f"{x} boolean" for x in flags)]))
 
 
-def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kid")
+def keep_good(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
+    """The rows, with all their columns, whose text is kept."""
+    C.findable(docs.sparkSession)
+    limits = LIMITS | limits
 
+    def emit(batches):
+        for batch in batches:
+            data, offsets = C.buffers(batch.column(text_col))
+            keep = [verdicts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], limits)["kept"] for lo, hi in C.slices(offsets)]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(emit, docs.schema)
 
-#: The columns that SQL can give; the verdict of the suffix array is tested against brute force.
-BASE_COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
+    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,8 +2,31 @@
 
 from __future__ import annotations
 
+from . import chat, contamination, lines
+from .bpe import op5_bpe_encode_decode
+from .chat import op8_chat_formatting
+from .contamination import op9_benchmark_decontamination
+from .jaccard import op10_ngram_jaccard_join
+from .lines import op1_line_dedup
+from .quality import op7_quality_rules
+from .scoring import op2_lm_scoring
 from .substring import op3_substring_dedup
 from .suffix import op6_suffix_array_dedup
+from .token_files import op4_token_files
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op6_suffix_array_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_lm_scoring,
+        op3_substring_dedup,
+        op4_token_files,
+        op5_bpe_encode_decode,
+        op6_suffix_array_dedup,
+        op7_quality_rules,
+        op8_chat_formatting,
+        op9_benchmark_decontamination,
+        op10_ngram_jaccard_join,
+    )
+}
+ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL, "op8_chat_formatting": chat.ORACLE_SQL, "op9_benchmark_decontamination": contamination.ORACLE_SQL}
