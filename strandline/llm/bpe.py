@@ -12,6 +12,7 @@ the tokenizers library keeps them; rows are independent, so repeated rows agree.
 
 from __future__ import annotations
 
+import gc
 import json
 from array import array
 
@@ -112,49 +113,54 @@ class TrieEncoder:
         return ok
 
     def last(self, ends: tuple, depth: int, states: list[int]) -> tuple[int, int]:
-        """Of the tokens that end at a place, the one that may follow what is before it, and its start."""
-        valid = self.valid
+        """Of the tokens that end at a place, the one that may follow what is before it, and its length."""
         for t, n in ends:
             before = states[depth - n]
-            ok = valid.get(before << 20 | t)
+            ok = self.valid.get(before << 20 | t)
             if ok or ok is None and self.follows(before, t):
-                return t, depth - n
+                return t, n
         raise ValueError("a byte has no token")
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        """Each distinct word's ids (int32) and decoded tokens, each after a space."""
+        """Each distinct word's ids (int32) and decoded tokens, each after a space.
+
+        The trie is held as the sorted words: each one's common prefix with the word before
+        is the path that they share, and going through them is the depth-first walk. The
+        states of the current path are kept by depth.
+        """
         out: dict[bytes, tuple[bytes, bytes]] = {}
-        root: dict = {}
-        long = 0
+        words = sorted(words)
+        deepest = min(LONG_WORD, max(map(len, words), default=0))
+        states, ids, shown, ats = [-1] * (deepest + 1), [b""] * (deepest + 1), [b""] * (deepest + 1), [0] * (deepest + 1)
+        code, inner, final, step, valid, move = self.code, self.inner, self.final, self.step, self.valid.get, self.move
+        before, known = b"", 0  # the word before, and the depth up to which the states are its prefixes'
         for w in words:
-            if len(w) > LONG_WORD:
+            size = len(w)
+            if size > LONG_WORD:
                 out[w] = self._alone(w)
                 continue
-            node = root
-            for ch in w[:-1]:
-                node = node.setdefault(ch, {})
-            node.setdefault(-1, []).append(w)  # the last byte is a symbol of its own
-            long = max(long, len(w))
-        states, ids, shown = [-1] * (long + 1), [b""] * (long + 1), [b""] * (long + 1)
-        code, inner, final, step, last, move = self.code, self.inner, self.final, self.step, self.last, self.move
-        stack: list[tuple[int, dict, int]] = [(0, root, 0)]
-        while stack:
-            depth, node, at = stack.pop()
-            if depth:
-                t, start = last(inner[at], depth, states)
-                states[depth] = t
+            m = min(known, size - 1)
+            same = int.from_bytes(before[:m]) ^ int.from_bytes(w[:m])
+            depth = m - (same.bit_length() + 7) // 8
+            at = ats[depth]
+            for ch in w[depth:]:
+                depth += 1
+                to = step[at].get(ch)
+                at = move(at, ch) if to is None else to
+                for t, n in final[at] if depth == size else inner[at]:  # the last byte is a symbol of its own
+                    start = depth - n
+                    ok = valid(states[start] << 20 | t)
+                    if ok or ok is None and self.follows(states[start], t):
+                        break
+                else:
+                    raise ValueError("a byte has no token")
                 a, b = code[t]
-                ids[depth], shown[depth] = ids[start] + a, shown[start] + b
-            for ch, x in node.items():
-                if ch == -1:
-                    for w in x:
-                        to = step[at].get(w[-1])
-                        t, start = last(final[move(at, w[-1]) if to is None else to], depth + 1, states)
-                        a, b = code[t]
-                        out[w] = ids[start] + a, shown[start] + b
+                if depth == size:
+                    out[w] = ids[start] + a, shown[start] + b
                 else:
-                    to = step[at].get(ch)
-                    stack.append((depth + 1, x, move(at, ch) if to is None else to))
+                    states[depth], ats[depth] = t, at
+                    ids[depth], shown[depth] = ids[start] + a, shown[start] + b
+            before, known = w, size - 1
         return out
 
     def _alone(self, w: bytes) -> tuple[bytes, bytes]:
@@ -162,9 +168,9 @@ class TrieEncoder:
         states, at, back = [-1], 0, [0]
         for d, ch in enumerate(w, 1):
             at = self.move(at, ch)
-            t, start = self.last((self.final if d == len(w) else self.inner)[at], d, states)
+            t, n = self.last((self.final if d == len(w) else self.inner)[at], d, states)
             states.append(t)
-            back.append(start)
+            back.append(d - n)
         tokens, d = [], len(w)
         while d:
             tokens.append(self.code[states[d]])
@@ -193,8 +199,8 @@ class WordBpe:
 
     def _encode(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids and decoded tokens of normalised text without white space or special tokens."""
-        cut = [WORDS.findall(c) for c in chunks]
-        self.words.learn({w for c in cut for w in c})
+        cut = [[c] if c.isalpha() else WORDS.findall(c) for c in chunks]
+        self.words.learn(set().union(*cut))
         get = self.words.__getitem__
         return [get(c[0]) if len(c) == 1 else tuple(map(b"".join, zip(*map(get, c)))) for c in cut]
 
@@ -220,13 +226,16 @@ class WordBpe:
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Each text's ids as native int32, and their tokens decoded (joined by a space)."""
         cut = [self.pieces(t) for t in texts]
-        self.ids.learn({x for p in cut for x in p if x.__class__ is str})
-        get = self.ids.get
-        ids, shown = [], []
-        for p in cut:
-            got = [get(x) or (array("i", [x]).tobytes(), self.shown[x]) for x in p]
-            ids.append(b"".join([x[0] for x in got]))
-            shown.append(b"".join([x[1] for x in got])[1:].decode())
+        self.ids.learn({x for x in set().union(*cut) if x.__class__ is str})
+        get, ids, shown = self.ids.get, [], []
+        for p, text in zip(cut, texts):
+            if "<|" in text:
+                got = [get(x) or (array("i", [x]).tobytes(), self.shown[x]) for x in p]
+            else:
+                got = map(get, p)
+            a, b = zip(*got) if p else ((), ())
+            ids.append(b"".join(a))
+            shown.append(b"".join(b)[1:].decode())
         return ids, shown
 
 
@@ -241,6 +250,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         if vocabulary not in _LOADED:
             _LOADED[vocabulary] = WordBpe(vocabulary)
         model = _LOADED[vocabulary]
+        gc.disable()  # the memory's many small objects form no cycles
         for batch in batches:
             _, offsets = C.buffers(batch.column("text"))
             for lo, hi in C.slices(offsets):

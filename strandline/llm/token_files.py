@@ -16,6 +16,7 @@ rows are repeated documents, ordered by a hash of the text; no rows give no part
 
 from __future__ import annotations
 
+import gc
 import json
 import uuid
 import zlib
@@ -60,8 +61,8 @@ class PieceEncoder:
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk; one that starts with NUL begins a text, any other follows a space."""
-        cut = [PIECES.findall(c[1:] if c[:1] == "\0" else " " + c) for c in chunks]
-        self.pieces.learn({p for c in cut for p in c})
+        cut = [[" " + c] if c.isalpha() else PIECES.findall(c[1:] if c[:1] == "\0" else " " + c) for c in chunks]
+        self.pieces.learn(set().union(*cut))
         get = self.pieces.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -74,7 +75,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
-        self.ids.learn({x for p in cut if p for x in p})
+        self.ids.learn(set().union(*(p for p in cut if p)))
         get = self.ids.__getitem__
         return [b"".join(map(get, p)) if p else self._bytes(self.library.encode(t, add_special_tokens=False).ids) for p, t in zip(cut, texts)]
 
@@ -99,6 +100,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         if vocabulary not in _LOADED:
             _LOADED[vocabulary] = PieceEncoder(vocabulary)
         model = _LOADED[vocabulary]
+        gc.disable()  # the memory's many small objects form no cycles
         end = model._bytes([end_id])
         task = TaskContext.get()
         part = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
