@@ -27,3 +27,19 @@ class Memory(dict):
             self.clear()
             new = list(pieces)
         self.update(zip(new, self.fill(new)))
+
+
+class Lazy(dict):
+    """What each piece encodes to, found out when it is first asked for; ``trim`` keeps it bounded."""
+
+    def __init__(self, find: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.find, self.most = find, most
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self[piece] = self.find(piece)
+        return out
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.clear()

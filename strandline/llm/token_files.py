@@ -32,11 +32,14 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 from .bpe import byte_alphabet
-from .pieces import PLAIN, Memory
+from .pieces import PLAIN, Lazy
 
 #: How the tokenizer cuts text before it merges.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+#: ASCII characters that ``PLAIN`` leaves out.
+SEPARATORS = regex.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+
 
 class PieceEncoder:
     """Encodes with the tokenizers library, each distinct chunk between spaces, and each piece in it, once."""
@@ -48,36 +51,36 @@ class PieceEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.shown = {b: c for c, b in byte_alphabet().items()}
-        self.ids = Memory(self._encode, 500_000)
-        self.pieces = Memory(self._merge)
+        self.tokenize = self.library.model.tokenize
+        self.ids, self.pieces = Lazy(self._chunk, 1_200_000), Lazy(self._merge, 600_000)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes()
 
-    def _merge(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that the pre-tokenizer keeps whole."""
-        tokenize, shown = self.library.model.tokenize, self.shown
-        return [self._bytes([t.id for t in tokenize(p.encode().decode("latin-1").translate(shown))]) for p in pieces]
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk; one that starts with NUL begins a text, any other follows a space."""
-        cut = [[" " + c] if c.isalpha() else PIECES.findall(c[1:] if c[:1] == "\0" else " " + c) for c in chunks]
-        self.pieces.learn(set().union(*cut))
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
-
-    def chunks(self, text: str) -> list[str] | None:
-        """The text cut at its spaces, where no merge crosses; None: it must be encoded as a whole."""
-        if "  " in text or "\0" in text or not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return None
-        first, *rest = text.split(" ")
-        return ["\0" + first, *rest]
+    def _merge(self, piece: str) -> bytes:
+        """Ids of a piece that the pre-tokenizer keeps whole."""
+        return self._bytes([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.shown))])
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk; one that starts with NUL begins a text, any other follows a space."""
+        if chunk.isalpha():
+            return self.pieces[" " + chunk]
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(chunk[1:] if chunk[:1] == "\0" else " " + chunk)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) for t in texts]
-        self.ids.learn(set().union(*(p for p in cut if p)))
-        get = self.ids.__getitem__
-        return [b"".join(map(get, p)) if p else self._bytes(self.library.encode(t, add_special_tokens=False).ids) for p, t in zip(cut, texts)]
+        """A text is cut at its spaces, where no merge crosses, unless it has something out of the common."""
+        self.ids.trim()
+        self.pieces.trim()
+        get, special, out = self.ids.__getitem__, self.special, []
+        for text in texts:
+            plain = (text.isascii() and not SEPARATORS.search(text)) or PLAIN.fullmatch(text)
+            if not plain or "  " in text or any(s in text for s in special):
+                out.append(self._bytes(self.library.encode(text, add_special_tokens=False).ids))
+            else:
+                chunks = text.split(" ")
+                chunks[0] = "\0" + chunks[0]
+                out.append(b"".join(map(get, chunks)))
+        return out
 
 
 _LOADED: dict[str, PieceEncoder] = {}
