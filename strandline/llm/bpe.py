@@ -190,7 +190,7 @@ class WordBpe:
         self.shown = {i: b" " + s.encode() for s, i in [*model["vocab"].items(), *self.special.items()]}
         self.encoder = TrieEncoder(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"], self.shown)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
-        self.ids, self.words = Memory(self._encode), Memory(self._merge, 300_000)
+        self.ids, self.words = Memory(self._encode, 800_000), Memory(self._merge, 500_000)
 
     def _merge(self, words: list[str]) -> list[tuple[bytes, bytes]]:
         raw = [w.encode() for w in words]
