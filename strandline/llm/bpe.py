@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as C
-from .pieces import PLAIN, Memory
+from .pieces import PLAIN, Memory, plain_bytes
 
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: A longer word is walked alone, without a trie.
@@ -190,7 +190,7 @@ class WordBpe:
         self.shown = {i: b" " + s.encode() for s, i in [*model["vocab"].items(), *self.special.items()]}
         self.encoder = TrieEncoder(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"], self.shown)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
-        self.ids, self.words = Memory(self._encode, 800_000), Memory(self._merge, 500_000)
+        self.ids, self.words = Memory(self._encode, 1_500_000), Memory(self._merge, 1_000_000)
 
     def _merge(self, words: list[str]) -> list[tuple[bytes, bytes]]:
         raw = [w.encode() for w in words]
@@ -204,9 +204,9 @@ class WordBpe:
         get = self.words.__getitem__
         return [get(c[0]) if len(c) == 1 else tuple(map(b"".join, zip(*map(get, c)))) for c in cut]
 
-    def chunks(self, text: str) -> list[str]:
+    def chunks(self, text: str, plain: bool) -> list[str]:
         """Normalised text cut at white space; characters beyond ``PLAIN`` are left to the library's rules."""
-        if PLAIN.fullmatch(text):
+        if plain or PLAIN.fullmatch(text):
             return text.lower().split()
         if self.library is None:
             from tokenizers import Tokenizer
@@ -215,17 +215,20 @@ class WordBpe:
         text = self.library.normalizer.normalize_str(text)
         return [bytes(self.of[c] for c in w).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def pieces(self, text: str) -> list[str | int]:
+    def pieces(self, text: str, plain: bool) -> list[str | int]:
         if "<|" not in text:
-            return self.chunks(text)
+            return self.chunks(text, plain)
         out: list = []
         for part in self.cut.split(text):
-            out += [self.special[part]] if part in self.special else self.chunks(part)
+            out += [self.special[part]] if part in self.special else self.chunks(part, plain)
         return out
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """Each text's ids as native int32, and their tokens decoded (joined by a space)."""
-        cut = [self.pieces(t) for t in texts]
+    def encode(self, texts: list[str], plain: bool = False) -> tuple[list[bytes], list[bytes]]:
+        """Each text's ids as native int32, and their tokens decoded (joined by a space, UTF-8).
+
+        plain: all texts are known to be ``PLAIN``.
+        """
+        cut = [self.pieces(t, plain) for t in texts]
         self.ids.learn({x for x in set().union(*cut) if x.__class__ is str})
         get, ids, shown = self.ids.get, [], []
         for p, text in zip(cut, texts):
@@ -235,7 +238,7 @@ class WordBpe:
                 got = map(get, p)
             a, b = zip(*got) if p else ((), ())
             ids.append(b"".join(a))
-            shown.append(b"".join(b)[1:].decode())
+            shown.append(b"".join(b)[1:])
         return ids, shown
 
 
@@ -252,9 +255,9 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         model = _LOADED[vocabulary]
         gc.disable()  # the memory's many small objects form no cycles
         for batch in batches:
-            _, offsets = C.buffers(batch.column("text"))
-            for lo, hi in C.slices(offsets):
-                ids, shown = model.encode(batch.column("text").slice(lo, hi - lo).to_pylist())
+            data, offsets = C.buffers(batch.column("text"))
+            for lo, hi in C.slices(offsets, 4 << 20):
+                ids, shown = model.encode(batch.column("text").slice(lo, hi - lo).to_pylist(), plain_bytes(data[offsets[lo] : offsets[hi]]))
                 flat = np.frombuffer(b"".join(ids), "<i4")
                 at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
                 yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(shown, pa.string())], names=["doc_id", "ids", "decoded"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import regex
 
 #: Characters whose classes agree between the tokenizers library and the regex module:
@@ -11,6 +12,20 @@ import regex
 PLAIN = regex.compile(r"[\n\t\r\x20-\x7e¡-ɏ]*")
 
 
+#: Bytes that are in no ``PLAIN`` text: controls, and what begins a character beyond U+024F.
+_ODD = np.zeros(256, bool)
+_ODD[[*range(9), 11, 12, *range(14, 32), 127, *range(0xCA, 256)]] = True
+
+
+def plain_bytes(data: np.ndarray) -> bool:
+    """Whether UTF-8 bytes, of many texts at once, have ``PLAIN`` characters only; False may err."""
+    if _ODD[data].any():
+        return False
+    at = np.flatnonzero((data[:-1] == 0xC2) | (data[:-1] == 0xC9))
+    lead, second = data[at], data[at + 1]
+    return not ((lead == 0xC2) & (second <= 0xA0) | (lead == 0xC9) & (second > 0x8F)).any()
+
+
 class Memory(dict):
     """What each piece encodes to. ``fill`` encodes new pieces together; emptied when it gets large."""
 

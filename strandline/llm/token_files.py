@@ -32,14 +32,11 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 from .bpe import byte_alphabet
-from .pieces import PLAIN, Lazy
+from .pieces import PLAIN, Lazy, plain_bytes
 
 #: How the tokenizer cuts text before it merges.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-#: ASCII characters that ``PLAIN`` leaves out.
-SEPARATORS = regex.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
-
 
 class PieceEncoder:
     """Encodes with the tokenizers library, each distinct chunk between spaces, and each piece in it, once."""
@@ -52,7 +49,7 @@ class PieceEncoder:
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.shown = {b: c for c, b in byte_alphabet().items()}
         self.tokenize = self.library.model.tokenize
-        self.ids, self.pieces = Lazy(self._chunk, 1_200_000), Lazy(self._merge, 600_000)
+        self.ids, self.pieces = Lazy(self._chunk, 2_000_000), Lazy(self._merge, 900_000)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes()
@@ -67,14 +64,16 @@ class PieceEncoder:
             return self.pieces[" " + chunk]
         return b"".join(map(self.pieces.__getitem__, PIECES.findall(chunk[1:] if chunk[:1] == "\0" else " " + chunk)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """A text is cut at its spaces, where no merge crosses, unless it has something out of the common."""
+    def encode(self, texts: list[str], plain: bool = False) -> list[bytes]:
+        """A text is cut at its spaces, where no merge crosses, unless it has something out of the common.
+
+        plain: all texts are known to be ``PLAIN``.
+        """
         self.ids.trim()
         self.pieces.trim()
         get, special, out = self.ids.__getitem__, self.special, []
         for text in texts:
-            plain = (text.isascii() and not SEPARATORS.search(text)) or PLAIN.fullmatch(text)
-            if not plain or "  " in text or any(s in text for s in special):
+            if not plain and not PLAIN.fullmatch(text) or "  " in text or any([s in text for s in special]):
                 out.append(self._bytes(self.library.encode(text, add_special_tokens=False).ids))
             else:
                 chunks = text.split(" ")
@@ -115,9 +114,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             for batch in batches:
                 sink = sink or pa.ipc.new_stream(names, pa.schema([batch.schema.field("doc_id")]))
                 sink.write_batch(batch.select(["doc_id"]))
-                _, limits = C.buffers(batch.column("text"))
+                data, limits = C.buffers(batch.column("text"))
                 for lo, hi in C.slices(limits):
-                    coded = [x + end for x in model.encode(batch.column("text").slice(lo, hi - lo).to_pylist())]
+                    coded = [x + end for x in model.encode(batch.column("text").slice(lo, hi - lo).to_pylist(), plain_bytes(data[limits[lo] : limits[hi]]))]
                     ids.write(b"".join(coded))
                     ends = total + np.cumsum([len(x) // model.width for x in coded])
                     offsets.write(ends.astype("<u8").tobytes())
