@@ -7,8 +7,8 @@ their value: only sets that share the sampled tokens go down the same path. Buck
 most ``BUCKET`` sets are compared by brute force on the sketches; larger ones are split again.
 The number of runs follows from the target recall.
 
-Pairs whose sketches agree well enough tie their sets to a candidate group (a bucket that is
-still large at depth ``DEPTH`` as a whole); every pair of a group is then verified on the exact
+Pairs whose sketches agree well enough tie their sets to a candidate group (a large bucket
+that splitting barely shrinks, or that is still large at depth ``DEPTH``, as a whole); every pair of a group is then verified on the exact
 shingles, in blocks of sets for large groups. So a bucket's misses count only if a pair is
 not tied by any run, and no pairs are written: a block gives each set's number of links and
 the links that span its classes.
@@ -30,7 +30,9 @@ from . import _common as C
 from . import repeats as R
 from .components import components
 
-SKETCH, BUCKET, DEPTH, BLOCK = 128, 256, 6, 256
+SKETCH, BUCKET, DEPTH, BLOCK = 128, 512, 6, 256
+#: A large bucket that keeps so much of the one above shares most tokens: a candidate group as a whole.
+DENSE = 0.6
 _rng = np.random.default_rng(31337)
 FACTORS = _rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) | C.U64(1)
 
@@ -145,21 +147,23 @@ def _ties(rows: DataFrame, least: float) -> DataFrame:
 
 def candidate_ties(nodes: DataFrame, threshold: float, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
     slack = 4 * math.sqrt(threshold * (1 - threshold) / SKETCH)
-    rows = nodes.select("node", "sketch", F.explode("roots").alias("path"))
+    rows = nodes.select("node", "sketch", F.explode("roots").alias("path"), F.lit(None).cast("long").alias("above"))
     ties, level = [], 1
     while True:
-        sizes = C.cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least")).where("m > 1"))
+        sizes = C.cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least"), F.max("above").alias("above")).where("m > 1"))
         small = rows.join(sizes.where(F.col("m") <= bucket).select("path"), "path")
         ties.append(C.cut(_ties(small, threshold - slack)))
-        if not sizes.where(F.col("m") > bucket).limit(1).count():
+        large = sizes.where(F.col("m") > bucket)
+        if not large.limit(1).count():
             break
-        big = rows.join(sizes.where(F.col("m") > bucket), "path")
-        if level == depth:
-            ties.append(C.cut(big.select(F.col("node").alias("a"), F.col("least").alias("b"))))
+        whole = F.lit(level >= depth) | (F.coalesce(F.col("m") / F.col("above"), F.lit(0.0)) >= DENSE)
+        ties.append(C.cut(rows.select("node", "path").join(large.where(whole), "path").select(F.col("node").alias("a"), F.col("least").alias("b"))))
+        if level >= depth:
             break
+        big = rows.drop("above").join(large.where(~whole).select("path", F.col("m").alias("above")), "path")
         split = [F.struct(F.lit(k).alias("k"), (F.pmod(F.xxhash64("path", F.lit(k)), F.lit(SKETCH)).cast("int") + 1).alias("at")) for k in (1, 2)]
-        next_ = big.select("path", "node", "sketch", F.explode(F.array(*split)).alias("c"))
-        rows = C.cut(next_.select("node", "sketch", F.xxhash64("path", "c.k", F.expr("substring(sketch, c.at, 1)")).alias("path")))
+        next_ = big.select("path", "node", "sketch", "above", F.explode(F.array(*split)).alias("c"))
+        rows = C.cut(next_.select("node", "sketch", F.xxhash64("path", "c.k", F.expr("substring(sketch, c.at, 1)")).alias("path"), "above"))
         level += 1
     out = ties[0]
     for t in ties[1:]:
