@@ -1,4 +1,534 @@
-"""Every query of the genomic operators with its SQL."""
+"""Every query of the genomic operators, each with SQL for the same result."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import intervals as I
+from ..functions import sequence as S
+from ..operators import chain as K
+from ..operators import cluster as L
+from ..operators import haplotype as H
+from ..operators import interval_join as J
+from ..operators import support as U
+from .views import oracle, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None, *views: str):
+    """Register a query on views, given to it as DataFrames, and its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[view(spark, sf_dir, v) for v in views])
+        QUERIES[f.__name__].__doc__ = f.__doc__
+        if sql:
+            ORACLES[f.__name__] = oracle(sql.strip(), *views)
+        return f
+
+    return register
+
+
+HIT = ["strand", "t_name", "t_beg", "t_end", "t_len", "mapq", "q_len"]
+
+
+def chained(hits: DataFrame, max_dist: int = 10, max_percent: float = 25) -> DataFrame:
+    return K.chain(hits, "q_name", "q_beg", "q_end", "hit_ord", HIT, max_dist, max_percent)
+
+
+#: Chains by recursion: a row a query and step, with the chain's interval and its hits' ranks in chain order.
+CHAIN_SQL = """WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY q_name ORDER BY q_beg - q_end, hit_ord) AS k FROM hits),
+g AS (
+  SELECT q_name, 1 AS step, q_beg AS cb, q_end AS ce, [k] AS used FROM r WHERE k = 1
+  UNION ALL
+  SELECT g.q_name, g.step + 1, CASE WHEN g.cb > x.q_beg THEN x.q_beg ELSE g.cb END, CASE WHEN g.cb > x.q_beg THEN g.ce ELSE x.q_end END,
+    CASE WHEN g.cb > x.q_beg THEN list_prepend(x.k, g.used) ELSE list_append(g.used, x.k) END
+  FROM g JOIN r x ON x.q_name = g.q_name AND NOT list_contains(g.used, x.k)
+    AND g.cb - {d} <= x.q_end + {d} AND x.q_beg - {d} <= g.ce + {d}
+    AND greatest(least(g.ce, x.q_end) - greatest(g.cb, x.q_beg) + 1, 0) * 100.0::DOUBLE / (g.ce - g.cb + 1) <= {p}
+    AND greatest(least(g.ce, x.q_end) - greatest(g.cb, x.q_beg) + 1, 0) * 100.0::DOUBLE / (x.q_end - x.q_beg + 1) <= {p}
+  QUALIFY row_number() OVER (PARTITION BY g.q_name ORDER BY x.k) = 1
+),
+c AS (SELECT q_name, used, cb, ce FROM g QUALIFY row_number() OVER (PARTITION BY q_name ORDER BY step DESC) = 1),
+m AS (SELECT c.q_name, u.i, r.* EXCLUDE (q_name), len(c.used) AS n FROM c, unnest(range(1, len(c.used) + 1)) AS u(i) JOIN r ON r.q_name = c.q_name AND r.k = c.used[u.i])
+""".replace("{d}", "10").replace("{p}", "25")
+
+
+# hits -------------------------------------------------------------------------------------------
+
+
+@query("SELECT q_name, hit_ord, q_end - q_beg AS hit_len, round((q_end - q_beg) / q_len * 100, 6) AS hit_perc FROM hits WHERE mapq >= 10 AND q_end - q_beg >= 15", "hits")
+def hits_filter_mapq_len(hits):
+    """Quality and length of hits."""
+    n = F.col("q_end") - F.col("q_beg")
+    return hits.where((F.col("mapq") >= 10) & (n >= 15)).select("q_name", "hit_ord", n.alias("hit_len"), F.round(n / F.col("q_len") * 100, 6).alias("hit_perc"))
+
+
+@query("SELECT q_name, count(*) AS n_hits, count(DISTINCT t_name) AS n_templates, max(q_end - q_beg) AS longest, list_sort(list(DISTINCT t_name)) AS templates FROM hits GROUP BY q_name", "hits")
+def hits_group_stats(hits):
+    """Hits by query."""
+    return hits.groupBy("q_name").agg(F.count(F.lit(1)).alias("n_hits"), F.count_distinct("t_name").alias("n_templates"), F.max(F.col("q_end") - F.col("q_beg")).alias("longest"), F.sort_array(F.collect_set("t_name")).alias("templates"))
+
+
+@query("SELECT q_name, hit_ord, q_end - q_beg AS hit_len FROM hits QUALIFY row_number() OVER (PARTITION BY q_name ORDER BY q_end - q_beg DESC, hit_ord) <= 2", "hits")
+def hits_longest_topk(hits):
+    """The longest hits of each query."""
+    w = Window.partitionBy("q_name").orderBy(F.desc("hit_len"), "hit_ord")
+    return hits.withColumn("hit_len", F.col("q_end") - F.col("q_beg")).withColumn("k", F.row_number().over(w)).where("k <= 2").select("q_name", "hit_ord", "hit_len")
+
+
+@query("SELECT q_name FROM hits GROUP BY q_name HAVING count(*) <= 3", "hits")
+def hits_few_per_query(hits):
+    """Queries with few hits."""
+    return hits.groupBy("q_name").count().where("count <= 3").select("q_name")
+
+
+@query(CHAIN_SQL + "SELECT q_name, CAST(len(used) AS BIGINT) AS n_hits, cb AS chain_beg, ce AS chain_end, round((ce - cb) / 1000 * 100, 6) AS coverage FROM c", "hits")
+def chain_coverage(hits):
+    """Greedy chains and how much of the query they cover."""
+    c = chained(hits)
+    return c.select("q_name", F.size("chain").cast("long").alias("n_hits"), F.element_at("chain", 1)["beg"].alias("chain_beg"), F.element_at("chain", -1)["end"].alias("chain_end"), F.round(K.coverage(length=F.element_at("chain", 1)["q_len"]), 6).alias("coverage"))
+
+
+@query(CHAIN_SQL + "SELECT q_name, count(DISTINCT t_name) AS n_templates, list_sort(list(DISTINCT t_name)) AS templates, string_agg(t_name || ':' || t_beg || '-' || t_end, ',' ORDER BY i) AS coords FROM m GROUP BY q_name", "hits")
+def chain_templates(hits):
+    """Templates and coordinates of a chain."""
+    c = chained(hits)
+    names = F.array_sort(F.array_distinct(F.transform("chain", lambda x: x["t_name"])))
+    coords = F.array_join(F.transform("chain", lambda x: F.concat(x["t_name"], F.lit(":"), x["t_beg"].cast("string"), F.lit("-"), x["t_end"].cast("string"))), ",")
+    return c.select("q_name", F.size(names).cast("long").alias("n_templates"), names.alias("templates"), coords.alias("coords"))
+
+
+@query(CHAIN_SQL + "SELECT q_name, CASE WHEN bool_or(strand = '+') AND bool_or(strand = '-') THEN 'COMPLEX_DUP' WHEN bool_or(strand = '+') THEN 'DUP' ELSE 'INV_DUP' END AS dup_type FROM m GROUP BY q_name", "hits")
+def dup_type(hits):
+    """Type of a duplication by the strands of its chain."""
+    return chained(hits).select("q_name", K.duplication_type().alias("dup_type"))
+
+
+@query(
+    CHAIN_SQL
+    + """, s AS (SELECT *, CASE WHEN strand = '+' THEN 'FOR' ELSE 'REV' END AS part, lag(t_beg) OVER w AS pb, lag(t_end) OVER w AS pe FROM m WINDOW w AS (PARTITION BY q_name ORDER BY i))
+SELECT q_name, (CASE WHEN min(t_beg) FILTER (WHERE i = 1) > 10 THEN 'TRUN+' ELSE '' END)
+  || string_agg((CASE WHEN i = 1 THEN '' WHEN t_beg < pb THEN 'JUMP+' WHEN t_beg = pe THEN 'BLUNT+' WHEN t_beg > pe THEN 'DEL+' ELSE 'DUP+' END) || part, '+' ORDER BY i)
+  || (CASE WHEN min(t_len - t_end) FILTER (WHERE i = n) > 10 THEN '+TRUN' ELSE '' END) AS conformation FROM s GROUP BY q_name""",
+    "hits",
+)
+def conformation(hits):
+    """conformation string of a chain."""
+    return chained(hits).select("q_name", K.conformation().alias("conformation"))
+
+
+@query(
+    CHAIN_SQL + ", s AS (SELECT *, strand IS DISTINCT FROM lag(strand) OVER (PARTITION BY q_name ORDER BY i) AS new FROM m) SELECT q_name, string_agg(CASE WHEN strand = '+' THEN 'FOR' ELSE 'REV' END, '+' ORDER BY i) FILTER (WHERE new) AS runs FROM s GROUP BY q_name",
+    "hits",
+)
+def pseudogene_strand_runs(hits):
+    """strands of a chain, run by run."""
+    return chained(hits).select("q_name", K.strand_runs().alias("runs"))
+
+
+CASCADE = """CASE WHEN cov >= 75 AND n_templates = 1 AND n >= 2 THEN 'orphan' WHEN cov >= 75 AND first_t = 'chr1' THEN 'NUMT' WHEN cov >= 75 THEN 'DUP_INTERSPERSED'
+ WHEN cov >= 50 AND plus AND minus THEN 'COMPLEX_DUP' WHEN cov >= 50 AND plus THEN 'DUP' WHEN cov >= 50 THEN 'INV_DUP' ELSE 'unset' END"""
+
+
+@query(
+    CHAIN_SQL
+    + f", f AS (SELECT m.q_name, (min(c.ce) - min(c.cb)) / 1000 * 100 AS cov, count(DISTINCT t_name) AS n_templates, count(*) AS n, min(t_name) FILTER (WHERE i = 1) AS first_t, bool_or(strand = '+') AS plus, bool_or(strand = '-') AS minus FROM m JOIN c USING (q_name) GROUP BY m.q_name) SELECT {CASCADE} AS itype, count(*) AS n_variants, round(avg(cov), 6) AS mean_coverage FROM f GROUP BY 1",
+    "hits",
+)
+def classifier_cascade(hits):
+    """Classes in order of priority, counted."""
+    c = chained(hits)
+    f = c.select(
+        K.coverage(length=F.element_at("chain", 1)["q_len"]).alias("cov"),
+        F.size(F.array_distinct(F.transform("chain", lambda x: x["t_name"]))).alias("n_templates"),
+        F.size("chain").alias("n"),
+        F.element_at("chain", 1)["t_name"].alias("first_t"),
+        F.exists("chain", lambda x: x["strand"] == "+").alias("plus"),
+        F.exists("chain", lambda x: x["strand"] == "-").alias("minus"),
+    )
+    return f.groupBy(F.expr(CASCADE).alias("itype")).agg(F.count(F.lit(1)).alias("n_variants"), F.round(F.avg("cov"), 6).alias("mean_coverage"))
+
+
+# joins ------------------------------------------------------------------------------------------
+
+HB = (("t_name", "t_beg", "t_end"), ("ref", "beg", "end_pos"))
+PERC = "(least(t_end, end_pos) - greatest(t_beg, beg)) / (t_end - t_beg + 1) * 100"
+
+
+@query("SELECT bed_id, count(*) AS n_hits, sum(least(t_end, end_pos) - greatest(t_beg, beg))::BIGINT AS shared FROM hits JOIN bed ON t_name = ref AND t_beg <= end_pos AND beg <= t_end GROUP BY bed_id", "hits", "bed")
+def interval_join(hits, bed):
+    """Overlap join, summed by interval."""
+    shared = F.least("t_end", "end_pos") - F.greatest("t_beg", "beg")
+    return J.interval_join(hits, bed, *HB).groupBy("bed_id").agg(F.count(F.lit(1)).alias("n_hits"), F.sum(shared).alias("shared"))
+
+
+@query(f"SELECT q_name, hit_ord FROM hits WHERE NOT EXISTS (SELECT 1 FROM bed WHERE t_name = ref AND t_beg <= end_pos AND beg <= t_end AND {PERC} >= 10)", "hits", "bed")
+def interval_anti_join(hits, bed):
+    """Hits that no interval covers by 10 percent."""
+    return J.anti_overlap(hits, bed, ["q_name", "hit_ord"], *HB, max_percent=10).select("q_name", "hit_ord")
+
+
+@query(f"SELECT q_name, hit_ord, bed_id, round({PERC}, 6) AS percent FROM hits JOIN bed ON t_name = ref AND t_beg <= end_pos AND beg <= t_end QUALIFY row_number() OVER (PARTITION BY q_name, hit_ord ORDER BY {PERC} DESC, beg, bed_id) = 1", "hits", "bed")
+def interval_top1(hits, bed):
+    """The interval that covers most of a hit."""
+    return J.best_overlap(hits, bed, ["q_name", "hit_ord"], *HB, ties=["beg", "bed_id"]).select("q_name", "hit_ord", "bed_id", F.round("percent", 6).alias("percent"))
+
+
+@query("SELECT id, bed_id FROM variants JOIN bed ON chrom = ref AND pos BETWEEN beg AND end_pos", "variants", "bed")
+def stab_join(variants, bed):
+    """Breakpoints in intervals."""
+    return J.stab(variants.drop("alt"), bed, ("chrom", "pos"), HB[1]).select("id", "bed_id")
+
+
+@query("SELECT v.id, bed_id, CASE WHEN pos BETWEEN beg AND end_pos THEN 0 ELSE abs(least(pos + 200, end_pos) - greatest(pos - 200, beg) - 200) END AS distance FROM variants v JOIN bed ON chrom = ref AND pos - 200 <= end_pos AND beg <= pos + 200", "variants", "bed")
+def repeats_within_buffer(variants, bed):
+    """Intervals within 200 positions, and their distance."""
+    near = J.interval_join(variants.drop("alt").withColumn("pos_end", F.col("pos")), bed, ("chrom", "pos", "pos_end"), HB[1], buffer=200)
+    apart = F.abs(F.least(F.col("pos") + 200, "end_pos") - F.greatest(F.col("pos") - 200, "beg") - 200)
+    return near.select("id", "bed_id", F.when(F.col("pos").between(F.col("beg"), F.col("end_pos")), F.lit(0)).otherwise(apart).cast("long").alias("distance"))
+
+
+@query("SELECT q_name, gene_name, count(*) AS n FROM hits JOIN bed ON t_name = ref AND t_beg <= end_pos AND beg <= t_end GROUP BY q_name, gene_name QUALIFY row_number() OVER (PARTITION BY q_name ORDER BY count(*) DESC, gene_name) = 1", "hits", "bed")
+def gene_vote(hits, bed):
+    """The gene that most hits of a query meet."""
+    votes = J.interval_join(hits, bed, *HB).groupBy("q_name", "gene_name").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("q_name").orderBy(F.desc("n"), "gene_name")
+    return votes.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+
+
+_SELF = "FROM bed a JOIN bed b ON a.ref = b.ref AND a.beg <= b.end_pos AND b.beg <= a.end_pos AND a.bed_id < b.bed_id"
+_LEN = "(least(a.end_pos, b.end_pos) - greatest(a.beg, b.beg) + 1)"
+
+
+def _pairs(bed):
+    b = bed.select(*[F.col(c).alias(f"{c}_b") for c in ("ref", "beg", "end_pos", "bed_id")])
+    return J.interval_join(bed, b, HB[1], ("ref_b", "beg_b", "end_pos_b")).where("bed_id < bed_id_b")
+
+
+@query(f"SELECT a.ref, count(*) AS n_pairs, sum({_LEN})::BIGINT AS shared, count(*) FILTER ({_LEN} / (a.end_pos - a.beg + 1) * 100 >= 60 AND {_LEN} / (b.end_pos - b.beg + 1) * 100 >= 60) AS n_reciprocal {_SELF} GROUP BY a.ref".replace("FILTER (", "FILTER (WHERE "), "bed")
+def overlap_pairs(bed):
+    """Overlapping pairs and reciprocal ones, by reference."""
+    x = ("beg", "end_pos", "beg_b", "end_pos_b")
+    return _pairs(bed).groupBy("ref").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(I.overlap_length(*x)).alias("shared"), F.count_if(I.reciprocal(*x, 60)).alias("n_reciprocal"))
+
+
+@query(
+    f"SELECT CASE WHEN {_LEN.replace('a.', 'x.').replace('b.', 'y.')} > 0 THEN 1 ELSE 0 END AS meets, CASE WHEN x.beg > y.beg THEN 'LEFT' ELSE 'RIGHT' END AS side, count(*) AS n FROM bed x JOIN bed y ON x.ref = y.ref AND x.bed_id + 1 = y.bed_id OR x.ref = y.ref AND x.bed_id + 5 = y.bed_id WHERE x.beg - 5000 <= y.end_pos + 5000 AND y.beg - 5000 <= x.end_pos + 5000 AND greatest(least(x.end_pos, y.end_pos) - greatest(x.beg, y.beg) + 1, 0) / (x.end_pos - x.beg + 1) * 100 <= 25 AND greatest(least(x.end_pos, y.end_pos) - greatest(x.beg, y.beg) + 1, 0) / (y.end_pos - y.beg + 1) * 100 <= 25 GROUP BY ALL",
+    "bed",
+)
+def complementary_pairs(bed):
+    """Neighbours by id that continue each other."""
+    b = bed.select(*[F.col(c).alias(f"{c}_b") for c in ("ref", "beg", "end_pos", "bed_id")])
+    near = bed.withColumn("next", F.explode(F.array(F.col("bed_id") + 1, F.col("bed_id") + 5))).join(b, (F.col("next") == F.col("bed_id_b")) & (F.col("ref") == F.col("ref_b")))
+    x = ("beg", "end_pos", "beg_b", "end_pos_b")
+    side = I.complementary(*x, 5000, 25)
+    return near.where(side.isNotNull()).groupBy((I.overlap_length(*x) > 0).cast("int").alias("meets"), side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT ref, b.b AS tile_beg, least(b.b + 10000, n) AS tile_end FROM (SELECT ref, max(end_pos) AS n FROM bed GROUP BY ref), unnest(range(0, n, 10000)) AS b(b)", "bed")
+def genomic_tiles(bed):
+    """Tiles of each contig."""
+    ends = bed.groupBy("ref").agg(F.max("end_pos").alias("n"))
+    return ends.select("ref", F.inline(I.tiles("n", 10_000))).select("ref", F.col("beg").alias("tile_beg"), F.col("end").alias("tile_end"))
+
+
+@query("SELECT a.ref, a.read_name, count(*) AS n FROM reads a JOIN reads b ON a.read_name = b.read_name AND a.ref <> b.ref AND a.orientation = b.orientation GROUP BY a.ref, a.read_name", "reads")
+def chimeric_alignments(reads):
+    """Alignments of one read on several references."""
+    b = reads.select(F.col("read_name").alias("name_b"), F.col("ref").alias("ref_b"), F.col("orientation").alias("orientation_b"))
+    # per read and reference a count is enough: pairs are products of counts
+    a = reads.groupBy("read_name", "orientation", "ref").agg(F.count(F.lit(1)).alias("n_a"))
+    b = a.select("read_name", "orientation", F.col("ref").alias("ref_b"), F.col("n_a").alias("n_b"))
+    return a.join(b, ["read_name", "orientation"]).where("ref <> ref_b").groupBy("ref", "read_name").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
+
+
+@query("SELECT least(a.ref, b.ref) AS ref_a, greatest(a.ref, b.ref) AS ref_b, count(DISTINCT a.read_name) AS n_reads FROM reads a JOIN reads b ON a.read_name = b.read_name AND a.ref < b.ref GROUP BY 1, 2", "reads")
+def pair_junctions(reads):
+    """Pairs of references that reads join, each pair once."""
+    a = reads.select("read_name", "ref").distinct()
+    b = a.select("read_name", F.col("ref").alias("other"))
+    return a.join(b, "read_name").where("ref < other").groupBy(F.least("ref", "other").alias("ref_a"), F.greatest("ref", "other").alias("ref_b")).agg(F.count(F.lit(1)).alias("n_reads"))
+
+
+# clusters ---------------------------------------------------------------------------------------
+
+_GAPS = "WITH o AS (SELECT *, CASE WHEN beg - lag(beg) OVER w <= 25 THEN 0 ELSE 1 END AS new FROM reads WINDOW w AS (PARTITION BY ref ORDER BY beg, read_ord)), c AS (SELECT *, sum(new) OVER (PARTITION BY ref ORDER BY beg, read_ord ROWS UNBOUNDED PRECEDING) AS cluster FROM o)"
+
+
+def clustered(reads):
+    return L.gap_clusters(reads, ["ref"], "beg", 25, ["read_ord"])
+
+
+@query(_GAPS + " SELECT ref, CAST(cluster AS BIGINT) AS cluster, min(beg) AS beg, max(end_pos) AS end_pos, count(*) AS n FROM c GROUP BY ref, cluster", "reads")
+def gap_clusters(reads):
+    """Clusters by gap."""
+    return clustered(reads).groupBy("ref", "cluster").agg(F.min("beg").alias("beg"), F.max("end_pos").alias("end_pos"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "WITH b AS (SELECT ref, beg // 100 AS bin, min(beg) AS fb, max(end_pos) AS le, count(*) AS n FROM reads WHERE beg // 100 = end_pos // 100 GROUP BY 1, 2), o AS (SELECT *, CASE WHEN bin = lag(bin) OVER w + 1 AND fb - lag(le) OVER w <= 50 THEN 0 ELSE 1 END AS new FROM b WINDOW w AS (PARTITION BY ref ORDER BY bin)), c AS (SELECT *, sum(new) OVER (PARTITION BY ref ORDER BY bin ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT ref, CAST(k AS BIGINT) AS cluster, min(fb) AS beg, max(le) AS \"end\", sum(n)::BIGINT AS n FROM c GROUP BY ref, k HAVING sum(n) >= 2",
+    "reads",
+)
+def bin_clusters(reads):
+    """Clusters of adjacent bins."""
+    return L.bin_clusters(reads, ["ref"], "beg", "end_pos", 100, 50, 2)
+
+
+_ADJ = "WITH o AS (SELECT *, CASE WHEN beg - lag(end_pos) OVER w <= 40000 AND abs(af - lag(af) OVER w) <= 0.3 AND sv_type = lag(sv_type) OVER w THEN 0 ELSE 1 END AS new FROM sv_cells WINDOW w AS (PARTITION BY cell_id, chrom ORDER BY beg, sv_id)), c AS (SELECT *, sum(new) OVER (PARTITION BY cell_id, chrom ORDER BY beg, sv_id ROWS UNBOUNDED PRECEDING) AS grp FROM o)"
+
+
+@query(_ADJ + " SELECT cell_id, chrom, CAST(grp AS BIGINT) AS grp, min(beg) AS beg, max(end_pos) AS end_pos, count(*) AS n, round(avg(af), 6) AS mean_af FROM c GROUP BY cell_id, chrom, grp", "sv_cells")
+def sv_adjacent_groups(svs):
+    """Neighbouring variants merged."""
+    g = L.adjacent_groups(svs, ["cell_id", "chrom"], 40_000, ["sv_id"], same=["sv_type"])
+    return g.groupBy("cell_id", "chrom", "grp").agg(F.min("beg").alias("beg"), F.max("end_pos").alias("end_pos"), F.count(F.lit(1)).alias("n"), F.round(F.avg("af"), 6).alias("mean_af"))
+
+
+@query("WITH g AS (SELECT cell_id, chrom, lead(beg) OVER (PARTITION BY cell_id, chrom ORDER BY beg, sv_id) - end_pos AS gap FROM sv_cells) SELECT cell_id, chrom, count(gap) AS n_gaps, min(gap) AS least_gap, round(median(gap), 6) AS median_gap FROM g GROUP BY cell_id, chrom", "sv_cells")
+def sv_gaps(svs):
+    """Gaps between neighbours and their median."""
+    w = Window.partitionBy("cell_id", "chrom").orderBy("beg", "sv_id")
+    g = svs.withColumn("gap", F.lead("beg").over(w) - F.col("end_pos"))
+    return g.groupBy("cell_id", "chrom").agg(F.count("gap").alias("n_gaps"), F.min("gap").alias("least_gap"), F.round(F.median("gap"), 6).alias("median_gap"))
+
+
+@query("SELECT chrom, w.w AS win, count(*) AS n FROM sv_cells, unnest(range(beg // 50000, end_pos // 50000 + 1)) AS w(w) GROUP BY 1, 2 HAVING count(*) >= 3", "sv_cells")
+def sv_windows(svs):
+    """Tumbling windows with enough variants."""
+    return L.tumbling(svs, ["chrom"], 50_000, 3)
+
+
+@query(
+    "WITH p AS (SELECT cell_id, chrom, coalesce(max(end_pos) OVER (PARTITION BY cell_id, chrom ORDER BY beg, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap_beg, beg AS gap_end FROM sv_cells UNION ALL SELECT cell_id, chrom, max(end_pos), 3100000 FROM sv_cells GROUP BY 1, 2) SELECT * FROM p WHERE gap_beg < gap_end",
+    "sv_cells",
+)
+def complementary_intervals(svs):
+    """What intervals leave free on a chromosome."""
+    return L.gaps_between(svs, ["cell_id", "chrom"], F.lit(3_100_000))
+
+
+_TEL = "WITH o AS (SELECT *, row_number() OVER w AS k, row_number() OVER (PARTITION BY cell_id, chrom ORDER BY beg DESC, sv_id DESC) AS k2, lead(sv_type) OVER w AS nt, lead(beg) OVER w - end_pos AS gap FROM sv_cells WINDOW w AS (PARTITION BY cell_id, chrom ORDER BY beg, sv_id))"
+
+
+@query(
+    _TEL + " SELECT cell_id, chrom, bool_or(k = 1 AND sv_type = 'del' AND beg <= 500000) AS p_del, bool_or(k2 = 1 AND sv_type = 'del' AND 3100000 - end_pos <= 500000) AS q_del, bool_or(k = 1 AND sv_type = 'del' AND beg <= 500000 AND nt IN ('complex', 'dup', 'idup') AND gap <= 400000) AS bfb FROM o GROUP BY cell_id, chrom",
+    "sv_cells",
+)
+def telomeric_del(svs):
+    """Deletions at the arms' ends, and next to a duplication."""
+    key = Window.partitionBy("cell_id", "chrom")
+    w, back = key.orderBy("beg", "sv_id"), key.orderBy(F.desc("beg"), F.desc("sv_id"))
+    o = svs.select("cell_id", "chrom", "sv_type", "beg", "end_pos", F.row_number().over(w).alias("k"), F.row_number().over(back).alias("k2"), F.lead("sv_type").over(w).alias("nt"), (F.lead("beg").over(w) - F.col("end_pos")).alias("gap"))
+    first = (F.col("k") == 1) & (F.col("sv_type") == "del") & (F.col("beg") <= 500_000)
+    last = (F.col("k2") == 1) & (F.col("sv_type") == "del") & (3_100_000 - F.col("end_pos") <= 500_000)
+    return o.groupBy("cell_id", "chrom").agg(F.bool_or(first).alias("p_del"), F.bool_or(last).alias("q_del"), F.bool_or(F.coalesce(first & F.col("nt").isin("complex", "dup", "idup") & (F.col("gap") <= 400_000), F.lit(False))).alias("bfb"))
+
+
+@query("SELECT cell_id, chrom, count(*) FILTER (WHERE haplo = 'h1') AS h1, count(*) FILTER (WHERE haplo = 'h2') AS h2, count(DISTINCT sv_type) AS n_types FROM sv_cells GROUP BY 1, 2", "sv_cells")
+def haplo_counts(svs):
+    """W18 (counts), K09: variants by haplotype."""
+    return svs.groupBy("cell_id", "chrom").agg(F.count_if(F.col("haplo") == "h1").alias("h1"), F.count_if(F.col("haplo") == "h2").alias("h2"), F.count_distinct("sv_type").alias("n_types"))
+
+
+# support ----------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH b AS (SELECT ref, u.b AS bin FROM (SELECT DISTINCT ref FROM reads), unnest(range(0, 51)) AS u(b)), g AS (SELECT ref, beg // 1000 AS bin, count(*) AS n, count(*) FILTER (WHERE orientation = 'PLUS') AS p, count(*) FILTER (WHERE orientation = 'MINUS') AS m FROM reads WHERE mapq >= 10 AND NOT is_dup GROUP BY 1, 2) SELECT ref, bin, coalesce(n, 0) AS total, coalesce(p, 0) AS watson, coalesce(m, 0) AS crick FROM b LEFT JOIN g USING (ref, bin)",
+    "reads",
+)
+def read_depth(reads):
+    """Depth by bin and strand, zeros included."""
+    bins = reads.select("ref").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(50).cast("long"))))
+    return U.read_depth(reads, 1000, bins, least_mapq=10)
+
+
+@query("WITH d AS (SELECT ref, sample, beg // 1000 AS bin, count(*) AS n FROM reads GROUP BY 1, 2, 3) SELECT ref, bin, round(avg(n), 6) AS mean_depth, round(stddev_pop(n), 6) AS std_depth FROM d GROUP BY 1, 2", "reads")
+def depth_consensus(reads):
+    """Mean and deviation of depth over samples."""
+    d = reads.groupBy("ref", "sample", F.floor(F.col("beg") / 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return d.groupBy("ref", "bin").agg(F.round(F.avg("n"), 6).alias("mean_depth"), F.round(F.stddev_pop("n"), 6).alias("std_depth"))
+
+
+@query(
+    _GAPS + " SELECT ref, CAST(cluster AS BIGINT) AS cluster, count(DISTINCT read_name) AS reads, count(DISTINCT read_name) FILTER (WHERE sample = 'TUMOUR') AS tumour, count(DISTINCT read_name) FILTER (WHERE sample = 'NORMAL') AS normal, round(avg(CASE WHEN is_dup THEN 1 ELSE 0 END) * 100, 6) AS dup_perc, round(stddev_pop(end_pos - beg) / avg(end_pos - beg) * 100, 6) AS cv_len FROM c GROUP BY ref, cluster HAVING avg(end_pos - beg) > 0",
+    "reads",
+)
+def support_reads(reads):
+    """Reads, duplicates and variation of length of clusters."""
+    c = clustered(reads).withColumn("len", F.col("end_pos") - F.col("beg"))
+    g = c.groupBy("ref", "cluster").agg(
+        F.count_distinct("read_name").alias("reads"),
+        F.count_distinct(F.when(F.col("sample") == "TUMOUR", F.col("read_name"))).alias("tumour"),
+        F.count_distinct(F.when(F.col("sample") == "NORMAL", F.col("read_name"))).alias("normal"),
+        F.round(F.avg(F.col("is_dup").cast("int")) * 100, 6).alias("dup_perc"),
+        F.avg("len").alias("mean"),
+        F.stddev_pop("len").alias("std"),
+    )
+    return g.where("mean > 0").select("ref", "cluster", "reads", "tumour", "normal", "dup_perc", F.round(F.col("std") / F.col("mean") * 100, 6).alias("cv_len"))
+
+
+@query(_GAPS + ", p AS (SELECT ref, cluster, beg AS position, count(*) AS n FROM c GROUP BY ALL) SELECT ref, CAST(cluster AS BIGINT) AS cluster, position, n FROM p QUALIFY row_number() OVER (PARTITION BY ref, cluster ORDER BY n DESC, position) = 1", "reads")
+def mode_breakpoint(reads):
+    """The modal breakpoint of a cluster."""
+    return U.modal_position(clustered(reads), ["ref", "cluster"], "beg")
+
+
+@query(_GAPS + " SELECT ref, CAST(cluster AS BIGINT) AS cluster, read_ord, end_pos - beg AS len FROM c QUALIFY row_number() OVER (PARTITION BY ref, cluster ORDER BY end_pos - beg, read_ord) = ceil((count(*) OVER (PARTITION BY ref, cluster) - 1) / 2) + 1", "reads")
+def median_length_event(reads):
+    """The upper-median event by length."""
+    c = clustered(reads).withColumn("len", F.col("end_pos") - F.col("beg"))
+    return U.median_member(c, ["ref", "cluster"], "len", ["read_ord"]).select("ref", "cluster", "read_ord", "len")
+
+
+_SUP = _GAPS + ", s AS (SELECT ref, cluster, count(*) AS n, count(DISTINCT read_name) AS reads, count(*) FILTER (WHERE sample = 'NORMAL') AS normal, count(*) FILTER (WHERE sample = 'TUMOUR') AS tumour, avg(CASE WHEN is_dup THEN 1 ELSE 0 END) * 100 AS dup, avg(mapq) AS mapq FROM c GROUP BY ref, cluster)"
+
+
+def _support(reads):
+    return clustered(reads).groupBy("ref", "cluster").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("read_name").alias("reads"),
+        F.count_if(F.col("sample") == "NORMAL").alias("normal"),
+        F.count_if(F.col("sample") == "TUMOUR").alias("tumour"),
+        (F.avg(F.col("is_dup").cast("int")) * 100).alias("dup"),
+        F.avg("mapq").alias("mapq"),
+    )
+
+
+@query(
+    _SUP + " SELECT ref, CAST(cluster AS BIGINT) AS cluster, list_filter([CASE WHEN reads >= 2 THEN NULL ELSE 'MIN-NBREADS' END, CASE WHEN n <= 50 THEN NULL ELSE 'MAX-NBREADS' END, CASE WHEN mapq >= 10 THEN NULL ELSE 'MEAN-MAPQ' END, CASE WHEN normal < 2 THEN NULL ELSE 'GERMLINE' END, CASE WHEN dup < 75 THEN NULL ELSE 'READ-DUP' END], lambda x: x IS NOT NULL) AS failed FROM s",
+    "reads",
+)
+def failed_filters(reads):
+    """Named filters that a cluster fails."""
+    tests = {"MIN-NBREADS": F.col("reads") >= 2, "MAX-NBREADS": F.col("n") <= 50, "MEAN-MAPQ": F.col("mapq") >= 10, "GERMLINE": F.col("normal") < 2, "READ-DUP": F.col("dup") < 75}
+    return _support(reads).select("ref", "cluster", U.failed(**tests).alias("failed"))
+
+
+@query(_SUP + " SELECT coalesce(CASE WHEN tumour >= 2 AND normal >= 1 THEN 'germline' WHEN tumour >= 2 THEN 'somatic-tumour' WHEN normal >= 1 THEN 'somatic-normal' END, 'none') AS origin, count(*) AS n FROM s GROUP BY 1", "reads")
+def mut_origin(reads):
+    """Origin of clusters by their reads in tumour and normal."""
+    origin = F.coalesce(U.mutation_origin(F.col("tumour"), F.col("normal"), 2, 1), F.lit("none"))
+    return _support(reads).groupBy(origin.alias("origin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_GAPS + " SELECT ref, CAST(cluster AS BIGINT) AS cluster, CAST(floor(avg(beg)) AS BIGINT) AS mean_pos, round(stddev_samp(beg) / sqrt(count(*)), 6) AS sem FROM c GROUP BY ref, cluster HAVING count(*) > 1", "reads")
+def mean_pos_sem(reads):
+    """Mean position and its standard error."""
+    g = clustered(reads).groupBy("ref", "cluster").agg(F.avg("beg").alias("m"), F.stddev_samp("beg").alias("s"), F.count(F.lit(1)).alias("n"))
+    return g.where("n > 1").select("ref", "cluster", F.floor("m").alias("mean_pos"), F.round(F.col("s") / F.sqrt("n"), 6).alias("sem"))
+
+
+@query("SELECT ref, read_name, count(*) AS n, sum(end_pos - beg)::BIGINT + max(beg) - min(end_pos) AS merged_len, string_agg(DISTINCT sample, ',' ORDER BY sample) AS samples FROM reads GROUP BY 1, 2", "reads")
+def merge_fragments(reads):
+    """Fragments of one read merged."""
+    return reads.groupBy("ref", "read_name").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("end_pos") - F.col("beg")) + F.max("beg") - F.min("end_pos")).alias("merged_len"), F.array_join(F.sort_array(F.collect_set("sample")), ",").alias("samples"))
+
+
+# sequences --------------------------------------------------------------------------------------
+
+
+@query("SELECT id, length(alt) AS len, " + ", ".join(f"CAST(length(alt) - length(replace(alt, '{b}', '')) AS BIGINT) AS n_{b.lower()}" for b in "ACGT") + ", round(CASE WHEN length(alt) > 0 THEN (length(alt) - length(replace(alt, 'A', ''))) / length(alt) * 100 ELSE 0 END, 6) AS perc_a FROM variants", "variants")
+def base_composition(variants):
+    """Bases counted."""
+    return variants.select("id", F.length("alt").cast("long").alias("len"), *[S.count_base("alt", b).alias(f"n_{b.lower()}") for b in "ACGT"], F.round(S.percent_base("alt", "A"), 6).alias("perc_a"))
+
+
+@query("SELECT id, translate(reverse(upper(alt)), 'ACGTN,', 'TGCANN') AS rc FROM variants", "variants")
+def rev_comp(variants):
+    """reverse complement."""
+    return variants.select("id", S.reverse_complement("alt").alias("rc"))
+
+
+_TAIL = """WITH s AS (SELECT id, alt, length(alt) AS n, u.i AS i FROM variants, unnest(range(0, length(alt) // 10)) AS u(i)),
+f AS (SELECT *, length(replace(substr(alt, n - 10 * (i + 1) + 1, 10), 'A', '')) <= 2 AS pure FROM s),
+g AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY id ORDER BY i) <= 2 THEN 0 ELSE 1 END AS new FROM f WHERE pure),
+k AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM g),
+e AS (SELECT id, any_value(alt) AS alt, any_value(n) AS n, min(i) AS first, max(i) AS last FROM k WHERE run = 1 GROUP BY id),
+r AS (SELECT id, n, n - 10 * (last + 1) - length(regexp_extract(substr(alt, greatest(n - 10 * (last + 1) - 9, 1), least(n - 10 * (last + 1), 10)), 'A*$')) AS beg,
+  n - 10 * first + CASE WHEN first > 0 THEN length(regexp_extract(substr(alt, n - 10 * first + 1, 10), '^A*')) ELSE 0 END AS e FROM e)
+SELECT id, CAST(beg AS BIGINT) AS beg, CAST(e AS BIGINT) AS "end", n - e <= 50 AND beg >= 15 AS is_tail FROM r"""
+
+
+@query(_TAIL, "variants")
+def poly_tail(variants):
+    """The A run nearest to the end, and if it is a tail."""
+    t = variants.select("id", "alt").withColumn("run", S.tail_monomer("alt")).where("run IS NOT NULL")
+    return t.select("id", F.col("run.beg").alias("beg"), F.col("run.end").alias("end"), S.poly_tail("alt").isNotNull().alias("is_tail"))
+
+
+@query(
+    "WITH p AS (SELECT a.id, substr(a.alt, 1, 41) AS target, b.alt AS ins FROM variants a JOIN variants b ON a.variant_ord + 1 = b.variant_ord), m AS (SELECT id, CAST(least(length(target), length(ins)) AS BIGINT) AS m, list_filter(range(1, CAST(least(length(target), length(ins)) AS BIGINT) + 1), lambda i: substr(target, i, 1) <> substr(ins, i, 1)) AS bad FROM p) SELECT id, CASE WHEN coalesce(bad[3] - 1, m) <= 3 THEN 0 ELSE coalesce(bad[3] - 1, m) END AS tsd_len FROM m",
+    "variants",
+)
+def tsd(variants):
+    """target-site duplication between a target of 41 bases and an insert."""
+    b = variants.select((F.col("variant_ord") - 1).alias("variant_ord"), F.col("alt").alias("ins"))
+    return variants.select("variant_ord", "id", F.substring("alt", 1, 41).alias("target")).join(b, "variant_ord").select("id", S.tsd_length("target", "ins").alias("tsd_len"))
+
+
+_CIGAR = "concat(CAST(beg % 30 AS STRING), CASE WHEN read_ord % 2 = 0 THEN 'S' ELSE 'H' END, CAST(50 + mapq AS STRING), 'M', CAST(1 + beg % 9 AS STRING), 'D', CAST(3 + read_ord % 20 AS STRING), 'I', CAST(40 AS STRING), 'M')"
+
+
+@query(
+    f"WITH c AS (SELECT read_ord, orientation, beg % 30 AS clip, {_CIGAR} AS cigar FROM reads) SELECT read_ord, CAST(list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[M=XDN]', 1), lambda x: CAST(x AS BIGINT))) AS BIGINT) AS ref_len, CAST(CASE WHEN orientation = 'MINUS' THEN 0 ELSE clip END AS BIGINT) AS q_beg, CAST(CASE WHEN orientation = 'MINUS' THEN 0 ELSE clip END + list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[M=XI]', 1), lambda x: CAST(x AS BIGINT))) AS BIGINT) AS q_end FROM c",
+    "reads",
+)
+def cigar_lengths(reads):
+    """Lengths and intervals from CIGAR strings."""
+    c = reads.select("read_ord", F.expr(_CIGAR).alias("cigar"), (F.col("orientation") == "MINUS").alias("reverse"))
+    return c.withColumn("q", S.query_interval("cigar", "reverse")).select("read_ord", S.reference_length("cigar").alias("ref_len"), F.col("q.beg").alias("q_beg"), F.col("q.end").alias("q_end"))
+
+
+# haplotypes -------------------------------------------------------------------------------------
+
+_HS = "WITH s AS (SELECT *, 1 - count(*) OVER (PARTITION BY position, status) / count(*) OVER (PARTITION BY position) AS score FROM haplotypes)"
+_HC = _HS + ", t AS (SELECT sample_id AS ref_id, sum(score) AS top FROM s GROUP BY 1), p AS (SELECT a.sample_id AS target_id, b.sample_id AS ref_id, sum(CASE WHEN a.status = b.status THEN b.score ELSE -b.score END) AS sum FROM s a JOIN s b USING (position) WHERE a.sample_id % 2 = 0 AND b.sample_id % 2 = 1 GROUP BY 1, 2), c AS (SELECT target_id, ref_id, round((sum / nullif(top, 0) + 1) / 2, 2) AS score FROM p JOIN t USING (ref_id))"
+
+
+@query(_HS + " SELECT sample_id, position, status, round(score, 6) AS score FROM s", "haplotypes")
+def haplotype_scores(haplotypes):
+    """How telling each value is."""
+    return H.diagnostic_scores(haplotypes).withColumn("score", F.round("score", 6))
+
+
+@query(
+    _HC + ", b AS (SELECT *, max(score) OVER (PARTITION BY target_id) AS best FROM c), g AS (SELECT target_id, max(best) AS best, count(*) FILTER (WHERE score = best) AS nb, min(ref_id) FILTER (WHERE score = best) AS ref_id, max(score) FILTER (WHERE score < best) AS second FROM b GROUP BY 1) SELECT target_id, CASE WHEN nb = 1 AND second > 0 AND round(log2(best / second), 2) >= 0.08 THEN ref_id END AS assigned, best, second FROM g",
+    "haplotypes",
+)
+def haplotype_assign(haplotypes):
+    """Targets (even samples) assigned to references (odd ones)."""
+    scored = H.diagnostic_scores(haplotypes)
+    return H.assign(H.compare(haplotypes.where("sample_id % 2 = 0"), scored.where("sample_id % 2 = 1")))
+
+
+# sets and text ----------------------------------------------------------------------------------
+
+
+@query("SELECT 0 AS class_ord, q_name, hit_ord FROM hits WHERE mapq >= 30 UNION ALL SELECT 1, q_name, hit_ord FROM hits WHERE mapq < 30", "hits")
+def union_order(hits):
+    """A disjoint split put together again, in order of class."""
+    yes = hits.where("mapq >= 30").select(F.lit(0).alias("class_ord"), "q_name", "hit_ord")
+    return yes.unionByName(hits.where("mapq < 30").select(F.lit(1).alias("class_ord"), "q_name", "hit_ord"))
+
+
+@query("SELECT concat_ws(chr(9), chrom, pos, id, ref_allele, alt, '.', 'PASS', 'SVTYPE=INS;INS_LEN=' || length(alt) || CASE WHEN length(alt) > 500 THEN ';LONG' ELSE '' END) AS line FROM variants WHERE length(alt) <= 50000", "variants")
+def vcf_lines(variants):
+    """VCF lines; INFO keys in order, flags bare, nulls left out."""
+    from ..sources.vcf import info_text, line
+
+    info = info_text({"SVTYPE": F.lit("INS"), "INS_LEN": F.length("alt"), "LONG": F.length("alt") > 500}, flags={"LONG"})
+    return variants.where(F.length("alt") <= 50_000).select(line("chrom", "pos", "id", "ref_allele", "alt", F.lit("."), F.lit("PASS"), info).alias("line"))
+
+
+@query("SELECT CASE WHEN length(alt) <= 500 THEN 'sr' ELSE 'map-ont' END AS size_class, count(*) AS n, CAST(sum(length('>' || id || chr(10) || alt)) AS BIGINT) AS fasta_chars FROM variants WHERE length(alt) <= 20000 GROUP BY 1", "variants")
+def fasta_size_classes(variants):
+    """FASTA records by size class."""
+    rows = variants.where(F.length("alt") <= 20_000)
+    return rows.groupBy(F.when(F.length("alt") <= 500, "sr").otherwise("map-ont").alias("size_class")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.concat(F.lit(">"), "id", F.lit("\n"), "alt"))).alias("fasta_chars"))
