@@ -245,7 +245,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     nodes = C.cut(one.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.min("kid").alias("kid"), F.count(F.lit(1)).alias("n_texts"), F.max("size").alias("size"), F.max("sketch").alias("sketch"), F.max("roots").alias("roots")))
     groups = components(candidate_ties(nodes.where("size > 0").select("node", "sketch", "roots"), threshold))
     members = groups.join(nodes.select("node", "kid", "n_texts"), "node")
-    members = C.cut(R.packed(docs).select("kid", "z").join(members, "kid").groupBy("node").agg(F.first("label").alias("label"), F.first("n_texts").alias("n_texts"), F.first("z").alias("z")))
+    members = C.cut(R.packed(docs).select("kid", "z").join(members.hint("merge"), "kid").groupBy("node").agg(F.first("label").alias("label"), F.first("n_texts").alias("n_texts"), F.first("z").alias("z")))
     found = C.cut(_verify(members, n, threshold))
     classes = components(found.where("a <> b").select("a", "b"))
     links = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links"))
