@@ -100,6 +100,13 @@ def packed(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(emit, f"kid long, doc_id {keyed.schema['doc_id'].dataType.simpleString()}, z binary")
 
 
+def packed_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of packed texts in parts of bounded size."""
+    _, offsets = C.buffers(batch.column("z"))
+    for lo, hi in C.slices(offsets, C.SLICE_BYTES // 3):
+        yield batch.slice(lo, hi - lo)
+
+
 def unpack(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     z = zstandard.ZstdDecompressor()
     texts = [z.decompress(x) for x in column.to_pylist()]
@@ -136,8 +143,7 @@ def asked_windows(keyed: DataFrame, ask: DataFrame, symbols: Callable, length: i
 
     def emit(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
+            for part in packed_slices(batch):
                 _, data, offsets = unpack(part.column("z"))
                 sym, at = symbols(data, offsets)
                 roll, back = C.Rolling(sym), C.Rolling(sym, C.BASE2)

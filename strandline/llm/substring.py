@@ -30,8 +30,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, anchor: int = 8,
 
     def emit(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in R.packed_slices(batch):
                 texts, _, _ = R.unpack(part.column("z"))
                 out = []
                 for text, found in zip(texts, part.column("spans").to_pylist()):

@@ -173,8 +173,7 @@ def extend_by_suffix_array(length: int, k: int, most: int = MOST):
 
         def surroundings(batches):
             for batch in batches:
-                for i in range(0, batch.num_rows, 64):
-                    part = batch.slice(i, 64)
+                for part in R.packed_slices(batch):
                     texts, data, offsets = R.unpack(part.column("z"))
                     r = R.runs_of(*R.byte_symbols(data, offsets), length, k)
                     place = (r["row"].astype(np.int64) << 40) + r["s0"]
@@ -226,8 +225,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, seed: int = 48, mo
 
     def emit(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in R.packed_slices(batch):
                 texts, _, _ = R.unpack(part.column("z"))
                 out = []
                 for text, found in zip(texts, part.column("spans").to_pylist()):
