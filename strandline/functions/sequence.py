@@ -30,23 +30,25 @@ def tail_monomer(seq: str, base: str = "A", window: int = 10, max_gap: int = 1,
     ``base``; pure windows with at most max_gap impure ones between them join; then the run
     grows base by base into the next window on each side.
     """
-    n, w = f"length({seq})", window
-    pure = f"length(replace(substring({seq}, CAST({n} - {w} * (i + 1) + 1 AS INT), {w}), '{base}', '')) * 100 <= {w * (100 - purity)}"
-    flags = f"CASE WHEN {n} >= {w} THEN transform(sequence(0, CAST({n} div {w} AS INT) - 1), i -> {pure}) ELSE array() END"
-    first = "CAST(array_position(flags, true) AS INT) - 1"
-    last = f"aggregate(sequence(first, size(flags) - 1), first, (at, i) -> CASE WHEN flags[i] AND i - at <= {max_gap + 1} THEN i ELSE at END)"
-    right = f"CASE WHEN first > 0 THEN length(regexp_extract(substring({seq}, CAST({n} - {w} * first + 1 AS INT), {w}), '^{base}*', 0)) ELSE 0 END"
-    start = f"({n} - {w} * (last + 1))"
-    left = f"length(regexp_extract(substring({seq}, greatest({start} - {w} + 1, 1), least({start}, {w})), '{base}*$', 0))"
-    run = f"struct(CAST({start} - {left} AS LONG) AS beg, CAST({n} - {w} * first + {right} AS LONG) AS end)"
-    # each let-binding is a one-element transform, so that nothing is evaluated twice
-    bound = f"transform(transform(array({flags}), flags -> struct(flags, {first} AS first)), x -> CASE WHEN x.first < 0 THEN NULL ELSE transform(array(struct(x.flags AS flags, x.first AS first, {last.replace('flags', 'x.flags').replace('first', 'x.first')} AS last)), y -> {run.replace('first', 'y.first').replace('(last', '(y.last')})[0] END)[0]"
-    return F.expr(bound)
+    w, impure = window, window * (100 - purity)
+    rev = f"reverse({seq})"  # windows from the end: one pass over the sequence
+    bind = lambda name, value, then: f"transform(array({value}), {name} -> {then})[0]"
+    pure = f"transform(x.w, v -> length(replace(v, '{base}', '')) * 100 <= {impure})"
+    last = f"aggregate(sequence(y.first, size(y.pure) - 1), y.first, (at, i) -> CASE WHEN y.pure[i] AND i - at <= {max_gap + 1} THEN i ELSE at END)"
+    right = f"CASE WHEN z.first > 0 THEN length(regexp_extract(z.w[z.first - 1], '{base}*$', 0)) ELSE 0 END"
+    left = f"length(regexp_extract(CASE WHEN z.last + 1 < size(z.w) THEN z.w[z.last + 1] ELSE substring(z.rev, {w} * size(z.w) + 1) END, '^{base}*', 0))"
+    run = f"struct(CAST(z.n - {w} * (z.last + 1) - {left} AS LONG) AS beg, CAST(z.n - {w} * z.first + {right} AS LONG) AS end)"
+    found = bind("z", f"struct(x.w AS w, x.rev AS rev, length(x.rev) AS n, y.first AS first, {last} AS last)", run)
+    with_pure = bind("y", "struct(p AS pure, CAST(array_position(p, true) AS INT) - 1 AS first)", f"CASE WHEN y.first >= 0 THEN {found} END")
+    return F.expr(bind("x", f"struct(regexp_extract_all({rev}, '.{{{w}}}', 0) AS w, {rev} AS rev)", bind("p", pure, with_pure)))
 
 
 def poly_tail(seq: str, base: str = "A", max_to_end: int = 50, least_begin: int = 15) -> Column:
     """The tail monomer if it ends near enough to the end and begins far enough from the begin."""
-    run = tail_monomer(seq, base)
+    return tail_only(tail_monomer(seq, base), seq, max_to_end, least_begin)
+
+
+def tail_only(run: Column, seq: str, max_to_end: int = 50, least_begin: int = 15) -> Column:
     return F.when((F.length(seq) - run["end"] <= max_to_end) & (run["beg"] >= least_begin), run)
 
 

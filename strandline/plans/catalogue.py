@@ -460,7 +460,7 @@ SELECT id, CAST(beg AS BIGINT) AS beg, CAST(e AS BIGINT) AS "end", n - e <= 50 A
 def poly_tail(variants):
     """The A run nearest to the end, and if it is a tail."""
     t = variants.select("id", "alt").withColumn("run", S.tail_monomer("alt")).where("run IS NOT NULL")
-    return t.select("id", F.col("run.beg").alias("beg"), F.col("run.end").alias("end"), S.poly_tail("alt").isNotNull().alias("is_tail"))
+    return t.select("id", F.col("run.beg").alias("beg"), F.col("run.end").alias("end"), S.tail_only(F.col("run"), "alt").isNotNull().alias("is_tail"))
 
 
 @query(
