@@ -147,12 +147,13 @@ def _ties(rows: DataFrame, least: float) -> DataFrame:
 
 def candidate_ties(nodes: DataFrame, threshold: float, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
     slack = 4 * math.sqrt(threshold * (1 - threshold) / SKETCH)
-    rows = nodes.select("node", "sketch", F.explode("roots").alias("path"), F.lit(None).cast("long").alias("above"))
+    sketches = nodes.select("node", "sketch")
+    rows = nodes.select("node", F.explode("roots").alias("path"), F.lit(None).cast("long").alias("above"))
     ties, level = [], 1
     while True:
         sizes = C.cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least"), F.max("above").alias("above")).where("m > 1"))
         small = rows.join(sizes.where(F.col("m") <= bucket).select("path"), "path")
-        ties.append(C.cut(_ties(small, threshold - slack)))
+        ties.append(C.cut(_ties(small.select("node", "path").join(sketches, "node"), threshold - slack)))
         large = sizes.where(F.col("m") > bucket)
         if not large.limit(1).count():
             break
@@ -160,10 +161,10 @@ def candidate_ties(nodes: DataFrame, threshold: float, bucket: int = BUCKET, dep
         ties.append(C.cut(rows.select("node", "path").join(large.where(whole), "path").select(F.col("node").alias("a"), F.col("least").alias("b"))))
         if level >= depth:
             break
-        big = rows.drop("above").join(large.where(~whole).select("path", F.col("m").alias("above")), "path")
+        big = rows.drop("above").join(large.where(~whole).select("path", F.col("m").alias("above")), "path").join(sketches, "node")
         split = [F.struct(F.lit(k).alias("k"), (F.pmod(F.xxhash64("path", F.lit(k)), F.lit(SKETCH)).cast("int") + 1).alias("at")) for k in (1, 2)]
         next_ = big.select("path", "node", "sketch", "above", F.explode(F.array(*split)).alias("c"))
-        rows = C.cut(next_.select("node", "sketch", F.xxhash64("path", "c.k", F.expr("substring(sketch, c.at, 1)")).alias("path"), "above"))
+        rows = C.cut(next_.select("node", F.xxhash64("path", "c.k", F.expr("substring(sketch, c.at, 1)")).alias("path"), "above"))
         level += 1
     out = ties[0]
     for t in ties[1:]:
@@ -245,7 +246,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     nodes = C.cut(one.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.min("kid").alias("kid"), F.count(F.lit(1)).alias("n_texts"), F.max("size").alias("size"), F.max("sketch").alias("sketch"), F.max("roots").alias("roots")))
     groups = components(candidate_ties(nodes.where("size > 0").select("node", "sketch", "roots"), threshold))
     members = groups.join(nodes.select("node", "kid", "n_texts"), "node")
-    members = C.cut(R.packed(docs).select("kid", "z").join(members.hint("merge"), "kid").groupBy("node").agg(F.first("label").alias("label"), F.first("n_texts").alias("n_texts"), F.first("z").alias("z")))
+    members = C.cut(R.packed(docs).select("kid", "z").join(members, "kid").groupBy("node").agg(F.first("label").alias("label"), F.first("n_texts").alias("n_texts"), F.first("z").alias("z")))
     found = C.cut(_verify(members, n, threshold))
     classes = components(found.where("a <> b").select("a", "b"))
     links = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links"))
