@@ -24,7 +24,7 @@ from . import repeats as R
 #: Bytes that the multikey quicksort looks at.
 SHALLOW = 32
 #: Different surroundings of a seed that are sorted together.
-MOST = 64
+MOST = 32
 
 
 def lcp(a: bytes, b: bytes) -> int:
