@@ -143,7 +143,7 @@ def probabilities(grams: list[np.ndarray], contexts: list[np.ndarray], total: fl
 
 def learn_weights(cells: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Weights by bucket, by expectation-maximisation; cells: bucket, count, estimates."""
-    parts = cells.shape[1] - 2 if cells.size else 1
+    parts = cells.shape[1] - 2
     def em(p, n, w):
         for _ in range(rounds):
             share = w * p
