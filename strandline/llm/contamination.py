@@ -69,6 +69,7 @@ class ItemIndex:
             flat, owner = keys.ravel(), np.repeat(np.array(mine), hashes)
             by = np.argsort(flat, kind="stable")
             self.classes[size] = (flat[by], owner[by])
+        self.filters = {size: _Filter(keys) for size, (keys, _) in self.classes.items()}
 
     @staticmethod
     def _key(j: int, least):
@@ -82,23 +83,24 @@ class ItemIndex:
         edge = np.concatenate(([0], np.cumsum(count)))
         unit = np.concatenate([np.arange(edge[r], edge[r + 1], LEAST_SIZE) for r in np.flatnonzero(count)])
         of_unit = row[unit]
-        next_same = lambda step: np.concatenate((of_unit[step:], np.full(step, -1)))[: len(of_unit)] == of_unit
+        n = len(unit)
+        sizes = [LEAST_SIZE << i for i in range(20) if LEAST_SIZE << i <= max(self.classes)]
+        same = {s: np.flatnonzero(of_unit[s // LEAST_SIZE :] == of_unit[: max(n - s // LEAST_SIZE, 0)]) for s in sizes}
         found: set[tuple[int, int]] = set()
-        filters = {size: _Filter(keys) for size, (keys, _) in self.classes.items()}
         for j, factor in enumerate(self.factors):
             least = np.minimum.reduceat(shingles * factor, unit)
-            size = LEAST_SIZE
-            while size <= max(self.classes):  # least: over size shingles from each unit on
-                step = size // LEAST_SIZE
-                same = next_same(step)[: len(least)]
-                least = np.where(same, np.minimum(least, np.concatenate((least[step:], least[:step]))[: len(least)]), least)
+            for size in sizes:  # least: over twice as many shingles from each unit on
+                go = same[size]
+                longer = least.copy()
+                longer[go] = np.minimum(least[go], least[go + size // LEAST_SIZE])
+                least = longer
                 if size in self.classes:
                     keys, owner = self.classes[size]
                     mine = self._key(j, least)
-                    for at in np.flatnonzero(filters[size].may(mine)):
-                        a, b = np.searchsorted(keys, mine[at]), np.searchsorted(keys, mine[at], side="right")
-                        found.update((int(of_unit[at]), int(i)) for i in owner[a:b])
-                size *= 2
+                    at = np.flatnonzero(self.filters[size].may(mine))
+                    a, b = np.searchsorted(keys, mine[at]), np.searchsorted(keys, mine[at], side="right")
+                    for x in np.flatnonzero(a < b):
+                        found.update((int(of_unit[at[x]]), int(i)) for i in owner[a[x] : b[x]])
         return found
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, object, int, int]]:
@@ -128,7 +130,7 @@ class _Filter:
     """Tells most values that are not among the keys."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(16, (16 * len(keys)).bit_length())
+        self.bits = max(16, (32 * len(keys)).bit_length())
         self.table = np.zeros(1 << self.bits, bool)
         self.table[self._at(keys)] = True
 
