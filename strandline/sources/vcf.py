@@ -79,7 +79,8 @@ def write_variants(variants: DataFrame, header: Header, path: str) -> None:
     columns = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", F.when(info == "", ".").otherwise(info)]
     if header.samples:
         keys = F.map_keys(F.map_values("gt")[0])
-        columns += [F.array_join(keys, ":"), *[F.array_join(F.transform(keys, lambda k, s=s: F.coalesce(F.element_at(F.col("gt")[s], k), F.lit("."))), ":") for s in header.samples]]
+        values = lambda s: F.transform(keys, lambda k: F.coalesce(F.element_at(F.col("gt")[s], k), F.lit(".")))
+        columns += [F.array_join(keys, ":"), *[F.array_join(values(s), ":") for s in header.samples]]
     rows = variants.select(F.lit(1).alias("o"), "chrom", "pos", line(*columns).alias("value"))
     head = variants.sparkSession.createDataFrame([(0, "", 0, header_text(header))], "o int, chrom string, pos int, value string")
     head.unionByName(rows).orderBy("o", "chrom", "pos", "value").coalesce(1).select("value").write.mode("overwrite").text(path)
