@@ -36,6 +36,8 @@ from .pieces import PLAIN, Lazy, plain_bytes
 
 #: How the tokenizer cuts text before it merges.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Signs that make one piece together where they end a chunk.
+SIGNS = ".,;:!?#*$%&|<>-_+=/()[]{}\""
 
 
 class PieceEncoder:
@@ -48,6 +50,7 @@ class PieceEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.shown = {b: c for c, b in byte_alphabet().items()}
+        self.space = self.shown[32]
         self.tokenize = self.library.model.tokenize
         self.ids, self.pieces = Lazy(self._chunk, 2_000_000), Lazy(self._merge, 900_000)
 
@@ -59,10 +62,22 @@ class PieceEncoder:
         return self._bytes([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.shown))])
 
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk; one that starts with NUL begins a text, any other follows a space."""
+        """Ids of a chunk; one that starts with NUL begins a text, any other follows a space.
+
+        A word's ids are kept as the chunk's alone, and found there if signs follow the word.
+        """
         if chunk.isalpha():
-            return self.pieces[" " + chunk]
-        return b"".join(map(self.pieces.__getitem__, PIECES.findall(chunk[1:] if chunk[:1] == "\0" else " " + chunk)))
+            if chunk.isascii():
+                return self._bytes([t.id for t in self.tokenize(self.space + chunk)])
+            return self._merge(" " + chunk)
+        word = chunk.rstrip(SIGNS)
+        if word.isalpha():
+            return self.ids[word] + self.pieces[chunk[len(word) :]]
+        if chunk[:1] == "\0":
+            return b"".join(map(self.pieces.__getitem__, PIECES.findall(chunk[1:])))
+        first, *rest = PIECES.findall(" " + chunk)
+        first = self.ids[first[1:]] if first[1:].isalpha() and first[0] == " " else self.pieces[first]
+        return first + b"".join(map(self.pieces.__getitem__, rest))
 
     def encode(self, texts: list[str], plain: bool = False) -> list[bytes]:
         """A text is cut at its spaces, where no merge crosses, unless it has something out of the common.
