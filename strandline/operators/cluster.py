@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import intervals as I
+from . import interval_join as J
+from .components import components
+
 
 def gap_clusters(events: DataFrame, by: list[str], pos: str, max_dist: int, ties: list[str], name: str = "cluster") -> DataFrame:
     """Number of the cluster in its group: a new one where the gap to the event before exceeds max_dist."""
@@ -51,3 +55,48 @@ def gaps_between(ivals: DataFrame, by: list[str], length: Column) -> DataFrame:
     before = ivals.select(*by, F.coalesce(F.max("end_pos").over(w), F.lit(0)).alias("gap_beg"), F.col("beg").alias("gap_end"))
     after = ivals.groupBy(*by).agg(F.max("end_pos").alias("gap_beg")).select(*by, "gap_beg", length.cast("long").alias("gap_end"))
     return before.unionByName(after).where("gap_beg < gap_end")
+
+
+def reciprocal_clusters(events: DataFrame, key: str, ref: str, beg: str, end: str, least_percent: float, buffer: int = 0) -> DataFrame:
+    """(key, cluster): events that overlap each other by a share of both lengths, and what they connect, are one cluster.
+
+    The cluster is named by its least key. Equal intervals are taken once, so a pile of
+    events at one place makes no pairs; an event that meets no other is its own cluster.
+    The result doesn't depend on the events' order.
+    """
+    ivals = events.groupBy(F.col(ref).alias("ref"), F.col(beg).alias("beg"), F.col(end).alias("end")).agg(F.min(key).alias("node"))
+    twin = ivals.select(*[F.col(c).alias(f"{c}_b") for c in ivals.columns])
+    pairs = J.interval_join(ivals, twin, ("ref", "beg", "end"), ("ref_b", "beg_b", "end_b"), buffer=2 * buffer)
+    wide = [F.col("beg") - buffer, F.col("end") + buffer, F.col("beg_b") - buffer, F.col("end_b") + buffer]
+    edges = pairs.where((F.col("node") <= F.col("node_b")) & ((F.col("node") == F.col("node_b")) | I.reciprocal(*wide, least_percent)))
+    roots = components(edges.select(F.col("node").alias("a"), F.col("node_b").alias("b")))
+    named = ivals.join(roots, "node").select(*[F.col(c).alias(f"{c}__") for c in ("ref", "beg", "end")], F.col("root").alias("cluster"))
+    at = (F.col(ref) == F.col("ref__")) & (F.col(beg) == F.col("beg__")) & (F.col(end) == F.col("end__"))
+    return events.select(key, ref, beg, end).join(named, at).select(key, "cluster")
+
+
+def two_groups(events: DataFrame, by: list[str], value: str, ties: list[str], least_silhouette: float = 0.60) -> DataFrame:
+    """Adds ``part``: 0 and 1 where a cluster's values split into two groups well enough, else 0 for all.
+
+    On a line, the best two groups are a cut of the sorted values, so all cuts are weighed
+    by running sums: the one of least squared error is taken (ties: the first), and kept
+    if its mean silhouette, from the same sums, reaches the limit. Exact, no seeds.
+    """
+    w = Window.partitionBy(*by).orderBy(value, *ties)
+    run, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
+    v = F.col(value).cast("double")
+    r = events.withColumns({"k__": F.row_number().over(w), "s__": F.sum(v).over(run), "n__": F.count(F.lit(1)).over(whole), "t__": F.sum(v).over(whole)})
+    gain = F.when(F.col("k__") < F.col("n__"), F.col("s__") ** 2 / F.col("k__") + (F.col("t__") - F.col("s__")) ** 2 / (F.col("n__") - F.col("k__")))
+    r = r.withColumn("gain__", gain).withColumn("cut__", F.max(F.when(F.col("gain__").isNotNull(), F.struct(F.round("gain__", 6), -F.col("k__")))).over(whole))
+    r = r.withColumn("cut__", -F.col("cut__")["col2"]).withColumn("low__", F.max(F.when(F.col("k__") == F.col("cut__"), F.col("s__"))).over(whole))
+    first = F.col("k__") <= F.col("cut__")
+    size = F.when(first, F.col("cut__")).otherwise(F.col("n__") - F.col("cut__"))
+    other = F.col("n__") - size
+    before, total = F.when(first, F.col("k__")).otherwise(F.col("k__") - F.col("cut__")), F.when(first, F.col("low__")).otherwise(F.col("t__") - F.col("low__"))
+    upto = F.when(first, F.col("s__")).otherwise(F.col("s__") - F.col("low__"))
+    within = (v * before - upto + (total - upto) - v * (size - before)) / F.nullif(size - 1, F.lit(0))
+    across = F.abs(F.col("t__") - total - v * other) / F.nullif(other, F.lit(0))
+    score = F.when(size == 1, 0.0).otherwise(F.coalesce((across - within) / F.nullif(F.greatest(across, within), F.lit(0.0)), F.lit(0.0)))
+    r = r.withColumn("score__", score).withColumn("silhouette", F.avg("score__").over(whole))
+    good = F.col("cut__").isNotNull() & (F.col("silhouette") >= least_silhouette)
+    return r.withColumn("part", F.when(good & ~first, 1).otherwise(0)).drop("k__", "s__", "n__", "t__", "gain__", "cut__", "low__", "score__")
