@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import monomers as M
 from ..functions import sequence as S
+from ..operators import calls as V
 from ..operators import cluster as L
 from ..operators import statistics as P
 from . import retro
-from .catalogue import CHAIN_SQL, _GAPS, _TAIL, clustered, query
+from .catalogue import CHAIN_SQL, _GAPS, _TAIL, chained, clustered, query
 
 # sequences --------------------------------------------------------------------------------------
 
@@ -154,3 +155,96 @@ def retro_pipeline(variants, hits):
     """The plan from candidates to verdicts."""
     a = retro.annotate(variants, *_sides(hits))
     return a.select("variant_ord", "itype", "family", "strand", F.round("cov", 6).alias("cov"), F.round("perc_resolved", 6).alias("perc_resolved"), "conformation", "failed")
+
+
+# verdicts ---------------------------------------------------------------------------------------
+
+_TYPES = "element_at(array('INS', 'DEL', 'LEFT-CLIPPING', 'RIGHT-CLIPPING'), CAST(read_ord * 7 % 4 + 1 AS INT))"
+
+
+@query(
+    _GAPS + ", t AS (SELECT ref, cluster, list_sort(list(DISTINCT ['INS', 'DEL', 'LEFT-CLIPPING', 'RIGHT-CLIPPING'][read_ord * 7 % 4 + 1])) AS types FROM c GROUP BY 1, 2) SELECT ref, CAST(cluster AS BIGINT) AS cluster, CASE WHEN list_contains(types, 'INS') AND NOT list_contains(types, 'DEL') THEN 'INS' WHEN list_contains(types, 'DEL') AND NOT list_contains(types, 'INS') THEN 'DEL' WHEN types = ['LEFT-CLIPPING', 'RIGHT-CLIPPING'] THEN 'INS_noOverlap' WHEN types IN (['LEFT-CLIPPING'], ['RIGHT-CLIPPING']) THEN 'BND' END AS sv_type FROM t",
+    "reads",
+)
+def sv_types(reads):
+    """Kind of a cluster by its event types."""
+    t = clustered(reads).groupBy("ref", "cluster").agg(F.collect_set(F.expr(_TYPES)).alias("types"))
+    return t.select("ref", "cluster", V.sv_type(F.col("types")).alias("sv_type"))
+
+
+@query(
+    _GAPS
+    + """, i AS (SELECT ref, cluster, orientation, ['L1', 'Alu', 'SVA', 'Simple_repeat', 'gene'][mapq % 5 + 1] AS identity, CASE WHEN mapq % 15 = 0 THEN 'src' || (beg % 2) ELSE '' END AS src FROM c),
+n AS (SELECT ref, cluster, orientation, identity, src, count(*) AS n FROM i GROUP BY ALL),
+b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY ref, cluster, orientation ORDER BY n DESC, identity, src) = 1),
+s AS (SELECT ref, cluster, max(identity) FILTER (WHERE orientation = 'PLUS') AS p, max(identity) FILTER (WHERE orientation = 'MINUS') AS m, nullif(max(src) FILTER (WHERE orientation = 'PLUS'), '') AS ps, nullif(max(src) FILTER (WHERE orientation = 'MINUS'), '') AS ms FROM b GROUP BY 1, 2)
+SELECT ref, CAST(cluster AS BIGINT) AS cluster,
+ CASE WHEN p = m AND p = 'Simple_repeat' AND ps IS NULL AND ms IS NULL THEN 'pA' WHEN p = m THEN p WHEN p = 'Simple_repeat' THEN coalesce(m, p) WHEN m = 'Simple_repeat' THEN coalesce(p, m) ELSE concat_ws('_', p, m) END AS identity,
+ CASE WHEN p = m AND ps IS NULL AND ms IS NULL THEN CASE p WHEN 'gene' THEN 'PSD' ELSE 'TD0' END WHEN p = m AND (ps IS NULL OR ms IS NULL) THEN 'TD1' WHEN p = m AND ps = ms THEN 'TD2' WHEN p = m THEN 'UNRESOLVED-TD'
+  WHEN p IS NULL OR m IS NULL THEN 'RG' WHEN p <> 'Simple_repeat' AND m <> 'Simple_repeat' THEN 'UNDEFINED' WHEN p = 'gene' OR m = 'gene' THEN 'PSD' WHEN coalesce(ps, ms) IS NOT NULL THEN 'TD2' ELSE 'TD0-TD1' END AS ins_type FROM s""",
+    "reads",
+)
+def mate_insertions(reads):
+    """Mobile elements by what the mates on both sides are."""
+    identity = F.expr("element_at(array('L1', 'Alu', 'SVA', 'Simple_repeat', 'gene'), CAST(mapq % 5 + 1 AS INT))")
+    src = F.when(F.col("mapq") % 15 == 0, F.concat(F.lit("src"), F.col("beg") % 2))
+    best = V.majority_identity(clustered(reads).withColumns({"identity": identity, "src": src}), ["ref", "cluster"])
+    name, kind = V.insertion_by_mates()
+    return best.select("ref", "cluster", name.alias("identity"), kind.alias("ins_type"))
+
+
+@query(
+    CHAIN_SQL + ", f AS (SELECT q_name, min(t_beg) AS b, max(t_end) AS e, max(t_len) AS t_len, sum(t_end - t_beg) FILTER (WHERE strand <> '+') AS inv, max(mapq) AS q FROM m GROUP BY 1) SELECT f.q_name, e - b AS retro_len, (e - b) * 100 >= t_len * 95 AS is_full, t_len - e AS trunc3, CAST(inv AS BIGINT) AS inversion, CASE WHEN t_len - e <= 100 AND q >= 40 THEN 'TPRT' WHEN (ce - cb) / 1000 * 100 >= 95 AND t_len - e > 100 AND q < 40 THEN 'EI' ELSE 'unknown' END AS mechanism FROM f JOIN c USING (q_name)",
+    "hits",
+)
+def element_lengths(hits):
+    """How much of an element a chain holds, and the mechanism that this speaks for."""
+    c = chained(hits).withColumn("plus", F.lit("+")).withColumn("x", V.element_lengths("chain", "plus"))
+    cov, tail = (F.element_at("chain", -1)["end"] - F.element_at("chain", 1)["beg"]) / 1000 * 100, F.array_max(F.transform("chain", lambda h: h["mapq"])) >= 40
+    return c.select("q_name", F.col("x.len").alias("retro_len"), F.col("x.is_full").alias("is_full"), F.col("x.trunc3").alias("trunc3"), F.col("x.inversion").alias("inversion"), V.mechanism(cov, F.col("x.trunc3"), tail).alias("mechanism"))
+
+
+@query(
+    CHAIN_SQL.replace("<= 25", "<= 80") + ", f AS (SELECT q_name, (max(c.ce) - min(c.cb)) / 1000 * 100 AS cov, count(*) AS n_motifs, string_agg(t_name, ',' ORDER BY i) AS motifs FROM m JOIN c USING (q_name) GROUP BY q_name) SELECT q_name, round(cov, 6) AS cov, n_motifs, motifs FROM f WHERE cov >= 75",
+    "hits",
+)
+def vntr_motifs(hits):
+    """Tandem repeats: chains of calls that cover an insert, and their motifs."""
+    c = chained(hits, 10, 80).withColumn("cov", (F.element_at("chain", -1)["end"] - F.element_at("chain", 1)["beg"]) / 1000 * 100)
+    return c.where("cov >= 75").select("q_name", F.round("cov", 6).alias("cov"), F.size("chain").cast("long").alias("n_motifs"), F.array_join(F.transform("chain", lambda h: h["t_name"]), ",").alias("motifs"))
+
+
+_CALLS = "SELECT * FROM hits WHERE strand = '+' AND q_beg < 300 AND mapq + 10 > 50 AND 70 - mapq > 20 AND q_end - q_beg > 10 OR strand = '-' AND 1000 - q_end < 300 AND mapq + 10 > 50 AND 70 - mapq > 20 AND q_end - q_beg > 10"
+
+
+@query(
+    CHAIN_SQL.replace("<= 25", "<= 80").replace("FROM hits)", "FROM calls)").replace("WITH RECURSIVE ", f"WITH RECURSIVE calls AS ({_CALLS}), ", 1) + "SELECT q_name, cb AS hex_beg, ce AS hex_end, length(left(repeat('ACGTTGCAAC', 100), cb) || substr(repeat('ACGTTGCAAC', 100), ce + 1)) AS trimmed_len FROM c",
+    "hits",
+)
+def hexamer_trim(hits):
+    """Hexamer calls near an end, chained, and the insert without them."""
+    rich, poor = F.col("mapq") + 10, 70 - F.col("mapq")
+    calls = hits.withColumns({"beg": F.col("q_beg"), "end": F.col("q_end"), "perc_c": rich, "perc_t": poor, "perc_g": rich, "perc_a": poor, "tr_seq": F.repeat(F.lit("C"), (F.col("q_end") - F.col("q_beg")).cast("int"))})
+    kept = V.hexamer_calls(calls, F.col("strand"), F.col("q_len")).select(hits.columns)
+    c = chained(kept, 10, 80).select("q_name", F.element_at("chain", 1)["beg"].alias("hex_beg"), F.element_at("chain", -1)["end"].alias("hex_end"))
+    return c.select("q_name", "hex_beg", "hex_end", F.length(V.without_span("repeat('ACGTTGCAAC', 100)", "hex_beg", "hex_end")).cast("long").alias("trimmed_len"))
+
+
+@query(
+    "WITH s AS (SELECT id, pos, substr(alt, 1, 1) AS r, substr(alt, 2, 1 + variant_ord % 3) AS a FROM variants WHERE length(alt) > 5), t AS (SELECT id, pos, CASE WHEN variant = 0 THEN r ELSE r || a END AS ref, CASE WHEN variant = 1 THEN r WHEN variant = 2 THEN r || a || 'T' ELSE left(a, 1) END AS alt FROM (SELECT *, pos % 3 AS variant FROM s)) SELECT id, pos, coalesce(CASE WHEN list_contains(['A->T', 'A->G', 'A->C', 'T->A', 'T->G', 'T->C', 'G->A', 'G->T', 'G->C', 'C->A', 'C->T', 'C->G'], ref || '->' || alt) THEN CAST(list_position(['A->T', 'A->G', 'A->C', 'T->A', 'T->G', 'T->C', 'G->A', 'G->T', 'G->C', 'C->A', 'C->T', 'C->G'], ref || '->' || alt) AS VARCHAR) END, CASE WHEN length(ref) > length(alt) AND starts_with(ref, alt) THEN '-' || ref END, CASE WHEN length(alt) > length(ref) AND starts_with(alt, ref) THEN '+' || alt END, '0') AS status FROM t",
+    "variants",
+)
+def haplotype_codes(variants):
+    """What a haplotype has at a place, 0 for no change."""
+    s = variants.where(F.length("alt") > 5).selectExpr("id", "pos", "pos % 3 AS variant", "substring(alt, 1, 1) AS r", "substring(alt, 2, CAST(1 + variant_ord % 3 AS INT)) AS a")
+    t = s.selectExpr("id", "pos", "CASE WHEN variant = 0 THEN r ELSE r || a END AS ref", "CASE WHEN variant = 1 THEN r WHEN variant = 2 THEN r || a || 'T' ELSE left(a, 1) END AS alt")
+    return t.select("id", "pos", F.coalesce(V.status(F.col("ref"), F.col("alt")), F.lit("0")).alias("status"))
+
+
+@query(
+    "WITH w AS (SELECT chrom, w.w AS win, beg, end_pos, sv_id FROM sv_cells, unnest(range(beg // 50000, end_pos // 50000 + 1)) AS w(w)), g AS (SELECT *, lead(beg) OVER (PARTITION BY chrom, win ORDER BY beg, sv_id) - end_pos AS gap FROM w) SELECT chrom, win, count(*) AS n, median(gap) AS median_gap FROM g GROUP BY 1, 2 HAVING count(*) >= 4 AND median(gap) <= 0",
+    "sv_cells",
+)
+def dense_windows(svs):
+    """Windows where variants lie upon each other."""
+    return V.dense_windows(svs, ["chrom"], 50_000)
