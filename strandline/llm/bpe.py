@@ -47,6 +47,8 @@ class TrieEncoder:
         of = byte_alphabet()
         self.rank = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(merges)}
         self.parts = {vocab[a + b]: (vocab[a], vocab[b]) for a, b in merges}
+        self.level = {vocab[a + b]: r for r, (a, b) in enumerate(merges)}
+        self.twice = len(self.parts) < len(merges)  # some token is made in two ways
         self.valid: dict[int, bool] = {}
         self.code = {i: (array("i", [i]).tobytes(), s) for i, s in shown.items()}
         self.step: list[dict[int, int]] = [{}]
@@ -104,9 +106,28 @@ class TrieEncoder:
             ids = [*ids[:at], self.rank[ids[at], ids[at + 1]][1], *ids[at + 2 :]]
         return ids
 
+    def meet(self, a: int, b: int) -> bool:
+        """Whether no merge crosses the border of a and b while they are made, told by undoing their merges, the latest first."""
+        rank, parts, level, limit = self.rank.get, self.parts, self.level.get, 1 << 60
+        while True:
+            across = rank((a, b))
+            if across and across[0] < limit:
+                return False
+            of_a, of_b = level(a, -1), level(b, -1)
+            if of_a > of_b:
+                limit, a = of_a, parts[a][1]  # of equal merges the left one comes first
+            elif of_b >= 0:
+                limit, b = of_b + 1, parts[b][0]
+            else:
+                return True
+
     def follows(self, a: int, b: int) -> bool:
         """Whether b may follow a; a = -1: nothing is before b."""
-        ok = self.merged([*(self.leaves(a) if a >= 0 else []), *self.leaves(b)]) == ([a, b] if a >= 0 else [b])
+        if a < 0 or self.twice:
+            ok = self.merged([*(self.leaves(a) if a >= 0 else []), *self.leaves(b)]) == ([a, b] if a >= 0 else [b])
+        else:
+            ok = self.follows(-1, b) if (known := self.valid.get(-1 << 20 | b)) is None else known
+            ok = ok and self.meet(a, b)
         if len(self.valid) > 1_000_000:
             self.valid.clear()
         self.valid[a << 20 | b] = ok

@@ -273,3 +273,14 @@ def test_pipeline(spark):
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
     assert 0 < out.count() < docs.count()
+
+
+def test_tokens_that_meet():
+    """Undoing merges tells the same as merging all symbols of both tokens."""
+    e = bpe.WordBpe(C.vocabulary("word_bpe_49k.json")).encoder
+    ends = {i for i, s in e.code.items() if s[1].endswith(b"</w>")}
+    every = [i for i in e.code if e.code[i][1][1:2] != b"<"]
+    inner, rnd = [i for i in every if i not in ends], random.Random(11)
+    for _ in range(3000):
+        a, b = rnd.choice(inner), rnd.choice(every)
+        assert e.follows(a, b) == (e.merged([*e.leaves(a), *e.leaves(b)]) == [a, b])
