@@ -206,9 +206,9 @@ _SELF = "FROM bed a JOIN bed b ON a.ref = b.ref AND a.beg <= b.end_pos AND b.beg
 _LEN = "(least(a.end_pos, b.end_pos) - greatest(a.beg, b.beg) + 1)"
 
 
-def _pairs(bed):
+def _pairs(bed, buffer=0):
     b = bed.select(*[F.col(c).alias(f"{c}_b") for c in ("ref", "beg", "end_pos", "bed_id")])
-    return J.interval_join(bed, b, HB[1], ("ref_b", "beg_b", "end_pos_b")).where("bed_id < bed_id_b")
+    return J.interval_join(bed, b, HB[1], ("ref_b", "beg_b", "end_pos_b"), buffer=buffer).where("bed_id < bed_id_b")
 
 
 @query(f"SELECT a.ref, count(*) AS n_pairs, sum({_LEN})::BIGINT AS shared, count(*) FILTER ({_LEN} / (a.end_pos - a.beg + 1) * 100 >= 60 AND {_LEN} / (b.end_pos - b.beg + 1) * 100 >= 60) AS n_reciprocal {_SELF} GROUP BY a.ref".replace("FILTER (", "FILTER (WHERE "), "bed")
@@ -223,7 +223,7 @@ def overlap_pairs(bed):
     "bed",
 )
 def complementary_pairs(bed):
-    """Neighbours by id that continue each other."""
+    """Of intervals whose ids differ by 1 or 5, those that continue each other; ``complementary_all_pairs`` takes every pair."""
     b = bed.select(*[F.col(c).alias(f"{c}_b") for c in ("ref", "beg", "end_pos", "bed_id")])
     near = bed.withColumn("next", F.explode(F.array(F.col("bed_id") + 1, F.col("bed_id") + 5))).join(b, (F.col("next") == F.col("bed_id_b")) & (F.col("ref") == F.col("ref_b")))
     x = ("beg", "end_pos", "beg_b", "end_pos_b")
@@ -231,6 +231,21 @@ def complementary_pairs(bed):
     return near.where(side.isNotNull()).groupBy((I.overlap_length(*x) > 0).cast("int").alias("meets"), side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_SHARED = f"greatest({_LEN}, 0)"
+
+
+@query(
+    f"SELECT CASE WHEN {_LEN} > 0 THEN 1 ELSE 0 END AS meets, CASE WHEN a.beg > b.beg THEN 'LEFT' ELSE 'RIGHT' END AS side, count(*) AS n FROM bed a JOIN bed b ON a.ref = b.ref AND a.bed_id < b.bed_id AND a.beg - 5000 <= b.end_pos + 5000 AND b.beg - 5000 <= a.end_pos + 5000 WHERE {_SHARED} / (a.end_pos - a.beg + 1) * 100 <= 25 AND {_SHARED} / (b.end_pos - b.beg + 1) * 100 <= 25 GROUP BY ALL",
+    "bed",
+)
+def complementary_all_pairs(bed):
+    """All pairs of a reference that continue each other."""
+    x = ("beg", "end_pos", "beg_b", "end_pos_b")
+    side = I.complementary(*x, 5000, 25)
+    near = _pairs(bed, buffer=10_000).where(side.isNotNull())
+    return near.groupBy((I.overlap_length(*x) > 0).cast("int").alias("meets"), side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT ref, b.b AS tile_beg, least(b.b + 10000, n) AS tile_end FROM (SELECT ref, max(end_pos) AS n FROM bed GROUP BY ref), unnest(range(0, n, 10000)) AS b(b)", "bed")
 def genomic_tiles(bed):
     """Tiles of each contig."""

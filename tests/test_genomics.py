@@ -52,6 +52,22 @@ def test_complementary(spark):
     assert got == [None, "RIGHT", "RIGHT", None, "LEFT"]
 
 
+def test_complementary_all_pairs(spark, tmp_path):
+    # (custkey, orderkey, totalprice): the view's interval is key * 131 % 90000, a 500th of the price long
+    orders = [(i % 2 * 5, i * 97, float(400_000 * (i % 9 + 1))) for i in range(1, 90)]
+    spark.createDataFrame(orders, "o_custkey long, o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    bed = [(c % 5, k * 131 % 90_000, k * 131 % 90_000 + int(p / 500), k) for c, k, p in orders]
+    want = {}
+    for ra, ba, ea, ka in bed:
+        for rb, bb, eb, kb in bed:
+            n = max(min(ea, eb) - max(ba, bb) + 1, 0)
+            if ra == rb and ka < kb and ba - 5000 <= eb + 5000 and bb - 5000 <= ea + 5000 and n * 4 <= ea - ba + 1 and n * 4 <= eb - bb + 1:
+                key = (int(n > 0), "LEFT" if ba > bb else "RIGHT")
+                want[key] = want.get(key, 0) + 1
+    got = catalogue.QUERIES["complementary_all_pairs"](spark, str(tmp_path)).collect()
+    assert {(r.meets, r.side): r.n for r in got} == want and len(want) == 4
+
+
 def test_tail(spark):
     seqs = ["C" * 20 + "A" * 10, "C" * 14 + "A" * 12, "A" * 30, "CCC", "", "C" * 20 + "A" * 15 + "G" * 51]
     df = spark.createDataFrame([(s,) for s in seqs], "s string").withColumn("run", S.tail_monomer("s"))
