@@ -52,12 +52,32 @@ def tail_only(run: Column, seq: str, max_to_end: int = 50, least_begin: int = 15
     return F.when((F.length(seq) - run["end"] <= max_to_end) & (run["beg"] >= least_begin), run)
 
 
-def tsd_length(target: str, insert: str, max_mismatches: int = 2) -> Column:
-    """Length of the target-site duplication: position-wise match up to one mismatch too many."""
+def _tsd(target: str, insert: str, max_mismatches: int) -> str:
     m = f"least(length({target}), length({insert}))"
     bad = f"filter(CASE WHEN {m} > 0 THEN sequence(1, CAST({m} AS INT)) ELSE array() END, i -> substring(upper({target}), i, 1) <> substring(upper({insert}), i, 1))"
     n = f"coalesce(try_element_at({bad}, {max_mismatches + 1}) - 1, {m})"
-    return F.expr(f"CAST(CASE WHEN {n} <= {max_mismatches + 1} THEN 0 ELSE {n} END AS LONG)")
+    return f"CAST(CASE WHEN {n} <= {max_mismatches + 1} THEN 0 ELSE {n} END AS LONG)"
+
+
+def tsd_length(target: str, insert: str, max_mismatches: int = 2) -> Column:
+    """Length of the target-site duplication: position-wise match up to one mismatch too many."""
+    return F.expr(_tsd(target, insert, max_mismatches))
+
+
+def tsd_both(downstream: str, upstream: str, insert: str, max_mismatches: int = 2) -> Column:
+    """struct(down, up, len, seq, trimmed) of the duplications at an insert's head and tail, in upper case.
+
+    The downstream target is compared with the head, which is cut off; then the upstream target and
+    what remains are compared from their ends. ``seq`` is the tail's part and the head's after it.
+    """
+    bind = lambda name, value, then: f"transform(array({value}), {name} -> {then})[0]"
+    sides = f"struct(upper(coalesce({insert}, '')) AS ins, upper(coalesce({downstream}, '')) AS dt, reverse(upper(coalesce({upstream}, ''))) AS ut)"
+    head = bind("a", "struct(x.dt AS target, left(x.ins, length(x.dt)) AS part)", _tsd("a.target", "a.part", max_mismatches))
+    cut = f"struct(x.ut AS ut, x.ins AS ins, {head} AS down)"
+    rest = "struct(y.ut AS ut, y.ins AS ins, y.down AS down, substring(y.ins, CAST(y.down + 1 AS INT)) AS rest)"
+    tail = bind("b", "struct(z.ut AS target, reverse(right(z.rest, length(z.ut))) AS part)", _tsd("b.target", "b.part", max_mismatches))
+    both = "struct(v.z.down AS down, v.up AS up, v.z.down + v.up AS len, concat(right(v.z.rest, CAST(v.up AS INT)), left(v.z.ins, CAST(v.z.down AS INT))) AS seq, left(v.z.rest, CAST(length(v.z.rest) - v.up AS INT)) AS trimmed)"
+    return F.expr(bind("x", sides, bind("y", cut, bind("z", rest, bind("v", f"struct(z AS z, {tail} AS up)", both)))))
 
 
 def cigar_length(cigar: str, operations: str) -> Column:

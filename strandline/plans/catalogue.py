@@ -483,11 +483,28 @@ def poly_tail(variants):
     "variants",
 )
 def tsd(variants):
-    """target-site duplication between a target of 41 bases and an insert."""
+    """target-site duplication between a target of 41 bases and an insert's head."""
     b = variants.select((F.col("variant_ord") - 1).alias("variant_ord"), F.col("alt").alias("ins"))
     return variants.select("variant_ord", "id", F.substring("alt", 1, 41).alias("target")).join(b, "variant_ord").select("id", S.tsd_length("target", "ins").alias("tsd_len"))
 
 
+def _tsd_sql(target: str, insert: str) -> str:
+    m = f"least(length({target}), length({insert}))"
+    n = f"coalesce(list_filter(range(1, CAST({m} AS BIGINT) + 1), lambda i: substr({target}, i, 1) <> substr({insert}, i, 1))[3] - 1, {m})"
+    return f"CAST(CASE WHEN {n} <= 3 THEN 0 ELSE {n} END AS BIGINT)"
+
+
+@query(
+    f"WITH p AS (SELECT b.id, upper(substr(a.alt, 1, 41)) AS target, reverse(upper(right(a.alt, 41))) AS behind, upper(b.alt) AS ins FROM variants a JOIN variants b ON a.variant_ord + 1 = b.variant_ord), h AS (SELECT *, {_tsd_sql('target', 'ins')} AS tsd_down FROM p), r AS (SELECT *, substr(ins, tsd_down + 1) AS rest FROM h), q AS (SELECT *, reverse(right(rest, 41)) AS tail FROM r), t AS (SELECT *, {_tsd_sql('behind', 'tail')} AS tsd_up FROM q) SELECT id, tsd_down, tsd_up, tsd_down + tsd_up AS tsd_len, right(rest, tsd_up) || left(ins, tsd_down) AS tsd_seq, left(rest, length(rest) - tsd_up) AS trimmed FROM t",
+    "variants",
+)
+def tsd_both_sides(variants):
+    """target-site duplications at an insert's head and, once that is cut off, at its tail; the variant before gives the targets."""
+    before = variants.select((F.col("variant_ord") + 1).alias("variant_ord"), F.substring("alt", 1, 41).alias("target"), F.expr("right(alt, 41)").alias("behind"))
+    both = variants.select("variant_ord", "id", "alt").join(before, "variant_ord").withColumn("t", S.tsd_both("target", "behind", "alt"))
+    return both.select("id", F.col("t.down").alias("tsd_down"), F.col("t.up").alias("tsd_up"), F.col("t.len").alias("tsd_len"), F.col("t.seq").alias("tsd_seq"), F.col("t.trimmed").alias("trimmed"))
+
+
 _CIGAR = "concat(CAST(beg % 30 AS STRING), CASE WHEN read_ord % 2 = 0 THEN 'S' ELSE 'H' END, CAST(50 + mapq AS STRING), 'M', CAST(1 + beg % 9 AS STRING), 'D', CAST(3 + read_ord % 20 AS STRING), 'I', CAST(40 AS STRING), 'M')"
 
 

@@ -75,6 +75,36 @@ def test_tail(spark):
     assert [r[0] is not None for r in df.select(S.tail_only(F.col("run"), "s")).collect()] == [True, False, False, False, False, True]
 
 
+def test_tsd_at_both_ends(spark):
+    def search(target, insert):
+        target, insert, bad, n = target.upper(), insert.upper(), 0, 0
+        for a, b in zip(target, insert):
+            bad += a != b
+            if bad > 2:
+                break
+            n += 1
+        n = 0 if n <= 3 else n
+        return insert[:n], n, insert[n:]
+
+    head, tail, body = "ACGTTGCAAC", "GGATCCATTA", "T" * 60
+    rows = [
+        ("C" * 41, "C" * 31 + tail, body + tail),  # at the tail alone
+        (head + "C" * 31, "G" * 31 + tail, head + body + tail),
+        (head + "C" * 31, "G" * 41, head.lower() + body),
+        (head[:3] + "G" * 38, "C" * 38 + tail[-3:], head[:3] + body + tail[-3:]),
+        ("ACGTACGT", "TTTTACGT", "ACGTACGT"),  # the head takes all of it
+        ("A" * 41, "A" * 41, "A" * 50),
+        ("A" * 41, "", ""),
+    ]
+    got = [tuple(r.t) for r in spark.createDataFrame(rows, "d string, u string, s string").select(S.tsd_both("d", "u", "s").alias("t")).collect()]
+    want = []
+    for d, u, s in rows:
+        seq, down, rest = search(d, s)
+        seq_up, up, rest = search(u[::-1], rest[::-1])
+        want.append((down, up, down + up, seq_up[::-1] + seq, rest[::-1]))
+    assert got == want and want[0][1] >= 10 and want[1][0] >= 10 <= want[1][1]
+
+
 def test_vcf_round_trip(spark, tmp_path):
     text = '##fileformat=VCFv4.2\n##contig=<ID=chr1,length=1000>\n##INFO=<ID=X,Number=1,Type=String,Description="a, b">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\nchr1\t20\tv2\tN\tACGT\t.\tPASS\tX=a=b;FLAG\tGT:DP\t0/1:3\nchr1\t10\tv1\tN\tA\t.\tPASS\t.\tGT\t1/1\n'
     (tmp_path / "a.vcf").write_text(text)
