@@ -34,15 +34,43 @@ def fisher_exact(a: str, b: str, c: str, d: str) -> Column:
     return F.expr(f"transform(array({p}), p -> aggregate(filter(p, y -> y <= p[{here}] * (1 + 1e-7D)), 0D, (s, y) -> s + y) / aggregate(p, 0D, (s, y) -> s + y))[0]")
 
 
-def shuffled(svs: DataFrame, ref_length: Column, seed: int, copies: int = 1, key: str = "sv_id") -> DataFrame:
-    """Variants placed anew, their lengths kept, ``copies`` times; adds ``copy``.
+def shuffled(svs: DataFrame, ref_length: Column, seed: int, copies: int = 1, key: str = "sv_id", by: list[str] | None = None) -> DataFrame:
+    """Variants placed anew without overlap, their lengths kept, ``copies`` times; adds ``copy``.
 
-    A place is a hash of seed, copy and key, so a lost task gives the same places again.
+    The variants of a group (``by``, else the chromosome) and copy take their turns in random order; each
+    gets one of the places where it still fits, all equally likely, or goes if there is none. The
+    generator's seed is a hash of seed, copy and group, so a lost task gives the same places again.
     """
-    rows = svs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    length = F.col("end_pos") - F.col("beg")
-    at = F.pmod(F.xxhash64(F.lit(seed), "copy", key), F.greatest(ref_length - length, F.lit(1)))
-    return rows.withColumn("new__", at.cast("long")).withColumn("end_pos", F.col("new__") + length).withColumn("beg", F.col("new__")).drop("new__")
+    by, names = by or ["chrom"], svs.columns
+    first = [key, "beg", "end_pos"]
+    row = F.struct(*first, *[c for c in names if c not in first and c not in by])
+    groups = svs.withColumn("n__", ref_length).groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("rows__"), F.max("n__").alias("n__"))
+    groups = groups.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).repartition(*by, "copy")
+
+    def starts(lengths, n, seed):
+        import numpy as np
+
+        rng = np.random.default_rng(seed % (1 << 64))
+        at = [None] * len(lengths)
+        beg, end = np.array([0]), np.array([n or 0])  # what is free
+        for i in rng.permutation(len(lengths)):
+            if lengths[i] is None:
+                continue
+            length = max(lengths[i], 0)
+            room = np.maximum(end - beg - length, 0)
+            upto = np.cumsum(room)
+            if upto[-1] > 0:
+                x = rng.integers(upto[-1])
+                k = np.searchsorted(upto, x, side="right")
+                at[i] = int(beg[k] + x - upto[k] + room[k])
+                beg, end = np.insert(beg, k + 1, at[i] + length), np.insert(end, k, at[i])
+        return at
+
+    lengths = F.transform("rows__", lambda r: (r["end_pos"] - r["beg"]).cast("long"))
+    at = F.udf(starts, "array<long>")(lengths, F.col("n__").cast("long"), F.xxhash64(F.lit(seed), "copy", *by))
+    placed = groups.withColumn("at__", at).select(*by, "copy", F.inline(F.arrays_zip("rows__", "at__"))).where("at__ IS NOT NULL")
+    new = {"beg": F.col("at__"), "end_pos": F.col("at__") + F.col("rows__.end_pos") - F.col("rows__.beg")}
+    return placed.select(*[c if c in by else new.get(c, F.col(f"rows__.{c}")).alias(c) for c in names], "copy")
 
 
 def ks_distance(values: DataFrame, by: list[str], value: str, is_first: str) -> DataFrame:
@@ -63,12 +91,12 @@ def _gaps(svs: DataFrame, by: list[str], more: list[str]) -> DataFrame:
 
 
 def gap_clustering(svs: DataFrame, by: list[str], ref_length: Column, seed: int, copies: int = 100) -> DataFrame:
-    """by, n, distance, p and score: whether gaps between variants are smaller than in random placements.
+    """by, n, distance, p and score: whether gaps between variants are smaller than in random placements without overlap.
 
     score is -log2 of the observed median gap over the random one (gaps of 1 at least).
     """
     own = _gaps(svs, by, []).withColumn("seen", F.lit(True))
-    placed = _gaps(shuffled(svs, ref_length, seed, copies), by, ["copy"]).withColumn("seen", F.lit(False))
+    placed = _gaps(shuffled(svs, ref_length, seed, copies, by=by), by, ["copy"]).withColumn("seen", F.lit(False))
     both = own.unionByName(placed)
     medians = both.groupBy(*by).agg(F.median(F.when(F.col("seen"), F.col("gap"))).alias("m"), F.median(F.when(~F.col("seen"), F.col("gap"))).alias("r"))
     ks = ks_distance(both, by, "gap", "seen")

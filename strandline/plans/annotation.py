@@ -103,7 +103,7 @@ def haplotype_bias(svs):
 
 @query(None, "sv_cells")
 def gap_clustering(svs):
-    """Gaps between variants against seeded random placements (no SQL: the places are hashes)."""
+    """Gaps between variants against seeded random placements (no SQL: the places come from a seed)."""
     return P.gap_clustering(svs, ["cell_id", "chrom"], F.lit(3_006_000), seed=7, copies=20)
 
 

@@ -70,6 +70,24 @@ def test_placements(spark):
     assert r.n == 39 and r.p < 0.05 and r.score > 3
 
 
+def test_placements_do_not_overlap(spark):
+    svs = spark.createDataFrame([(i, f"c{i % 2}", 0, 10 + i % 5) for i in range(400)], "sv_id long, chrom string, beg long, end_pos long")
+    places = {}
+    for r in P.shuffled(svs, F.lit(2_000), 1, 3).collect():
+        assert 0 <= r.beg and r.end_pos <= 2_000 and r.end_pos - r.beg == 10 + r.sv_id % 5
+        places.setdefault((r.chrom, r.copy), []).append((r.beg, r.end_pos))
+    assert len(places) == 6 and len({tuple(sorted(p)) for p in places.values()}) == 6
+    for p in places.values():
+        p.sort()
+        assert all(a[1] <= b[0] for a, b in zip(p, p[1:]))
+        # variants go only once no gap holds them
+        assert len(p) < 200 and max(b - a for a, b in zip([0] + [e for _, e in p], [b for b, _ in p] + [2_000])) <= 14
+    # lengths fill a half: gaps between random places have a median of several bases
+    one = spark.createDataFrame([(i, "c", i * 20, i * 20 + 10) for i in range(100)], "sv_id long, chrom string, beg long, end_pos long")
+    gaps = P._gaps(P.shuffled(one, F.lit(2_000), 1, 50), ["chrom"], ["copy"])
+    assert gaps.select(F.median("gap")).first()[0] >= 5
+
+
 HIT = "q_name long, hit_ord int, q_len long, q_beg long, q_end long, strand string, t_name string, t_len long, t_beg long, t_end long, family string"
 
 
