@@ -30,13 +30,20 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-def with_chunks(docs: DataFrame, keep: list[str], text: str = "text", divisor: int = DIVISOR) -> DataFrame:
-    """The columns to keep, ``lines``, and ``ends``: the places of each chunk's last line."""
+def with_chunks(docs: DataFrame, keep: list[str], text: str = "text", divisor: int = DIVISOR, pairs: bool = False) -> DataFrame:
+    """The columns to keep, ``lines``, and ``ends``: the places of each chunk's last line.
+
+    With ``pairs`` no chunk of a longer document is a single line: a boundary right after another
+    one, after the first line or before the last line doesn't count.
+    """
     rows = docs.select(*keep, F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1).alias("lines"))
     rows = rows.withColumn("h", F.transform("lines", line_hash))
     roll = "h[i] + CASE WHEN i > 0 THEN h[i - 1] ELSE 0 END * 31 + CASE WHEN i > 1 THEN h[i - 2] ELSE 0 END * 961"
     ends = f"filter(sequence(0, size(h) - 1), i -> i = size(h) - 1 OR ({roll}) % {divisor} = 0)"
-    return rows.withColumn("ends", F.expr(ends)).drop("h")
+    rows = rows.withColumn("ends", F.expr(ends))
+    if pairs:  # ends are sorted: the one before is the neighbour
+        rows = rows.withColumn("ends", F.expr("filter(ends, (e, k) -> e = size(h) - 1 OR e > 0 AND e < size(h) - 2 AND (k = 0 OR ends[k - 1] < e - 1))"))
+    return rows.drop("h")
 
 
 #: SQL of chunk k's length and lines; e is its last line.
@@ -47,9 +54,9 @@ KEPT = f"array_join(flatten(filter(transform(ends, (e, k) -> CASE WHEN array_con
 LINES_GONE = f"aggregate(transform(ends, (e, k) -> CASE WHEN array_contains(gone, k) THEN {LENGTH} ELSE 0 END), 0L, (a, x) -> a + x)"
 
 
-def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, pairs: bool = False) -> DataFrame:
     """(kid, gone): places of the chunks that go, of the documents of ``keyed`` that have any."""
-    chunks = with_chunks(docs, ["kid", "doc_id"], divisor=divisor)
+    chunks = with_chunks(docs, ["kid", "doc_id"], divisor=divisor, pairs=pairs)
     chunks = chunks.select("kid", "doc_id", F.inline(F.expr(f"transform(ends, (e, k) -> struct(k AS place, {LENGTH} AS n_lines, array_join({LINES}, '\n') AS chunk))")))
     chunks = chunks.where("n_lines > 1").withColumn("h", F.xxhash64("chunk"))
     again = C.cut(chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
@@ -60,22 +67,22 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     return later.groupBy("kid", "place").agg(F.count(F.lit(1)).alias("n")).groupBy("kid").agg(F.collect_list("place").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, id_col: str = "doc_id", text_col: str = "text", pairs: bool = False) -> DataFrame:
     """doc_id, kept (text), n_chunks, n_removed (chunks), n_removed_lines."""
     docs = C.keyed(docs, id_col, text_col)
-    out = with_chunks(docs, ["kid", "doc_id"], divisor=divisor).join(repeated_chunks(docs, divisor), "kid", "left")
+    out = with_chunks(docs, ["kid", "doc_id"], divisor=divisor, pairs=pairs).join(repeated_chunks(docs, divisor, pairs), "kid", "left")
     out = out.withColumn("gone", F.coalesce("gone", F.expr("cast(array() AS array<int>)")))
     return out.select("doc_id", F.expr(KEPT).alias("kept"), F.size("ends").cast("long").alias("n_chunks"), F.size("gone").cast("long").alias("n_removed"), F.expr(LINES_GONE).alias("n_removed_lines"))
 
 
-def without_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+def without_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, pairs: bool = True) -> DataFrame:
     """The documents with all their columns; text (and n_chars, where there is one) without repeated chunks."""
     names = docs.columns
     kid = C.keyed(docs).schema["kid"].name
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.withColumn("kid__", F.xxhash64(docs["doc_id"], text))
-    gone = repeated_chunks(C.keyed(docs), divisor).withColumnRenamed(kid, "kid__")
-    cut = with_chunks(rows.join(gone, "kid__", "left"), [*names, "gone"], divisor=divisor)
+    gone = repeated_chunks(C.keyed(docs), divisor, pairs).withColumnRenamed(kid, "kid__")
+    cut = with_chunks(rows.join(gone, "kid__", "left"), [*names, "gone"], divisor=divisor, pairs=pairs)
     new = {"text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr(KEPT))}
     out = cut.withColumns(new)
     if "n_chars" in names:
@@ -84,7 +91,15 @@ def without_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFram
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return _digests(dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def op1_line_dedup_pairs(spark, sf_dir: str) -> DataFrame:
+    """The same with chunks of two lines at least, as the pipeline takes them."""
+    return _digests(dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), pairs=True))
+
+
+def _digests(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_chunks", "n_removed", "n_removed_lines", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -100,3 +115,6 @@ SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed,
   sha256(coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM f GROUP BY doc_id
 """
+
+#: Boundaries right after another one, after the first line or before the last one go.
+PAIRS_SQL = ORACLE_SQL.replace("\nk AS (SELECT *, coalesce(", "\nm AS (SELECT * EXCLUDE (ends), i = n OR ends AND i > 1 AND i < n - 1 AND NOT coalesce(lag(ends) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS ends FROM r),\nk AS (SELECT *, coalesce(").replace("AS place FROM r)", "AS place FROM m)")

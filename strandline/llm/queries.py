@@ -7,7 +7,7 @@ from .bpe import op5_bpe_encode_decode
 from .chat import op8_chat_formatting
 from .contamination import op9_benchmark_decontamination
 from .jaccard import op10_ngram_jaccard_join
-from .lines import op1_line_dedup
+from .lines import op1_line_dedup, op1_line_dedup_pairs
 from .quality import op7_quality_rules
 from .scoring import op2_lm_scoring
 from .substring import op3_substring_dedup
@@ -27,6 +27,7 @@ QUERIES = {
         op8_chat_formatting,
         op9_benchmark_decontamination,
         op10_ngram_jaccard_join,
+        op1_line_dedup_pairs,
     )
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL, "op8_chat_formatting": chat.ORACLE_SQL, "op9_benchmark_decontamination": contamination.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL, "op1_line_dedup_pairs": lines.PAIRS_SQL, "op8_chat_formatting": chat.ORACLE_SQL, "op9_benchmark_decontamination": contamination.ORACLE_SQL}

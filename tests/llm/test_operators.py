@@ -110,6 +110,25 @@ def test_lines_keep_first_place(table, texts):
     assert stage.columns == df.columns and stage.count() == df.count()
 
 
+def test_lines_of_copies_all_go(table):
+    r = random.Random(4)
+    bodies = ["\n".join(f"line {r.random()}" for _ in range(r.randint(2, 30))) for _ in range(60)]
+    df = table([(i, b) for i, b in enumerate(bodies + bodies)])
+    for out in (lines.dedup_lines(df, pairs=True).select("doc_id", "kept"), lines.without_repeated_chunks(df).select("doc_id", "text")):
+        got = dict(map(tuple, out.collect()))
+        assert all(got[i] == b and got[60 + i] == "" for i, b in enumerate(bodies))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001"])
+def test_pairs_of_lines_against_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{sf}/documents.parquet'")
+    want = con.execute(lines.PAIRS_SQL).fetchall()
+    assert rows(lines.op1_line_dedup_pairs(spark, f"/root/testdata/{sf}"), "doc_id", "n_chunks", "n_removed", "n_removed_lines", "kept_sha256") == sorted(want, key=repr)
+
+
 def test_scores(table, texts):
     df = table()
     docs = texts(df)
