@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-#: Bits of a position in a slice; the other bits order the k-grams.
+#: Bits of a position in a piece of a slice; the other bits order the k-grams.
 PLACE_BITS = 27
 RUN_SCHEMA = "kid long, h long, c long, s0 int, s1 int"
 #: Symbols of some rows, and the rows' offsets in them.
@@ -53,8 +53,12 @@ def runs_of(symbols: np.ndarray, offsets: np.ndarray, length: int, k: int) -> di
         return {x: none for x in ("row", "s0", "s1", "p", "h", "c")}
     grams = C.mix(C.Rolling(symbols).grams(k))
     place = np.uint64((1 << PLACE_BITS) - 1)
-    keys = (grams & ~place) | np.arange(len(grams), dtype=C.U64)
-    at = (C.sliding_min(keys, w) & place).astype(np.int64)
+    at = np.empty(len(grams) - w + 1, np.int64)
+    step = (1 << PLACE_BITS) - w + 1
+    for a in range(0, len(at), step):  # pieces whose places fit the bits
+        piece = grams[a : a + step + w - 1]
+        keys = (piece & ~place) | np.arange(len(piece), dtype=C.U64)
+        at[a : a + step] = (C.sliding_min(keys, w) & place).astype(np.int64) + a
     fits = np.zeros(n + 1, np.int32)
     long = np.diff(offsets) >= length
     np.add.at(fits, offsets[:-1][long], 1)

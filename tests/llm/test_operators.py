@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from strandline.llm import _common as C
-from strandline.llm import bpe, chat, components, contamination, jaccard, lines, quality, scoring, substring, suffix, token_files
+from strandline.llm import bpe, chat, components, contamination, jaccard, lines, quality, repeats, scoring, substring, suffix, token_files
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -68,6 +68,15 @@ def test_bytes_against_brute_force(table, texts, length, most):
     assert rows(got.withColumn("kept", got.kept), "doc_id", "n_bytes", "n_removed", "kept") == want
 
 
+def test_runs_of_texts_longer_than_the_place_bits(monkeypatch):
+    data = np.random.default_rng(2).integers(0, 256, 5000).astype(np.uint8)
+    symbols = repeats.byte_symbols(data, np.array([0, 3500, 5000]))
+    want = repeats.runs_of(*symbols, 200, 16)
+    monkeypatch.setattr(repeats, "PLACE_BITS", 10)
+    got = repeats.runs_of(*symbols, 200, 16)
+    assert len(want["p"]) > 20 and all(np.array_equal(want[x], got[x]) for x in want)
+
+
 def test_deep_shallow_sorts():
     r = random.Random(1)
     strings = [bytes(r.choice(b"ab\0") for _ in range(r.randint(0, 90))) for _ in range(150)]
