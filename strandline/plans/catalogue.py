@@ -535,11 +535,27 @@ def haplotype_scores(haplotypes):
     "haplotypes",
 )
 def haplotype_assign(haplotypes):
-    """Targets (even samples) assigned to references (odd ones)."""
+    """Targets (even samples) assigned to references (odd ones); ``haplotype_assign_all`` has every sample as both."""
     scored = H.diagnostic_scores(haplotypes)
     return H.assign(H.compare(haplotypes.where("sample_id % 2 = 0"), scored.where("sample_id % 2 = 1")))
 
 
+_HALVES = "WHERE a.sample_id % 2 = 0 AND b.sample_id % 2 = 1"
+_HEAD = "SELECT target_id, CASE WHEN nb = 1 AND second > 0 AND round(log2(best / second), 2) >= 0.08 THEN ref_id END AS assigned, best, second FROM g"
+
+
+@query(
+    _HC.replace(_HALVES, "WHERE a.sample_id <> b.sample_id")
+    + ", b AS (SELECT *, max(score) OVER (PARTITION BY target_id) AS best FROM c), g AS (SELECT target_id, max(best) AS best, count(*) FILTER (WHERE score = best) AS nb, min(ref_id) FILTER (WHERE score = best) AS ref_id, max(score) FILTER (WHERE score < best) AS second FROM b GROUP BY 1) "
+    + _HEAD,
+    "haplotypes",
+)
+def haplotype_assign_all(haplotypes):
+    """Every sample assigned to one of all others."""
+    scored = H.diagnostic_scores(haplotypes)
+    return H.assign(H.compare(haplotypes, scored).where("target_id <> ref_id"))
+
+
 # sets and text ----------------------------------------------------------------------------------
 
 

@@ -68,6 +68,14 @@ def test_complementary_all_pairs(spark, tmp_path):
     assert {(r.meets, r.side): r.n for r in got} == want and len(want) == 4
 
 
+def test_every_sample_is_assigned(spark):
+    sf = "/root/testdata/sf0.001"
+    samples = {r.sample_id for r in catalogue.QUERIES["haplotype_scores"](spark, sf).collect()}
+    got = catalogue.QUERIES["haplotype_assign_all"](spark, sf).collect()
+    assert {r.target_id for r in got} == samples and len(got) == len(samples) > 1
+    assert all(r.assigned != r.target_id for r in got)
+
+
 def test_tail(spark):
     seqs = ["C" * 20 + "A" * 10, "C" * 14 + "A" * 12, "A" * 30, "CCC", "", "C" * 20 + "A" * 15 + "G" * 51]
     df = spark.createDataFrame([(s,) for s in seqs], "s string").withColumn("run", S.tail_monomer("s"))
