@@ -6,7 +6,8 @@ so that a contained item is a fair part of some segment however long the documen
 An item and a segment that agree in any of ``hashes`` minima are candidates; exact
 containment of the item's shingles in the whole document decides.
 
-An item of q > S / 2 shingles of which 0.8 are in one segment has a Jaccard similarity of
+Items of fewer than ``FEW`` distinct shingles are found exactly, by each shingle. Another item,
+of q > S / 2 shingles (or q = 4, for S = 8) of which 0.8 are in one segment has a Jaccard similarity of
 at least 0.4 S / 2.1 S to it: it is missed with probability (1 - 0.19) ** 64 < 2e-6 at most;
 shingles spread over several segments add up likewise.
 
@@ -33,6 +34,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import _common as C
 
 LEAST_SIZE = 8
+#: Items of fewer distinct shingles are looked up by each of them.
+FEW = 4
 
 
 def shingles_of(words: np.ndarray, n: int) -> np.ndarray:
@@ -60,9 +63,13 @@ class ItemIndex:
                 self.sets.append(np.unique(shingles_of(words, k)))
         self.classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         short = {i for x in self.short.values() for i in x}
+        few = [i for i, s in enumerate(self.sets) if i not in short and len(s) < FEW]
+        keys, owner = np.concatenate([np.zeros(0, np.uint64), *[self.sets[i] for i in few]]), np.repeat(np.array(few, np.int64), [len(self.sets[i]) for i in few])
+        by = np.argsort(keys, kind="stable")
+        self.few = keys[by], owner[by]
         by_size: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
-            if i not in short:
+            if i not in short and len(s) >= FEW:
                 by_size.setdefault(max(LEAST_SIZE, 1 << (len(s) - 1).bit_length()), []).append(i)
         for size, mine in by_size.items():
             keys = np.array([[self._key(j, (self.sets[i] * f).min()) for j, f in enumerate(self.factors)] for i in mine], np.uint64)
@@ -103,6 +110,12 @@ class ItemIndex:
                         found.update((int(of_unit[at[x]]), int(i)) for i in owner[a[x] : b[x]])
         return found
 
+    def met(self, shingles: np.ndarray, row: np.ndarray) -> set[tuple[int, int]]:
+        """(row, item) pairs that share a shingle, of the items of few."""
+        keys, owner = self.few
+        a, b = np.searchsorted(keys, shingles), np.searchsorted(keys, shingles, side="right")
+        return {(int(row[x]), int(i)) for x in np.flatnonzero(a < b) for i in owner[a[x] : b[x]]}
+
     def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, object, int, int]]:
         """(row, item id, shared shingles, item's shingles) of contained items."""
         n_rows = len(offsets) - 1
@@ -111,7 +124,7 @@ class ItemIndex:
         at = np.searchsorted(row, np.arange(n_rows + 1))
         out = []
         grams, inside = shingles_of(words, self.n), np.flatnonzero(row[self.n - 1 :] == row[: len(row) - self.n + 1]) if len(row) >= self.n else np.zeros(0, int)
-        pairs = self.candidates(grams[inside], row[inside], n_rows)
+        pairs = self.candidates(grams[inside], row[inside], n_rows) | self.met(grams[inside], row[inside])
         for k, mine in self.short.items():
             if len(words) >= k:
                 g = shingles_of(words, k)

@@ -256,6 +256,16 @@ def test_contamination(spark, table, texts):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in texts(df)} - {d for d, _ in want} and clean.columns == df.columns
 
 
+def test_items_of_one_shingle_are_all_found():
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(10**9)}"
+    items = [(i, " ".join(word() for _ in range(5))) for i in range(3000)]
+    texts = [" ".join([*(word() for _ in range(30)), t, *(word() for _ in range(30))]).encode() for _, t in items]
+    index = contamination.ItemIndex(items, 5, 64, 0.8)
+    hits = index.search(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert sorted(h[:2] for h in hits) == [(i, i) for i in range(3000)]
+
+
 def test_jaccard_classes(table, texts):
     for df in (table(), table(generated(6))):
         docs = texts(df)
