@@ -57,6 +57,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of one part that tasks deal out among themselves by key.
+DEALT_BYTES = 32 << 20
+
+
+def dealt(table: DataFrame, *keys: str) -> DataFrame:
+    """A written table dealt out and sorted by keys; the number of parts follows from its bytes."""
+    spark = table.sparkSession
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(partitions(spark), min(size // DEALT_BYTES, 100_000))
+    return table.repartition(n, *keys).sortWithinPartitions(*keys)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``kid`` (a hash of id and text), ``doc_id`` and ``text`` (null: empty); other columns go.
 

@@ -1,11 +1,17 @@
 """Substring dedup on words: seed and extend.
 
-Documents are joined on winnowed anchors (the least k-gram of each window), anchors
-that meet are extended to both sides over all windows that chose them, and the maximal
-repeats of ``window`` words or more are removed wherever they occur.
+Documents are joined on winnowed anchors (the least k-gram of each window). Where an anchor
+meets itself, the match is extended word by word to both sides as far as both places agree
+and choose that anchor; matches of ``window`` words or more are kept: a maximal repeat is
+such a match, or the union of those of consecutive anchors. Surroundings that agree as a whole are
+extended once for all of them, and the matches of one anchor are compared in buckets
+of at most ``BUCKET`` different surroundings; those of more common anchors are split
+first by longer sequences that they share (``repeats``).
 
 Defined results: a null text has no words; a text shorter than the window keeps all;
-repeated rows count as further occurrences; an empty table gives an empty table.
+repeated rows count as further occurrences; an empty table gives an empty table; columns other
+than id and text are left out, whatever their names; a document is handled by one task, with
+about 100 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -19,13 +25,58 @@ from . import _common as C
 from . import repeats as R
 
 
-def remove_repeated_passages(docs: DataFrame, window: int = 35, anchor: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Different surroundings of an anchor that are extended against each other at most.
+BUCKET = 32
+
+
+def padded(items: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int) -> np.ndarray:
+    """A row of items for each start, forward or backward (step -1); ended by numbers that no other row has."""
+    wide = int(sizes.max(initial=0)) + 1
+    k = np.arange(wide)
+    at = np.clip(starts[:, None] + step * k[None, :], 0, max(len(items) - 1, 0))
+    own = C.mix(np.arange(len(starts), dtype=C.U64) + C.U64(1))
+    return np.where(k[None, :] < sizes[:, None], items[at], own[:, None])
+
+
+def extended(key: np.ndarray, items: np.ndarray, at: np.ndarray, p: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Extends all matches of the pieces of a key; numbers of pieces, and least and largest x of the windows in a match.
+
+    A match of l words before the seed and r from it on holds the windows that start
+    window - r to l words before the seed.
+    """
+    right = padded(items, at[:-1] + p, np.diff(at) - p, 1)
+    left = padded(items, at[:-1] + p - 1, p, -1)
+    edge = np.searchsorted(key, key, side="right")
+    later = edge - np.arange(len(key)) - 1  # pieces of the same key after this one
+    out = [np.zeros((3, 0), np.int64)]
+    a_all = np.repeat(np.arange(len(key)), later)
+    b_all = np.arange(len(a_all)) - np.repeat(np.cumsum(later) - later, later) + a_all + 1
+    for x in range(0, len(a_all), 8192):
+        a, b = a_all[x : x + 8192], b_all[x : x + 8192]
+        r = np.argmin(right[a] == right[b], axis=1)
+        l = np.argmin(left[a] == left[b], axis=1)
+        far = l + r >= window
+        for i in (a[far], b[far]):
+            out.append(np.stack((i, np.maximum(window - r[far], (p - n + 1)[i]), np.minimum(l[far], p[i]))))
+    return tuple(np.unique(np.concatenate(out, axis=1), axis=1))
+
+
+def by_extension(window: int):
+    def solve(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw, at = C.buffers(rows.column("piece").combine_chunks())
+        p, n = (rows.column(x).to_numpy().astype(np.int64) for x in ("p", "n"))
+        return extended(rows.column("key").to_numpy(), raw.view(np.uint64), at // 8, p, n, window)
+
+    return solve
+
+
+def remove_repeated_passages(docs: DataFrame, window: int = 35, anchor: int = 8, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (words joined by one space), removed (ranges of words).
 
-    Fingerprints have 64 bits beside the anchor's 64; equal fingerprints count as equal words.
+    Words are compared by 64-bit hashes, whole surroundings by 128 bits.
     """
     docs = C.keyed(docs, id_col, text_col)
-    spans = R.repeated(docs, R.word_symbols, window, min(anchor, window), R.extend_by_count(R.word_symbols, window))
+    spans = R.repeated(docs, R.WORDS, window, min(anchor, window), by_extension(window), bucket)
     joined = R.packed(docs).join(spans, "kid", "left").select("doc_id", "z", "spans")
 
     def emit(batches):

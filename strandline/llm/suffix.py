@@ -23,8 +23,8 @@ from . import repeats as R
 
 #: Bytes that the multikey quicksort looks at.
 SHALLOW = 32
-#: Different surroundings of a seed that are sorted together.
-MOST = 32
+#: Different surroundings that are sorted together at most.
+BUCKET = 512
 
 
 def lcp(a: bytes, b: bytes) -> int:
@@ -131,96 +131,57 @@ def deep_shallow(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, n
     return order, common
 
 
-def _pairwise(order: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Common prefix of any two of one group, from its part of the array."""
-    m = len(order)
-    out = np.zeros((m, m), np.int64)
-    for i in range(m - 1):
-        out[order[i], order[i + 1 :]] = np.minimum.accumulate(common[i + 1 :])
-    return np.maximum(out, out.T)
-
-
-def shared_windows(group: np.ndarray, texts: list[bytes], seed_at: np.ndarray, n_windows: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(number, first, last window) of windows that another text of the group has at the same distance from the seed."""
-    right = [t[p:] for t, p in zip(texts, seed_at)]
-    left = [t[:p][::-1] for t, p in zip(texts, seed_at)]
-    ro, rc = deep_shallow(right, group)
-    lo, lc = deep_shallow(left, group)
-    found = []
-    edge = np.flatnonzero(np.concatenate(([True], group[ro][1:] != group[ro][:-1], [True])))
-    for a, b in zip(edge[:-1], edge[1:]):
-        if b - a < 2:
-            continue
-        mine = np.sort(ro[a:b])
-        r = _pairwise(np.searchsorted(mine, ro[a:b]), rc[a:b])
-        l = _pairwise(np.searchsorted(mine, lo[a:b]), lc[a:b])
-        p = seed_at[mine][:, None]
-        first = np.maximum(p - l, 0)
-        last = np.minimum(p - np.maximum(length - r, 0), n_windows[mine][:, None] - 1)
-        np.fill_diagonal(last, -1)
-        for i in np.flatnonzero((first <= last).any(axis=1)):
-            ok = first[i] <= last[i]
-            for x, y in {*zip(first[i][ok].tolist(), last[i][ok].tolist())}:
-                found.append((int(mine[i]), x, y))
-    return found
-
-
-def extend_by_suffix_array(length: int, k: int, most: int = MOST):
-    def extend(keyed: DataFrame, ask: DataFrame) -> DataFrame:
-        counted = R.extend_by_count(R.byte_symbols, length)(keyed, ask.where(F.col("d") > most))
-        lists = ask.where(F.col("d") <= most).groupBy("kid").agg(F.collect_list(F.struct("s0", "h")).alias("asked"))
-        joined = R.packed(keyed).select("kid", "z").join(lists, "kid").select("kid", "z", F.col("asked.s0").alias("s0"), F.col("asked.h").alias("h"))
-
-        def surroundings(batches):
-            for batch in batches:
-                for part in R.packed_slices(batch):
-                    texts, data, offsets = R.unpack(part.column("z"))
-                    r = R.runs_of(*R.byte_symbols(data, offsets), length, k)
-                    place = (r["row"].astype(np.int64) << 40) + r["s0"]
-                    doc = np.repeat(np.arange(part.num_rows), [len(x) for x in part.column("s0")])
-                    s0, h = (part.column(x).flatten().to_numpy() for x in ("s0", "h"))
-                    at = np.searchsorted(place, (doc << 40) + s0)
-                    s1 = r["s1"][at]
-                    cut = [texts[d][a : b + length] for d, a, b in zip(doc, s0, s1)]
-                    kid = part.column("kid").to_numpy()[doc]
-                    yield pa.record_batch([h, kid, s0, (r["p"][at] - s0).astype(np.int32), (s1 - s0 + 1).astype(np.int32), pa.array(cut, pa.binary())], names=["h", "kid", "s0", "p", "n", "around"])
-
-        pieces = joined.mapInArrow(surroundings, "h long, kid long, s0 int, p int, n int, around binary")
-        pieces = pieces.repartition(C.partitions(keyed.sparkSession), "h").sortWithinPartitions("h")
-
-        def buckets(batches):
-            held = None  # rows of the last seed so far
-            for batch in batches:
-                rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-                h = rows.column("h").to_numpy()
-                whole = int(np.searchsorted(h, h[-1])) if len(h) else 0
-                if whole:
-                    yield sort_bucket(rows.slice(0, whole))
-                held = rows.slice(whole)
-            if held is not None and held.num_rows:
-                yield sort_bucket(held)
-
-        def sort_bucket(rows: pa.Table) -> pa.RecordBatch:
-            _, group = np.unique(rows.column("h").to_numpy(), return_inverse=True)
-            found = shared_windows(group, rows.column("around").to_pylist(), rows.column("p").to_numpy().astype(np.int64), rows.column("n").to_numpy().astype(np.int64), length)
-            i, a, b = np.array(found, np.int64).reshape(-1, 3).T
-            s0 = rows.column("s0").to_numpy()[i]
-            return pa.record_batch([rows.column("kid").to_numpy()[i], (s0 + a).astype(np.int32), (s0 + b).astype(np.int32)], names=["kid", "s0", "s1"])
-
-        return pieces.mapInArrow(buckets, "kid long, s0 int, s1 int").unionByName(counted)
-
-    return extend
-
-
-def remove_repeated_bytes(docs: DataFrame, length: int = 200, seed: int = 48, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shared_windows(group: np.ndarray, texts: list[bytes], seed_at: np.ndarray, n_windows: np.ndarray, length: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of texts, first and last x of windows that another text of the group has too.
+
+    The window at x starts x bytes before the seed. Two texts share it if they are in one
+    longest-common-prefix interval of x bytes or more of the left array, and in one of
+    ``length`` - x or more of the right array. ``skip``: bytes from the seed on that all texts of a group share.
+    """
+    m = len(texts)
+    ro, rc = deep_shallow([t[p + skip :] for t, p in zip(texts, seed_at)], group)
+    lo, lc = deep_shallow([t[:p][::-1] for t, p in zip(texts, seed_at)], group)
+    rc = np.where(rc < 0, -1, rc + skip)
+    rank_r, rank_l = np.empty(m, np.int64), np.empty(m, np.int64)
+    rank_r[ro], rank_l[lo] = np.arange(m), np.arange(m)
+    best = lambda c, rank: np.maximum(c, np.append(c[1:], -1))[rank]  # noqa: E731  with either neighbour
+    first = np.maximum(seed_at - n_windows + 1, length - best(rc, rank_r))
+    last = np.minimum(seed_at, best(lc, rank_l))
+    open_ = np.flatnonzero(first <= last)
+    if not len(open_):
+        return np.zeros((3, 0), np.int64)
+    low, high = int(first[open_].min()), int(last[open_].max())
+    met = np.zeros((m, high - low + 3), bool)
+    for x in range(low, high + 1):
+        mine = open_[(first[open_] <= x) & (x <= last[open_])]
+        if len(mine) > 1:
+            left, right = np.cumsum(lc < x)[rank_l[mine]], np.cumsum(rc < length - x)[rank_r[mine]]
+            _, pair, count = np.unique(left * (m + 1) + right, return_inverse=True, return_counts=True)
+            met[mine[count[pair] > 1], x - low + 1] = True
+    i, edge = np.nonzero(met[:, 1:] != met[:, :-1])
+    return i[::2], edge[::2] + low, edge[1::2] + low - 1
+
+
+def by_suffix_arrays(length: int, skip: int):
+    def solve(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        _, group = np.unique(rows.column("key").to_numpy(), return_inverse=True)
+        p, n = (rows.column(x).to_numpy().astype(np.int64) for x in ("p", "n"))
+        return shared_windows(group, rows.column("piece").to_pylist(), p, n, length, skip)
+
+    return solve
+
+
+def remove_repeated_bytes(docs: DataFrame, length: int = 200, seed: int = 48, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, kept (binary), removed (ranges of bytes, maximal).
 
-    Texts are their UTF-8 bytes; null is empty and keeps nothing to remove. Repeated rows
-    count as further occurrences; an empty table gives an empty table.
+    Texts are their UTF-8 bytes; null is empty. A text shorter than ``length`` keeps all. Repeated
+    rows count as further occurrences; an empty table gives an empty table; columns other than
+    id and text are left out, whatever their names. A document is handled by one task, with
+    about 100 bytes of memory for each of its own.
     """
     docs = C.keyed(docs, id_col, text_col)
     seed = min(seed, length)
-    spans = R.repeated(docs, R.byte_symbols, length, seed, extend_by_suffix_array(length, seed, most))
+    spans = R.repeated(docs, R.BYTES, length, seed, by_suffix_arrays(length, seed), bucket)
     joined = R.packed(docs).join(spans, "kid", "left").select("doc_id", "z", "spans")
 
     def emit(batches):

@@ -58,19 +58,39 @@ def test_passages_against_brute_force(table, texts, window):
         assert rows(substring.remove_repeated_passages(df, window=window, anchor=4), "doc_id", "n_words", "n_removed", "kept") == want
 
 
-@pytest.mark.parametrize("length,most", [(200, 32), (40, 32), (40, 2)])
-def test_bytes_against_brute_force(table, texts, length, most):
+@pytest.mark.parametrize("length,bucket", [(200, 512), (40, 512), (40, 2)])
+def test_bytes_against_brute_force(table, texts, length, bucket):
     df = table(generated(9)) if length == 40 else table([(i, t) for i, t in generated(3)] + [(None, None), (7, "x" * 3000), (8, "")])
     docs = texts(df)
     raw = [t.encode() for _, t in docs]
     want = sorted(((d, len(b), sum(g), bytes(x for x, y in zip(b, g) if not y)) for (d, _), b, g in zip(docs, raw, removed(raw, length))), key=repr)
-    got = suffix.remove_repeated_bytes(df, length=length, seed=16, most=most)
+    got = suffix.remove_repeated_bytes(df, length=length, seed=16, bucket=bucket)
     assert rows(got.withColumn("kept", got.kept), "doc_id", "n_bytes", "n_removed", "kept") == want
 
 
+def hot_passage(n=1000):
+    """A passage in n different surroundings, some of which share a little more of them."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 6)))
+    passage = " ".join(word() for _ in range(60))
+    return [(i, " ".join([*(word() for _ in range(20)), r.choice("xyz"), passage, r.choice("xyz"), r.choice("xyz"), *(word() for _ in range(20))])) for i in range(n)]
+
+
+@pytest.mark.parametrize("bucket", [512, 8])
+def test_a_seed_with_a_thousand_surroundings(table, texts, bucket):
+    df = table(hot_passage())
+    docs = texts(df)
+    raw = [t.encode() for _, t in docs]
+    want = sorted(((d, len(b), sum(g)) for (d, _), b, g in zip(docs, raw, removed(raw, 200))), key=repr)
+    assert rows(suffix.remove_repeated_bytes(df, bucket=bucket), "doc_id", "n_bytes", "n_removed") == want
+    words = [tuple(t.split()) for _, t in docs]
+    want = sorted(((d, len(w), sum(g)) for (d, _), w, g in zip(docs, words, removed(words, 35))), key=repr)
+    assert rows(substring.remove_repeated_passages(df, bucket=bucket), "doc_id", "n_words", "n_removed") == want
+
+
 def test_runs_of_texts_longer_than_the_place_bits(monkeypatch):
     data = np.random.default_rng(2).integers(0, 256, 5000).astype(np.uint8)
-    symbols = repeats.byte_symbols(data, np.array([0, 3500, 5000]))
+    symbols = repeats.BYTES.codes(data), np.array([0, 3500, 5000])
     want = repeats.runs_of(*symbols, 200, 16)
     monkeypatch.setattr(repeats, "PLACE_BITS", 10)
     got = repeats.runs_of(*symbols, 200, 16)
