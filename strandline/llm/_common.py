@@ -80,6 +80,23 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.xxhash64(docs[id_col], text).alias("kid"), docs[id_col].alias("doc_id"), text.alias("text"))
 
 
+def nested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``kid`` and ``text`` as in ``keyed``, and the whole row in one column ``row``, so that no name can clash."""
+    findable(docs.sparkSession)
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return docs.select(F.xxhash64(docs[id_col], text).alias("kid"), text.alias("text"), F.struct(*[docs[_quoted(x)] for x in docs.columns]).alias("row"))
+
+
+def flat(rows: DataFrame, names: list[str], new: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of ``row`` again; ``new`` replaces some."""
+    new = new or {}
+    return rows.select(*[new.get(x, F.col("row").getField(x)).alias(x) for x in names])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary column's bytes and its n + 1 offsets, null as empty."""
     kind = pa.large_string() if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else pa.large_binary()

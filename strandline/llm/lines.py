@@ -11,7 +11,8 @@ carry their text on, are grouped by the text itself, and their later places go.
 
 Defined results: null text is empty; a text without a repeated chunk is unchanged; an
 emptied text is the empty string; of repeated rows (same id and text) all copies keep
-the first place's chunks; an empty table gives an empty table.
+the first place's chunks; an empty table gives an empty table; a very long text is one row
+of the plan, as its lines are; columns other than id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -75,19 +76,21 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, id_col: str = "doc_id",
     return out.select("doc_id", F.expr(KEPT).alias("kept"), F.size("ends").cast("long").alias("n_chunks"), F.size("gone").cast("long").alias("n_removed"), F.expr(LINES_GONE).alias("n_removed_lines"))
 
 
-def without_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, pairs: bool = True) -> DataFrame:
-    """The documents with all their columns; text (and n_chars, where there is one) without repeated chunks."""
+def without_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, pairs: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns; text (and n_chars, where there is one) without repeated chunks.
+
+    A null text stays null; of repeated rows none loses its first chunks' places; columns may have any
+    names; an empty table gives an empty table.
+    """
     names = docs.columns
-    kid = C.keyed(docs).schema["kid"].name
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.withColumn("kid__", F.xxhash64(docs["doc_id"], text))
-    gone = repeated_chunks(C.keyed(docs), divisor, pairs).withColumnRenamed(kid, "kid__")
-    cut = with_chunks(rows.join(gone, "kid__", "left"), [*names, "gone"], divisor=divisor, pairs=pairs)
-    new = {"text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr(KEPT))}
-    out = cut.withColumns(new)
+    rows = C.nested(docs, id_col, text_col).join(repeated_chunks(C.keyed(docs, id_col, text_col), divisor, pairs), "kid", "left")
+    cut = with_chunks(rows, ["row", "gone"], divisor=divisor, pairs=pairs)
+    same = lambda x, new: F.when(F.col("gone").isNull(), F.col("row").getField(x)).otherwise(new.cast(docs.schema[x].dataType))
+    kept = F.expr(KEPT)
+    new = {text_col: same(text_col, kept)}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*names)
+        new["n_chars"] = same("n_chars", F.length(kept))
+    return C.flat(cut, names, new)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, contamination, lines
+from . import chat, contamination, jaccard, lines, substring, suffix
 from .bpe import op5_bpe_encode_decode
 from .chat import op8_chat_formatting
 from .contamination import op9_benchmark_decontamination
@@ -30,4 +30,12 @@ QUERIES = {
         op1_line_dedup_pairs,
     )
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL, "op1_line_dedup_pairs": lines.PAIRS_SQL, "op8_chat_formatting": chat.ORACLE_SQL, "op9_benchmark_decontamination": contamination.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": lines.ORACLE_SQL,
+    "op1_line_dedup_pairs": lines.PAIRS_SQL,
+    "op3_substring_dedup": substring.ORACLE_SQL,
+    "op6_suffix_array_dedup": suffix.ORACLE_SQL,
+    "op8_chat_formatting": chat.ORACLE_SQL,
+    "op9_benchmark_decontamination": contamination.ORACLE_SQL,
+    "op10_ngram_jaccard_join": jaccard.ORACLE_SQL,
+}

@@ -6,14 +6,21 @@ bucket), and expectation-maximisation learns them on counts held out of training
 the tokens of one fold of the training documents, under the counts of the others.
 
 Documents are packed into blocks of a few MB. A block asks for the counts of its
-distinct n-grams, sorted by hash and packed as differences, with its own counts
-beside them; a bucket of hashes adds the blocks' counts up and answers in the same
+distinct n-grams, by order, sorted by their 64-bit hash and packed as differences, with its own counts
+beside them; a range of hashes adds the blocks' counts up and answers in the same
 order. So what is shuffled are distinct n-grams of blocks in a few bytes each; no
-table of n-grams is broadcast or brought to the driver. The driver gets sums, and the
-cells of a fixed grid of log probabilities for the weights.
+table of n-grams is broadcast or brought to the driver. The estimates of the tokens held out are
+written once; each round of expectation-maximisation sums the shares on the executors, and the
+driver gets a row of sums for each of at most 256 frequency buckets.
+
+A context of a document's first tokens holds begin marks; it was met as often as there are
+learned documents.
 
 Defined results: null text is empty (one end token); a null id counts as the empty
-string for the fold; no training documents give probability from the uniform part only.
+string for the fold; repeated rows count as often as they occur; no training documents give
+probability from the uniform part only; an empty table gives an empty table; columns other than id and text
+are left out, whatever their names; a text of any length is in one block, with about 30 times
+its bytes of memory.
 """
 
 from __future__ import annotations
@@ -29,9 +36,8 @@ from . import _common as C
 
 BLOCK_BYTES = 4 << 20
 BEGIN, END = C.U64(0x1F83D9ABFB41BD6B), C.U64(0x5BE0CD19137E2179)
-KEY_BITS = 56
-#: Steps of log2 of a probability on the grid, and its least value.
-GRID, FLOOR = 4, -400
+#: Frequency buckets: 32 for each order of the longest known context.
+BUCKETS, MOST_ORDER = 256, 8
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 LOWER_CODE = np.frombuffer(LOWER, np.uint8)
 
@@ -86,7 +92,7 @@ def block_rows(docs: DataFrame, tuning_fold: int) -> DataFrame:
 
 
 class Block:
-    """The tokens of a block's documents and the keys of their n-grams."""
+    """The tokens of a block's documents, and by order their n-grams' distinct hashes and each token's place among them."""
 
     def __init__(self, texts: bytes, sizes: bytes, folds: bytes, order: int):
         data = LOWER_CODE[np.frombuffer(zstandard.ZstdDecompressor().decompress(texts), np.uint8)]
@@ -95,160 +101,173 @@ class Block:
         self.folds = np.frombuffer(folds, np.uint8)
         starts, ends, row = C.words_of(data, offsets)
         count = np.bincount(row, minlength=n)
-        pad = max(order - 1, 1)
+        pad = order - 1
         length = count + pad + 1
         first = np.cumsum(length) - length
         symbols = np.full(length.sum(), BEGIN, np.uint64)
         symbols[first + length - 1] = END
-        at = np.arange(len(row)) - (np.cumsum(count) - count)[row] + (first + pad)[row]
-        symbols[at] = C.word_hashes(data, starts, ends)
-        self.row = np.repeat(np.arange(n), length)
-        is_token = symbols != BEGIN
-        self.token = np.flatnonzero(is_token)
-        self.n_tokens, self.order = count + 1, order
+        symbols[np.arange(len(row)) - (np.cumsum(count) - count)[row] + (first + pad)[row]] = C.word_hashes(data, starts, ends)
+        self.n_tokens = count + 1
+        self.begins = np.cumsum(self.n_tokens) - self.n_tokens
+        self.row = np.repeat(np.arange(n), self.n_tokens)
+        token = np.arange(len(self.row)) + pad * (self.row + 1)
         roll = C.Rolling(symbols)
-        self.keys = [key(roll.span(self.token - k + 1, self.token + 1), k) for k in range(1, order + 1)]
-        self.contexts = [key(roll.span(self.token - k + 1, self.token), k - 1) for k in range(2, order + 1)]
-        begin = first + pad
-        self.begins = [key(roll.span(begin - k + 1, begin), k - 1) for k in range(2, order + 1)]
-
-    def distinct(self, weight: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Distinct keys in order, and their counts by each row of weights over documents."""
-        rows = [self.row[self.token]] * self.order + [np.arange(len(self.folds))] * (self.order - 1)
-        keys, group = np.unique(np.concatenate([*self.keys, *self.begins]), return_inverse=True)
-        of = np.concatenate(rows)
-        return keys, [np.bincount(group, w[of], len(keys)).astype(np.uint32) for w in weight]
-
-
-def key(hashes: np.ndarray, order: int) -> np.ndarray:
-    return (C.mix(hashes) >> C.U64(64 - KEY_BITS)) & ~C.U64(3) | C.U64(order)
-
+        self.keys, self.place = [], []
+        for k in range(1, order + 1):
+            keys, place = np.unique(C.mix(roll.span(token - k + 1, token + 1)), return_inverse=True)
+            self.keys.append(keys)
+            self.place.append(place)
+
+    def counts(self, weight: np.ndarray) -> list[np.ndarray]:
+        """By order, how often each distinct n-gram occurs in documents of the weights."""
+        of = weight[self.row]
+        return [np.bincount(p, of, len(k)).astype(np.uint32) for k, p in zip(self.keys, self.place)]
+
+
+def probabilities(block: Block, counts: list[np.ndarray], n_docs: float, total: float, kinds: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's estimates (uniform, then by order) and its frequency bucket, from the counts of the block's n-grams."""
+    grams = [c[p] for c, p in zip(counts, block.place)]
+    n = len(block.row)
+    parts = [np.full(n, 1 / (kinds + 1)), grams[0] / max(total, 1)]
+    bucket = np.zeros(n, np.int64)
+    for k in range(1, len(grams)):
+        context = np.empty(n)  # of a token: the n-gram of the order below that ends before it
+        context[1:] = grams[k - 1][:-1]
+        context[block.begins] = n_docs
+        known = context > 0
+        parts.append(np.divide(grams[k], context, out=np.zeros(n), where=known))
+        bucket[known] = 32 * k + np.log2(context[known]).astype(np.int64)
+    return np.stack(parts, 1), bucket
 
-BEGIN_KEY = int(key(C.Rolling(np.array([BEGIN])).span(np.array([0]), np.array([1])), 1)[0])
 
+def shares(bucket: np.ndarray, p: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """By bucket: the number of tokens, and the sum of each part's share in their probability."""
+    share = weights[bucket] * p
+    share /= share.sum(1, keepdims=True)
+    return np.stack([np.bincount(bucket, x, BUCKETS) for x in (np.ones(len(bucket)), *share.T)], 1)
 
-def probabilities(grams: list[np.ndarray], contexts: list[np.ndarray], total: float, kinds: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each token's estimates (uniform, then by order) and its bucket.
 
-    grams: counts of the n-grams by order; contexts: those of the contexts from order 2 on.
-    """
-    n = len(grams[0])
-    parts = [np.full(n, 1 / (kinds + 1)), grams[0] / max(total, 1)]
-    bucket = np.zeros(n, np.int64)
-    for k, (c, context) in enumerate(zip(grams[1:], contexts), 1):
-        parts.append(np.where(context > 0, c / np.maximum(context, 1), 0.0))
-        bucket = np.where(context > 0, 32 * k + np.log2(np.maximum(context, 1)).astype(np.int64), bucket)
-    return np.stack(parts, 1), bucket
+def new_weights(sums: np.ndarray) -> np.ndarray:
+    """Weights by bucket from the sums of the shares; buckets without tokens get those of all tokens."""
+    every = sums.sum(0)
+    parts = sums.shape[1] - 1
+    pooled = every[1:] / every[0] if every[0] else np.full(parts, 1 / parts)
+    return np.where(sums[:, :1] > 0, sums[:, 1:] / np.maximum(sums[:, :1], 1), pooled)
 
 
-def learn_weights(cells: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weights by bucket, by expectation-maximisation; cells: bucket, count, estimates."""
-    parts = cells.shape[1] - 2
-    def em(p, n, w):
-        for _ in range(rounds):
-            share = w * p
-            share /= share.sum(1, keepdims=True)
-            w = (share * n[:, None]).sum(0) / n.sum()
-        return w
-
-    even = np.full(parts, 1 / parts)
-    bucket, n, p = cells[:, 0].astype(int), cells[:, 1], cells[:, 2:]
-    pooled = em(p, n, even) if len(n) else even
-    out = np.tile(pooled, (256, 1))
-    for b in np.unique(bucket):
-        mine = bucket == b
-        out[b] = em(p[mine], n[mine], pooled)
-    out = 0.99999 * out + 0.00001 / parts  # no weight is nothing
-    return out
-
-
-def score_documents(docs: DataFrame, order: int = 2, folds: int = 7, held_out: int = 2, tuning: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 3, folds: int = 7, held_out: int = 2, tuning: int = 3, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text.
 
     The fold is crc32 of the id as text modulo ``folds``; fold ``held_out`` isn't learned
-    from, and the weights are learned on fold ``tuning`` under the counts of the rest.
+    from, and the weights are learned on fold ``tuning`` under the counts of the rest, in ``rounds`` rounds.
     """
+    if not 1 <= order <= MOST_ORDER:
+        raise ValueError(f"the order must be from 1 to {MOST_ORDER}")
     spark = docs.sparkSession
     docs = C.keyed(docs, id_col, text_col)
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     blocks = C.cut(block_rows(docs.select("doc_id", "text", fold.cast("int").alias("fold")), tuning))
     bytes_ = blocks.agg(F.sum(F.octet_length("texts"))).first()[0] or 0
-    n_buckets = max(C.partitions(spark), bytes_ // (2 << 20), 1)
-    edges = np.array([i * (1 << KEY_BITS) // n_buckets for i in range(1, n_buckets)], np.uint64)
-    weights_of = lambda f: np.stack([f != held_out, (f != held_out) & (f != tuning)]).astype(float)
+    n_ranges = max(C.partitions(spark), bytes_ // (2 << 20), 1)
+    edges = np.array([i * (1 << 64) // n_ranges for i in range(1, n_ranges)], np.uint64)
+    learned = lambda f: (f != held_out).astype(float)
+    fitted = lambda f: ((f != held_out) & (f != tuning)).astype(float)
+    field = lambda batch, i, names: (batch.column(x)[i].as_py() for x in names)
+    block_fields = ("texts", "sizes", "folds")
 
     def ask(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                texts, sizes, folds_, block = (batch.column(x)[i].as_py() for x in ("texts", "sizes", "folds", "block"))
-                b = Block(texts, sizes, folds_, order)
-                keys, (every, fit) = b.distinct(weights_of(b.folds))
-                cut = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                out = [(j, block, shrink(np.diff(keys[x:y], prepend=C.U64(0))), shrink(every[x:y]), shrink(fit[x:y])) for j, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
-                yield pa.record_batch([pa.array(x) for x in zip(*out)], names=["b", "block", "keys", "every", "fit"])
+                b = Block(*field(batch, i, block_fields), order)
+                block, tune = field(batch, i, ("block", "tune"))
+                every, fit = b.counts(learned(b.folds)), b.counts(fitted(b.folds))
+                for k, keys in enumerate(b.keys):
+                    cut = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                    out = [(k * n_ranges + j, block, tune, shrink(np.diff(keys[x:y], prepend=C.U64(0))), shrink(every[k][x:y]), shrink(fit[k][x:y])) for j, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+                    yield pa.record_batch([pa.array(x) for x in zip(*out)], names=["b", "block", "tune", "keys", "every", "fit"])
 
-    asked = blocks.select("block", "texts", "sizes", "folds").mapInArrow(ask, "b long, block long, keys binary, every binary, fit binary")
+    asked = blocks.select("block", "tune", *block_fields).mapInArrow(ask, "b long, block long, tune boolean, keys binary, every binary, fit binary")
 
     def answer(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        keys = [np.cumsum(grow(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
-        own, group = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(group, np.concatenate([grow(r[x], np.uint32) for r in rows]), len(own)) for x in ("every", "fit")]
-        word = (own & C.U64(3) == 1) & (own != C.U64(BEGIN_KEY))
+        """Sums of a range; a block gets those of its keys, under the counts without the tuning fold only if it is for tuning."""
+        m = len(table)
+        keys = [np.cumsum(grow(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("keys")]
         at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-        replies = [[shrink(s[group[x:y]].astype(np.uint32)) for x, y in zip(at[:-1], at[1:])] for s in sums]
-        once = lambda v: [int(v), *[0] * (len(rows) - 1)]
+        own, place = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        every, fit = (np.bincount(place, np.concatenate([grow(x.as_py(), np.uint32) for x in table.column(c)]), len(own)).astype(np.uint32) for c in ("every", "fit"))
+        tune = table.column("tune").to_pylist()
+        spans = list(zip(at[:-1], at[1:]))
+        word = table.column("b")[0].as_py() < n_ranges
+        once = lambda v: pa.array([int(v) if word else 0, *[0] * (m - 1)], pa.int64())
         return pa.table(
-            [[r["b"] for r in rows], [r["block"] for r in rows], *replies, once(sums[0][word].sum()), once((sums[0][word] > 0).sum()), once(sums[1][word].sum()), once((sums[1][word] > 0).sum())],
+            [table.column("b"), table.column("block"), pa.array([shrink(every[place[x:y]]) for x, y in spans]), pa.array([shrink(fit[place[x:y]]) if t else None for t, (x, y) in zip(tune, spans)], pa.binary())]
+            + [once(x) for x in (every.sum(dtype=np.int64), np.count_nonzero(every), fit.sum(dtype=np.int64), np.count_nonzero(fit))],
             names=["b", "block", "every", "fit", "n", "v", "n_fit", "v_fit"],
         )
 
     answers = C.cut(asked.groupBy("b").applyInArrow(answer, "b long, block long, every binary, fit binary, n long, v long, n_fit long, v_fit long"))
     total = answers.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n", "v", "n_fit", "v_fit")]).first()
+    folds_of = docs.select(fold.cast("int").alias("f")).groupBy("f").count().collect()
+    n_docs = sum(r["count"] for r in folds_of if r.f != held_out)
+    n_docs_fit = sum(r["count"] for r in folds_of if r.f not in (held_out, tuning))
 
     def with_counts(some: DataFrame, column: str) -> DataFrame:
-        lists = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("b", F.col(column).alias("c")))).alias("counts"))
+        lists = answers.where(F.col(column).isNotNull()).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("b", F.col(column).alias("c")))).alias("counts"))
         return some.join(lists, "block").withColumn("counts", F.col("counts.c"))
 
-    def counts_of(batch, i):
-        b = Block(*(batch.column(x)[i].as_py() for x in ("texts", "sizes", "folds")), order)
-        keys, _ = b.distinct(np.zeros((0, len(b.folds))))
+    def counted(batch, i):
+        b = Block(*field(batch, i, block_fields), order)
         counts = np.concatenate([grow(c, np.uint32) for c in batch.column("counts")[i].as_py()]).astype(float)
-        look = lambda k: counts[np.searchsorted(keys, k)]
-        return b, [look(k) for k in b.keys], [look(k) for k in b.contexts]
+        return b, np.split(counts, np.cumsum([len(k) for k in b.keys])[:-1])
 
-    parts = order + 1
-    grid_names = [f"q{k}" for k in range(1, parts)]
+    names = [f"p{k}" for k in range(1, order + 1)]
 
-    def grid(batches):
+    def estimates(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                _, grams, contexts = counts_of(batch, i)
-                p, bucket = probabilities(grams, contexts, total.n_fit, total.v_fit)
-                q = np.full((len(p), parts - 1), FLOOR)
-                np.copyto(q, np.round(GRID * np.log2(np.maximum(p[:, 1:], 1e-30))).astype(np.int64), where=p[:, 1:] > 0)
-                cells, n = np.unique(np.column_stack((bucket, q)), axis=0, return_counts=True)
-                yield pa.record_batch([*[pa.array(c.astype(np.int32)) for c in cells.T], pa.array(n, pa.int64())], names=["bucket", *grid_names, "n"])
-
-    cells = with_counts(blocks.where("tune"), "fit").select("texts", "sizes", "folds", "counts").mapInArrow(grid, "bucket int, " + "".join(f"{x} int, " for x in grid_names) + "n long")
-    cells = cells.groupBy("bucket", *grid_names).agg(F.sum("n").alias("n")).collect()  # cells of a fixed grid
-    table = np.array([[r.bucket, r.n, 1 / (total.v_fit + 1), *[2.0 ** (r[x] / GRID) if r[x] > FLOOR else 0.0 for x in grid_names]] for r in cells])
-    weights = learn_weights(table.reshape(len(cells), parts + 2))
+                b, counts = counted(batch, i)
+                p, bucket = probabilities(b, counts, n_docs_fit, total.n_fit, total.v_fit)
+                yield pa.record_batch([pa.array([shrink(bucket.astype(np.uint8))]), *[pa.array([shrink(x.astype(np.float32))]) for x in p.T[1:]]], names=["bucket", *names])
+
+    tokens = C.cut(with_counts(blocks.where("tune"), "fit").select(*block_fields, "counts").mapInArrow(estimates, "bucket binary, " + ", ".join(f"{x} binary" for x in names)))
+    columns = ["n", *[f"s{k}" for k in range(order + 1)]]
+    weights = np.full((BUCKETS, order + 1), 1 / (order + 1))
+    for _ in range(rounds):
+
+        def expect(batches, weights=weights):
+            sums = np.zeros((BUCKETS, order + 2))
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    bucket, *p = field(batch, i, ("bucket", *names))
+                    bucket = grow(bucket, np.uint8)
+                    p = np.stack([np.full(len(bucket), 1 / (total.v_fit + 1)), *[grow(x, np.float32).astype(float) for x in p]], 1)
+                    sums += shares(bucket, p, weights)
+            met = np.flatnonzero(sums[:, 0])
+            yield pa.record_batch([pa.array(met, pa.int32()), *[pa.array(x) for x in sums[met].T]], names=["bucket", *columns])
+
+        found = tokens.mapInArrow(expect, "bucket int, " + ", ".join(f"{x} double" for x in columns)).groupBy("bucket").agg(*[F.sum(x).alias(x) for x in columns]).collect()
+        sums = np.zeros((BUCKETS, order + 2))
+        for r in found:
+            sums[r.bucket] = [r[x] for x in columns]
+        weights = new_weights(sums)
+    weights = 0.99999 * weights + 0.00001 / (order + 1)  # no weight is nothing
 
     def score(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                b, grams, contexts = counts_of(batch, i)
-                p, bucket = probabilities(grams, contexts, total.n, total.v)
-                row, n = b.row[b.token], len(b.folds)
-                base = np.bincount(row, np.log10((grams[0] + 1) / (total.n + total.v + 1)), n)
-                mixed = np.bincount(row, np.log10((p * weights[bucket]).sum(1)), n)
+                b, counts = counted(batch, i)
+                p, bucket = probabilities(b, counts, n_docs, total.n, total.v)
+                n = len(b.folds)
+                words = counts[0][b.place[0]]
+                base = np.bincount(b.row, np.log10((words + 1) / (total.n + total.v + 1)), n)
+                mixed = np.bincount(b.row, np.log10(np.einsum("ij,ij->i", p, weights[bucket])), n)
                 ids = pa.ipc.open_stream(batch.column("ids")[i].as_py()).read_all().column("doc_id").combine_chunks()
-                known = np.bincount(row, grams[0] > 0, n).astype(np.int64)
+                known = np.bincount(b.row, words > 0, n).astype(np.int64)
                 yield pa.record_batch([ids, pa.array(b.folds == held_out), pa.array(b.n_tokens, pa.int64()), known, pa.array([int(total.n)] * n, pa.int64()), base, mixed], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    full = with_counts(blocks, "every").select("texts", "sizes", "ids", "folds", "counts")
+    full = with_counts(blocks, "every").select(*block_fields, "ids", "counts")
     return full.mapInArrow(score, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -106,3 +106,16 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, anchor: int = 8,
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM d, unnest(range(1, len(w) - 33)) AS u(i)),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM g) WHERE n > 1),
+e AS (SELECT doc_id, i, 1 AS step FROM m UNION ALL SELECT doc_id, i + 35, -1 FROM m),
+v AS (SELECT doc_id, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+q AS (SELECT doc_id, i, sum(step) AS step FROM e GROUP BY doc_id, i),
+z AS (SELECT v.*, sum(coalesce(q.step, 0)) OVER (PARTITION BY v.doc_id ORDER BY v.i) > 0 AS gone FROM v LEFT JOIN q ON q.doc_id = v.doc_id AND q.i = v.i),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM z GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

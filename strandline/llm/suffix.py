@@ -207,3 +207,20 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, seed: int = 48, bu
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes as pairs of hexadecimal digits, as strings have no substrings by bytes there.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+y AS (SELECT doc_id, 256 * j AS o, substr(x, 512 * j + 1, 910) AS y FROM d, unnest(range(0, len(x) // 512 + 1)) AS u(j)),
+g AS (SELECT doc_id, o + i AS i, md5_number_lower(substr(y, 2 * i + 1, 400)) AS g, md5_number_upper(substr(y, 2 * i + 1, 400)) AS f FROM y, unnest(range(0, len(y) // 2 - 199)) AS u(i)),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g, f) AS n FROM g) WHERE n > 1),
+o AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) > 200 AS new FROM m),
+r AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM o),
+s AS (SELECT doc_id, r, min(i) AS a, max(i) + 200 AS b FROM r GROUP BY doc_id, r),
+t AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM s),
+k AS (SELECT t.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM t JOIN d ON d.doc_id = t.doc_id GROUP BY t.doc_id)
+SELECT d.doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

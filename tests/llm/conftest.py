@@ -10,7 +10,8 @@ def table(spark):
             line = "the quick brown fox jumps over the lazy dog again and again today"
             body = "\n".join(f"{line} {i} {'abcdefgh'[i % 8]}" for i in range(12))
             rows = [(1, body), (2, body), (2, body), (3, None), (None, "a few words only here"), (None, body + "\nand one more line"), (4, ""), (5, " \t\n "), (6, "é ü <|endoftext|> ñ\r\n日本 😀"), (7, "x" * 300_000), (8, ("word " * 60_000)), (9, body.replace("fox", "cat", 1))]
-        return spark.createDataFrame([(i, t, "h", b"z", 1) for i, t in rows], "doc_id long, text string, kid__ string, z binary, n int")
+        names = ["kid__", "kid", "gone", "lines", "ends", "h", "row", "label", "node", "at", "a.b"]
+        return spark.createDataFrame([(i, t, b"z", k, *[f"{x}{k % 3}" for x in names]) for k, (i, t) in enumerate(rows)], "doc_id long, text string, z binary, n int, " + ", ".join(f"`{x}` string" for x in names))
 
     return make
 
