@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, shared_dir  # noqa: F401
+
 #: ASCII white space: space, tab, newline, vertical tab, form feed, carriage return.
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -24,19 +22,6 @@ BASE = U64(0x9E3779B97F4A7C13)  # odd, 3 modulo 8
 BASE2 = U64(0xC2B2AE3D27D4EB4B)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the setting is absent, as in tests, a temporary folder is made.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        atexit.register(shutil.rmtree, at.removeprefix("file://"), True)
-    return at.rstrip("/")
-
-
 def findable(spark: SparkSession) -> None:
     """Let Python workers find this package where the driver found it, unless their path is set."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -45,14 +30,6 @@ def findable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (have, root) if x)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: its lineage ends there."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -93,6 +70,22 @@ def flat(rows: DataFrame, names: list[str], new: dict[str, Column] | None = None
     return rows.select(*[new.get(x, F.col("row").getField(x)).alias(x) for x in names])
 
 
+def filtered(docs: DataFrame, text_col: str, keep) -> DataFrame:
+    """The rows that ``keep`` (of a text buffer and its offsets) tells to keep; columns may have any names."""
+    findable(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+    def emit(batches):
+        for batch in batches:
+            data, offsets = buffers(batch.column(at))
+            kept = [keep(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in slices(offsets)]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return plain.mapInArrow(emit, plain.schema).toDF(*docs.columns)
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -11,13 +11,16 @@ of q > S / 2 shingles (or q = 4, for S = 8) of which 0.8 are in one segment has
 at least 0.4 S / 2.1 S to it: it is missed with probability (1 - 0.19) ** 64 < 2e-6 at most;
 shingles spread over several segments add up likewise.
 
-The items are the stated query set. They are taken in blocks of at most ``block`` items, whose
-index is sent to the tasks; each block is one pass over the documents, so memory is
-bounded for any number of items.
+The items are the stated query set. They are taken in blocks of about ``block`` items and ``block_bytes``
+bytes, whose index is sent to the tasks; each block is one pass over the documents, so memory
+is bounded for any number of items and any of their lengths (a longer item is a block of its own).
+Shingles are compared by 64-bit hashes.
 
 Defined results: null texts and items have no words; an item of fewer than five words is
 one shingle of all its words; an item without words matches nothing; repeated rows give
-repeated pairs; no items or no documents give no pairs.
+repeated pairs; no items or no documents give no pairs; texts and items of any length are taken as a
+whole, a document in one task with about 100 bytes of memory for each of its own; further
+columns are left out (or kept as they are by ``without_items``), whatever their names.
 """
 
 from __future__ import annotations
@@ -91,7 +94,7 @@ class ItemIndex:
         unit = np.concatenate([np.arange(edge[r], edge[r + 1], LEAST_SIZE) for r in np.flatnonzero(count)])
         of_unit = row[unit]
         n = len(unit)
-        sizes = [LEAST_SIZE << i for i in range(20) if LEAST_SIZE << i <= max(self.classes)]
+        sizes = [LEAST_SIZE << i for i in range((max(self.classes) // LEAST_SIZE).bit_length())]
         same = {s: np.flatnonzero(of_unit[s // LEAST_SIZE :] == of_unit[: max(n - s // LEAST_SIZE, 0)]) for s in sizes}
         found: set[tuple[int, int]] = set()
         for j, factor in enumerate(self.factors):
@@ -154,10 +157,11 @@ class _Filter:
         return self.table[self._at(x)]
 
 
-def item_blocks(items: DataFrame, n: int = 5, threshold: float = 0.8, hashes: int = 64, block: int = 20_000, item_id: str = "item_id", item_text: str = "text") -> Iterator[ItemIndex]:
-    """Indexes of the distinct items, ``block`` of them at a time (about; they are dealt by hash)."""
+def item_blocks(items: DataFrame, n: int = 5, threshold: float = 0.8, hashes: int = 64, block: int = 20_000, block_bytes: int = 16 << 20, item_id: str = "item_id", item_text: str = "text") -> Iterator[ItemIndex]:
+    """Indexes of the distinct items, a block of them at a time (about; they are dealt by hash)."""
     items = items.select(items[item_id].alias("item_id"), items[item_text].cast("string").alias("text")).distinct()
-    blocks = max(1, -(-items.count() // block))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size.n // block), -(-size.bytes // block_bytes))
     dealt = items.withColumn("b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for b in range(blocks):
         yield ItemIndex([(r.item_id, r.text) for r in dealt.where(F.col("b") == b).orderBy("item_id", "text").collect()], n, hashes, threshold)
@@ -187,20 +191,16 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """The rows, with all their columns, that contain none of the items."""
-    C.findable(docs.sparkSession)
 
-    def one(rows: DataFrame, index: ItemIndex) -> DataFrame:
-        def emit(batches):
-            for batch in batches:
-                data, offsets = C.buffers(batch.column(text_col))
-                keep = np.ones(batch.num_rows, bool)
-                for lo, hi in C.slices(offsets):
-                    keep[[lo + hit[0] for hit in index.search(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]] = False
-                yield batch.filter(pa.array(keep))
+    def clean(index: ItemIndex):
+        def keep(data, offsets):
+            out = np.ones(len(offsets) - 1, bool)
+            out[[hit[0] for hit in index.search(data, offsets)]] = False
+            return out
 
-        return rows.mapInArrow(emit, docs.schema)
+        return keep
 
-    return reduce(one, item_blocks(items, **how), docs)
+    return reduce(lambda rows, index: C.filtered(rows, text_col, clean(index)), item_blocks(items, **how), docs)
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

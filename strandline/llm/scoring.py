@@ -6,10 +6,12 @@ bucket), and expectation-maximisation learns them on counts held out of training
 the tokens of one fold of the training documents, under the counts of the others.
 
 Documents are packed into blocks of a few MB. A block asks for the counts of its
-distinct n-grams, by order, sorted by their 64-bit hash and packed as differences, with its own counts
+distinct n-grams, by order, sorted by their hash and packed as differences, with its own counts
 beside them; a range of hashes adds the blocks' counts up and answers in the same
-order. So what is shuffled are distinct n-grams of blocks in a few bytes each; no
-table of n-grams is broadcast or brought to the driver. The estimates of the tokens held out are
+order. Sums are taken as a tree: at most about ``FAN`` blocks meet in a group; where there are more, groups
+ask on in the same way, in 64 times as many ranges each time, so neither a message nor a
+group grows with the corpus, however common an n-gram is. What is shuffled are distinct n-grams in
+a few bytes each; no table of n-grams is broadcast or brought to the driver. The estimates of the tokens held out are
 written once; each round of expectation-maximisation sums the shares on the executors, and the
 driver gets a row of sums for each of at most 256 frequency buckets.
 
@@ -29,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -38,22 +40,28 @@ BLOCK_BYTES = 4 << 20
 BEGIN, END = C.U64(0x1F83D9ABFB41BD6B), C.U64(0x5BE0CD19137E2179)
 #: Frequency buckets: 32 for each order of the longest known context.
 BUCKETS, MOST_ORDER = 256, 8
+#: Blocks or groups of blocks whose counts are added up at once (about), and bits of the hash by which a range is split.
+FAN, SPLIT_BITS = 256, 6
+#: Bits of an n-gram's hash: counts of words are exact; of 10 ** 12 longer n-grams 0.4 % meet another one's hash.
+WORD_BITS, GRAM_BITS = 64, 48
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 LOWER_CODE = np.frombuffer(LOWER, np.uint8)
 
 
 def shrink(x: np.ndarray) -> bytes:
-    """Bytes of numbers, plane by plane, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+    """Bytes of numbers, plane by plane, compressed; unsigned ones in as few bytes as the largest needs."""
+    if x.dtype.kind == "u":
+        x = x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return bytes([x.itemsize]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
 
 
-def grow(raw: bytes, kind) -> np.ndarray:
-    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(x.reshape(size, -1).T).view(kind).ravel() if len(x) else np.zeros(0, kind)
+def grow(raw: bytes, kind: str = "u") -> np.ndarray:
+    size = raw[0]
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8)
+    return np.ascontiguousarray(x.reshape(size, -1).T).view(f"{kind}{size}").ravel()
 
 
-def block_rows(docs: DataFrame, tuning_fold: int) -> DataFrame:
+def block_rows(docs: DataFrame, tuning_fold: int, block_bytes: int) -> DataFrame:
     """Documents packed into rows; those of the tuning fold apart."""
 
     def emit(batches):
@@ -82,7 +90,7 @@ def block_rows(docs: DataFrame, tuning_fold: int) -> DataFrame:
                 raw, tune = text.encode(), fold == tuning_fold
                 waiting[tune].append((doc, raw, fold))
                 size[tune] += len(raw)
-                if size[tune] >= BLOCK_BYTES:
+                if size[tune] >= block_bytes:
                     yield flush(tune)
         for tune in (False, True):
             if waiting[tune]:
@@ -96,7 +104,7 @@ class Block:
 
     def __init__(self, texts: bytes, sizes: bytes, folds: bytes, order: int):
         data = LOWER_CODE[np.frombuffer(zstandard.ZstdDecompressor().decompress(texts), np.uint8)]
-        offsets = np.concatenate(([0], np.cumsum(grow(sizes, np.uint32).astype(np.int64))))
+        offsets = np.concatenate(([0], np.cumsum(grow(sizes).astype(np.int64))))
         n = len(offsets) - 1
         self.folds = np.frombuffer(folds, np.uint8)
         starts, ends, row = C.words_of(data, offsets)
@@ -114,9 +122,10 @@ class Block:
         roll = C.Rolling(symbols)
         self.keys, self.place = [], []
         for k in range(1, order + 1):
-            keys, place = np.unique(C.mix(roll.span(token - k + 1, token + 1)), return_inverse=True)
+            hashes = C.mix(roll.span(token - k + 1, token + 1)) >> C.U64(64 - (WORD_BITS if k == 1 else GRAM_BITS))
+            keys, place = np.unique(hashes, return_inverse=True)
             self.keys.append(keys)
-            self.place.append(place)
+            self.place.append(place.astype(np.int32))
 
     def counts(self, weight: np.ndarray) -> list[np.ndarray]:
         """By order, how often each distinct n-gram occurs in documents of the weights."""
@@ -155,7 +164,82 @@ def new_weights(sums: np.ndarray) -> np.ndarray:
     return np.where(sums[:, :1] > 0, sums[:, 1:] / np.maximum(sums[:, :1], 1), pooled)
 
 
-def score_documents(docs: DataFrame, order: int = 3, folds: int = 7, held_out: int = 2, tuning: int = 3, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+ASKED = "g long, r long, src long, tune boolean, keys binary, every binary, fit binary"
+ANSWERS = "src long, r long, every binary, fit binary"
+
+
+def split(r: int, level: int, keys: np.ndarray):
+    """Sub-ranges of a range at a level: (number of the sub-range, its place in the sorted keys)."""
+    bits = GRAM_BITS if r >> (SPLIT_BITS * (level - 1)) else WORD_BITS
+    part = (keys >> C.U64(bits - SPLIT_BITS * level)) & C.U64((1 << SPLIT_BITS) - 1)
+    cut = np.searchsorted(part, np.arange((1 << SPLIT_BITS) + 1, dtype=np.uint64))
+    return [((r << SPLIT_BITS) + j, x, y) for j, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+
+
+def message(g: int, r: int, src: int, tune: bool, keys: np.ndarray, every: np.ndarray, fit: np.ndarray | None) -> tuple:
+    """``fit``: the counts without the tuning fold; none: those of a block, which is of that fold as a whole or not at all."""
+    return g, r, src, tune, shrink(np.diff(keys, prepend=C.U64(0))), shrink(every), None if fit is None else shrink(fit)
+
+
+def merged(table: pa.Table):
+    """Distinct keys of a group's messages, each message's places among them, and the sums of both counts."""
+    keys = [np.cumsum(grow(x.as_py()), dtype=np.uint64) for x in table.column("keys")]
+    at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+    own, place = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
+    counts = [grow(x.as_py()) for x in table.column("every")]
+    every = np.bincount(place, np.concatenate(counts), len(own)).astype(np.uint64)
+    given = table.column("fit").to_pylist()
+    counts = [(c if not tune else np.zeros(len(c), np.uint8)) if x is None else grow(x) for c, x, tune in zip(counts, given, table.column("tune").to_pylist())]
+    fit = np.bincount(place, np.concatenate(counts), len(own)).astype(np.uint64)
+    return own, [place[x:y] for x, y in zip(at[:-1], at[1:])], every, fit
+
+
+def replies(table: pa.Table, places: list[np.ndarray], every: np.ndarray, fit: np.ndarray) -> list[pa.Array]:
+    """To each message the counts of its keys; those without the tuning fold only if it is for tuning."""
+    tune = table.column("tune").to_pylist()
+    return [table.column("src"), table.column("r"), pa.array([shrink(every[p]) for p in places], pa.binary()), pa.array([shrink(fit[p]) if t else None for t, p in zip(tune, places)], pa.binary())]
+
+
+def totals(asked: DataFrame, groups: int, level: int = 1, fan: int = FAN) -> tuple[DataFrame, Row]:
+    """Answers to the messages, and the number of learned tokens and words, with and without the tuning fold."""
+    names = [x.split()[0] for x in ANSWERS.split(", ")]
+    if groups <= 1:
+
+        def answer(table: pa.Table) -> pa.Table:
+            _, places, every, fit = merged(table)
+            word = table.column("r")[0].as_py() >> (SPLIT_BITS * level) == 0
+            once = lambda v: pa.array([int(v) if word else 0, *[0] * (len(places) - 1)], pa.int64())
+            return pa.table(replies(table, places, every, fit) + [once(x) for x in (every.sum(), np.count_nonzero(every), fit.sum(), np.count_nonzero(fit))], names=[*names, "n", "v", "n_fit", "v_fit"])
+
+        answers = C.cut(asked.groupBy("g", "r").applyInArrow(answer, f"{ANSWERS}, n long, v long, n_fit long, v_fit long"))
+        return answers.select(*names), answers.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n", "v", "n_fit", "v_fit")]).first()
+
+    above = -(-groups // fan)
+
+    def on(table: pa.Table) -> pa.Table:
+        own, _, every, fit = merged(table)
+        g, r = (table.column(x)[0].as_py() for x in ("g", "r"))
+        tune = any(table.column("tune").to_pylist())
+        rows = [message(g % above, part, g, tune, own[x:y], every[x:y], fit[x:y]) for part, x, y in split(r, level + 1, own)]
+        return pa.table([pa.array(x) for x in zip(*rows)], names=[x.split()[0] for x in ASKED.split(", ")])
+
+    def back(table: pa.Table, known: pa.Table) -> pa.Table:
+        _, places, every, fit = merged(table)
+        known = known.sort_by("r")
+        every = np.concatenate([grow(x.as_py()) for x in known.column("every")])
+        if known.column("fit").null_count == 0:
+            fit = np.concatenate([grow(x.as_py()) for x in known.column("fit")])
+        return pa.table(replies(table, places, every, fit), names=names)
+
+    asked = C.cut(asked)
+    answers, total = totals(asked.groupBy("g", "r").applyInArrow(on, ASKED), above, level + 1, fan)
+    known = answers.select(F.col("src").alias("g"), F.shiftright("r", SPLIT_BITS).alias("whole"), "r", "every", "fit")
+    answered = asked.groupBy("g", "r").cogroup(known.groupBy("g", "whole")).applyInArrow(back, ANSWERS)
+    return C.cut(answered), total
+
+
+def score_documents(docs: DataFrame, order: int = 3, folds: int = 7, held_out: int = 2, tuning: int = 3, rounds: int = 12, fan: int = FAN, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text.
 
     The fold is crc32 of the id as text modulo ``folds``; fold ``held_out`` isn't learned
@@ -167,12 +251,9 @@ def score_documents(docs: DataFrame, order: int = 3, folds: int = 7, held_out: i
     docs = C.keyed(docs, id_col, text_col)
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
-    blocks = C.cut(block_rows(docs.select("doc_id", "text", fold.cast("int").alias("fold")), tuning))
-    bytes_ = blocks.agg(F.sum(F.octet_length("texts"))).first()[0] or 0
-    n_ranges = max(C.partitions(spark), bytes_ // (2 << 20), 1)
-    edges = np.array([i * (1 << 64) // n_ranges for i in range(1, n_ranges)], np.uint64)
+    blocks = C.cut(block_rows(docs.select("doc_id", "text", fold.cast("int").alias("fold")), tuning, block_bytes))
+    groups = max(1, -(-blocks.count() // fan))
     learned = lambda f: (f != held_out).astype(float)
-    fitted = lambda f: ((f != held_out) & (f != tuning)).astype(float)
     field = lambda batch, i, names: (batch.column(x)[i].as_py() for x in names)
     block_fields = ("texts", "sizes", "folds")
 
@@ -181,45 +262,25 @@ def score_documents(docs: DataFrame, order: int = 3, folds: int = 7, held_out: i
             for i in range(batch.num_rows):
                 b = Block(*field(batch, i, block_fields), order)
                 block, tune = field(batch, i, ("block", "tune"))
-                every, fit = b.counts(learned(b.folds)), b.counts(fitted(b.folds))
+                every = b.counts(learned(b.folds))
+                group = int(C.mix(np.array([block], np.uint64))[0] % C.U64(groups))
                 for k, keys in enumerate(b.keys):
-                    cut = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                    out = [(k * n_ranges + j, block, tune, shrink(np.diff(keys[x:y], prepend=C.U64(0))), shrink(every[k][x:y]), shrink(fit[k][x:y])) for j, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
-                    yield pa.record_batch([pa.array(x) for x in zip(*out)], names=["b", "block", "tune", "keys", "every", "fit"])
-
-    asked = blocks.select("block", "tune", *block_fields).mapInArrow(ask, "b long, block long, tune boolean, keys binary, every binary, fit binary")
-
-    def answer(table: pa.Table) -> pa.Table:
-        """Sums of a range; a block gets those of its keys, under the counts without the tuning fold only if it is for tuning."""
-        m = len(table)
-        keys = [np.cumsum(grow(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("keys")]
-        at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-        own, place = np.unique(np.concatenate(keys), return_inverse=True)
-        del keys
-        every, fit = (np.bincount(place, np.concatenate([grow(x.as_py(), np.uint32) for x in table.column(c)]), len(own)).astype(np.uint32) for c in ("every", "fit"))
-        tune = table.column("tune").to_pylist()
-        spans = list(zip(at[:-1], at[1:]))
-        word = table.column("b")[0].as_py() < n_ranges
-        once = lambda v: pa.array([int(v) if word else 0, *[0] * (m - 1)], pa.int64())
-        return pa.table(
-            [table.column("b"), table.column("block"), pa.array([shrink(every[place[x:y]]) for x, y in spans]), pa.array([shrink(fit[place[x:y]]) if t else None for t, (x, y) in zip(tune, spans)], pa.binary())]
-            + [once(x) for x in (every.sum(dtype=np.int64), np.count_nonzero(every), fit.sum(dtype=np.int64), np.count_nonzero(fit))],
-            names=["b", "block", "every", "fit", "n", "v", "n_fit", "v_fit"],
-        )
-
-    answers = C.cut(asked.groupBy("b").applyInArrow(answer, "b long, block long, every binary, fit binary, n long, v long, n_fit long, v_fit long"))
-    total = answers.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n", "v", "n_fit", "v_fit")]).first()
+                    rows = [message(group, r, block, tune, keys[x:y], every[k][x:y], None) for r, x, y in split(k, 1, keys)]
+                    *columns, fit = zip(*rows)
+                    yield pa.record_batch([*(pa.array(x) for x in columns), pa.array(fit, pa.binary())], names=[x.split()[0] for x in ASKED.split(", ")])
+
+    answers, total = totals(blocks.select("block", "tune", *block_fields).mapInArrow(ask, ASKED), groups, 1, fan)
     folds_of = docs.select(fold.cast("int").alias("f")).groupBy("f").count().collect()
     n_docs = sum(r["count"] for r in folds_of if r.f != held_out)
     n_docs_fit = sum(r["count"] for r in folds_of if r.f not in (held_out, tuning))
 
     def with_counts(some: DataFrame, column: str) -> DataFrame:
-        lists = answers.where(F.col(column).isNotNull()).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("b", F.col(column).alias("c")))).alias("counts"))
+        lists = answers.where(F.col(column).isNotNull()).groupBy(F.col("src").alias("block")).agg(F.sort_array(F.collect_list(F.struct("r", F.col(column).alias("c")))).alias("counts"))
         return some.join(lists, "block").withColumn("counts", F.col("counts.c"))
 
     def counted(batch, i):
         b = Block(*field(batch, i, block_fields), order)
-        counts = np.concatenate([grow(c, np.uint32) for c in batch.column("counts")[i].as_py()]).astype(float)
+        counts = np.concatenate([grow(c) for c in batch.column("counts")[i].as_py()]).astype(float)
         return b, np.split(counts, np.cumsum([len(k) for k in b.keys])[:-1])
 
     names = [f"p{k}" for k in range(1, order + 1)]
@@ -241,8 +302,8 @@ def score_documents(docs: DataFrame, order: int = 3, folds: int = 7, held_out: i
             for batch in batches:
                 for i in range(batch.num_rows):
                     bucket, *p = field(batch, i, ("bucket", *names))
-                    bucket = grow(bucket, np.uint8)
-                    p = np.stack([np.full(len(bucket), 1 / (total.v_fit + 1)), *[grow(x, np.float32).astype(float) for x in p]], 1)
+                    bucket = grow(bucket)
+                    p = np.stack([np.full(len(bucket), 1 / (total.v_fit + 1)), *[grow(x, "f").astype(float) for x in p]], 1)
                     sums += shares(bucket, p, weights)
             met = np.flatnonzero(sums[:, 0])
             yield pa.record_batch([pa.array(met, pa.int32()), *[pa.array(x) for x in sums[met].T]], names=["bucket", *columns])
