@@ -1,25 +1,11 @@
-"""Connected components of a table of edges, in rounds whose tables are checkpointed."""
+"""Connected components of a table of edges, in rounds whose tables are written."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            at = tempfile.mkdtemp(prefix="strandline-")
-            atexit.register(shutil.rmtree, at, True)
-        spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint()
+from ..storage import cut
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -29,7 +15,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     lesser neighbours to the least of them: paths halve, so rounds grow with the logarithm
     of the longest path. Only counts come to the driver.
     """
-    e = _cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -38,7 +24,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         down = far.unionByName(least.select("a", F.col("m").alias("b")).where("a <> b")).distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         near = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = _cut(near.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        after = cut(near.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         same = after.count() == e.count() and after.join(e, ["a", "b"], "left_anti").limit(1).count() == 0
         e = after
         if same:
