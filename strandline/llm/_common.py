@@ -38,12 +38,16 @@ def partitions(spark: SparkSession) -> int:
 DEALT_BYTES = 32 << 20
 
 
-def dealt(table: DataFrame, *keys: str) -> DataFrame:
-    """A written table dealt out and sorted by keys; the number of parts follows from its bytes."""
-    spark = table.sparkSession
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = max(partitions(spark), min(size // DEALT_BYTES, 100_000))
-    return table.repartition(n, *keys).sortWithinPartitions(*keys)
+def dealt(rows: DataFrame, *keys: str, size: int | None = None) -> DataFrame:
+    """Rows dealt out and sorted by keys, in as many parts as their bytes ask for.
+
+    ``size`` is for plans other than a written table, whose own estimate says nothing.
+    """
+    spark = rows.sparkSession
+    if size is None:
+        size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(partitions(spark), size // DEALT_BYTES)
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -115,7 +115,7 @@ def local_labels(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _ties(rows: DataFrame, least: float) -> DataFrame:
+def _ties(rows: DataFrame, least: float, n_rows: int) -> DataFrame:
     """Spanning ties of buckets by brute force on sketches."""
 
     def emit(batches):
@@ -136,7 +136,7 @@ def _ties(rows: DataFrame, least: float) -> DataFrame:
                 b.append(node[x + label[far]])
             yield pa.record_batch([np.concatenate(a), np.concatenate(b)], names=["a", "b"])
 
-    return C.dealt(rows, "path").mapInArrow(emit, "a long, b long")
+    return C.dealt(rows, "path", size=n_rows * (SKETCH + 40)).mapInArrow(emit, "a long, b long")
 
 
 def candidate_ties(nodes: DataFrame, threshold: float, bucket: int = BUCKET) -> DataFrame:
@@ -147,7 +147,8 @@ def candidate_ties(nodes: DataFrame, threshold: float, bucket: int = BUCKET) ->
     while True:
         sizes = C.cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least"), F.max("above").alias("above")).where("m > 1"))
         small = rows.join(sizes.where(F.col("m") <= bucket).select("path"), "path")
-        ties.append(C.cut(_ties(small.select("node", "path").join(sketches, "node"), threshold - slack)))
+        n_rows = sizes.where(F.col("m") <= bucket).agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+        ties.append(C.cut(_ties(small.select("node", "path").join(sketches, "node"), threshold - slack, n_rows)))
         large = sizes.where(F.col("m") > bucket)
         if not large.limit(1).count():
             break
@@ -172,7 +173,7 @@ def _verify(members: DataFrame, n: int, threshold: float, block: int = BLOCK) ->
     large = sizes.where(F.col("m") > block)
     rows = members.join(sizes.where((F.col("m") > 1) & (F.col("m") <= block)).select("label"), "label")
     none = F.lit(0).cast("int")
-    found = _blocks(rows.select("label", none.alias("i"), none.alias("j"), none.alias("mine"), "node", "n_texts", none.alias("qs"), none.alias("qi"), F.lit(-1).alias("c"), "z"), n, threshold)
+    found = _blocks(rows.select("label", none.alias("i"), none.alias("j"), none.alias("mine"), "node", "n_texts", none.alias("qs"), none.alias("qi"), F.lit(-1).alias("c"), "z"), n, threshold, members.agg(F.coalesce(F.sum(F.octet_length("z")), F.lit(0))).first()[0])
     if not large.limit(1).count():
         return found
     rows = C.cut(_profiles(members.join(large, "label"), n))
@@ -186,7 +187,7 @@ def _verify(members: DataFrame, n: int, threshold: float, block: int = BLOCK) ->
     return found.unionByName(_blocks(C.cut(rows), n, threshold))
 
 
-def _blocks(rows: DataFrame, n: int, threshold: float) -> DataFrame:
+def _blocks(rows: DataFrame, n: int, threshold: float, size: int | None = None) -> DataFrame:
     """Brute force inside a group's block (i = j) or between two, of the pairs that their classes leave open (c < 0: all)."""
 
     def emit(batches):
@@ -214,7 +215,7 @@ def _blocks(rows: DataFrame, n: int, threshold: float) -> DataFrame:
             if a:
                 yield pa.record_batch([np.concatenate(x) for x in (a, b, links)], names=["a", "b", "links"])
 
-    return C.dealt(rows, "label", "i", "j").mapInArrow(emit, FOUND)
+    return C.dealt(rows, "label", "i", "j", size=size).mapInArrow(emit, FOUND)
 
 
 def _profiles(members: DataFrame, n: int) -> DataFrame:
