@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,12 +12,33 @@ from ..functions import intervals as I
 from . import interval_join as J
 from .components import components
 
+#: Positions of a tile of a scan.
+TILE = 1 << 20
+
+
+def scan_groups(rows: DataFrame, by: list[str], pos: str, ties: list[str], joins: Callable[[Callable, Callable], Column], carry: list[str], name: str, tile: int) -> DataFrame:
+    """Numbers the groups of an ordered scan: a row goes on with the group of the row before it if ``joins(before, here)``.
 
-def gap_clusters(events: DataFrame, by: list[str], pos: str, max_dist: int, ties: list[str], name: str = "cluster") -> DataFrame:
+    The scan runs inside tiles of a group's positions; the tiles are then stitched by their first and last
+    rows, so a contig is spread over many tasks, and one task sees a row a tile at most.
+    """
+    rows = rows.withColumn("tile__", F.floor(F.col(pos) / tile))
+    w = Window.partitionBy(*by, "tile__").orderBy(pos, *ties)
+    rows = rows.withColumn("new__", F.when(joins(lambda c: F.lag(c).over(w), F.col), 0).otherwise(1))
+    rows = rows.withColumn("local__", F.sum("new__").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    row = F.struct(*dict.fromkeys([pos, *ties, *carry]))
+    tiles = rows.groupBy(*by, "tile__").agg(F.min(row).alias("first"), F.max(row).alias("last"), F.max("local__").alias("n"))
+    over = Window.partitionBy(*by).orderBy("tile__")
+    goes_on = F.when(joins(lambda c: F.lag("last").over(over).getField(c), lambda c: F.col("first").getField(c)), 1).otherwise(0)
+    tiles = tiles.withColumn("on__", goes_on)
+    upto = F.sum(F.col("n") - F.col("on__")).over(over.rowsBetween(Window.unboundedPreceding, 0))
+    tiles = tiles.select(*by, "tile__", (upto - F.col("n")).alias("offset__"))
+    return rows.join(tiles, [*by, "tile__"]).withColumn(name, F.col("local__") + F.col("offset__")).drop("tile__", "new__", "local__", "offset__")
+
+
+def gap_clusters(events: DataFrame, by: list[str], pos: str, max_dist: int, ties: list[str], name: str = "cluster", tile: int = TILE) -> DataFrame:
     """Number of the cluster in its group: a new one where the gap to the event before exceeds max_dist."""
-    w = Window.partitionBy(*by).orderBy(pos, *ties)
-    new = F.when(F.col(pos) - F.lag(pos).over(w) <= max_dist, 0).otherwise(1)
-    return events.withColumn("new__", new).withColumn(name, F.sum("new__").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new__")
+    return scan_groups(events, by, pos, ties, lambda before, here: here(pos) - before(pos) <= max_dist, [], name, tile)
 
 
 def bin_clusters(events: DataFrame, by: list[str], beg: str, end: str, width: int, max_dist: int, least: int) -> DataFrame:
@@ -25,22 +48,23 @@ def bin_clusters(events: DataFrame, by: list[str], beg: str, end: str, width: in
     """
     inside = events.where(F.floor(F.col(beg) / width) == F.floor(F.col(end) / width)).withColumn("bin", F.floor(F.col(beg) / width))
     bins = inside.groupBy(*by, "bin").agg(F.min(beg).alias("first_beg"), F.max(end).alias("last_end"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by).orderBy("bin")
-    new = F.when((F.col("bin") == F.lag("bin").over(w) + 1) & (F.col("first_beg") - F.lag("last_end").over(w) <= max_dist), 0).otherwise(1)
-    runs = bins.withColumn("new__", new).withColumn("cluster", F.sum("new__").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    near = lambda before, here: (here("bin") == before("bin") + 1) & (here("first_beg") - before("last_end") <= max_dist)
+    runs = scan_groups(bins, by, "bin", [], near, ["first_beg", "last_end"], "cluster", TILE)
     return runs.groupBy(*by, "cluster").agg(F.min("first_beg").alias("beg"), F.max("last_end").alias("end"), F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
-def adjacent_groups(svs: DataFrame, by: list[str], max_dist: int, ties: list[str], af_diff: float | None = 0.30, same: list[str] = ()) -> DataFrame:
+def adjacent_groups(svs: DataFrame, by: list[str], max_dist: int, ties: list[str], af_diff: float | None = 0.30, same: list[str] = (), tile: int = TILE) -> DataFrame:
     """Neighbours joined while the gap is at most max_dist and they agree as asked; adds ``grp``."""
-    w = Window.partitionBy(*by).orderBy("beg", *ties)
-    before = lambda c: F.lag(c).over(w)
-    join = F.col("beg") - before("end_pos") <= max_dist
-    if af_diff is not None:
-        join &= F.abs(F.col("af") - before("af")) <= af_diff
-    for c in same:
-        join &= F.col(c) == before(c)
-    return svs.withColumn("new__", F.when(join, 0).otherwise(1)).withColumn("grp", F.sum("new__").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new__")
+
+    def joins(before, here):
+        join = here("beg") - before("end_pos") <= max_dist
+        if af_diff is not None:
+            join &= F.abs(here("af") - before("af")) <= af_diff
+        for c in same:
+            join &= here(c) == before(c)
+        return join
+
+    return scan_groups(svs, by, "beg", ties, joins, ["end_pos", *(["af"] if af_diff is not None else []), *same], "grp", tile)
 
 
 def tumbling(svs: DataFrame, by: list[str], width: int, least: int) -> DataFrame:
@@ -65,10 +89,18 @@ def reciprocal_clusters(events: DataFrame, key: str, ref: str, beg: str, end: st
     The result doesn't depend on the events' order.
     """
     ivals = events.groupBy(F.col(ref).alias("ref"), F.col(beg).alias("beg"), F.col(end).alias("end")).agg(F.min(key).alias("node"))
-    twin = ivals.select(*[F.col(c).alias(f"{c}_b") for c in ivals.columns])
-    pairs = J.interval_join(ivals, twin, ("ref", "beg", "end"), ("ref_b", "beg_b", "end_b"), buffer=2 * buffer)
+    wide = ivals.withColumns({"lo": F.col("beg") - buffer, "hi": F.col("end") + buffer}).where("lo <= hi")
+    # a reciprocal pair's lengths differ by that share at most, and so do its begins: steps of the length, and bins of the begin
+    share = least_percent / 100
+    ratio = 1 / (0.999 * min(share, 0.95))
+    step = lambda n: F.floor(F.log(n) / F.log(F.lit(ratio)))
+    bin_ = lambda lo, k: F.floor(lo / (F.pow(F.lit(ratio), k + 2) * (1 - share) + 2))
+    twin = wide.withColumn("k", step(F.col("hi") - F.col("lo") + 1)).select(*[F.col(c).alias(f"{c}_b") for c in ("ref", "beg", "end", "node")], F.col("k").alias("k_b"), bin_(F.col("lo"), F.col("k")).alias("bin_b"))
+    near = wide.withColumn("k", F.explode(F.transform(F.array(*[F.lit(x) for x in (-1, 0, 1)]), lambda x: step(F.col("hi") - F.col("lo") + 1) + x)))
+    near = near.withColumn("bin", F.explode(F.transform(F.array(*[F.lit(x) for x in (-1, 0, 1)]), lambda x: bin_(F.col("lo"), F.col("k")) + x)))
+    pairs = near.join(twin, (F.col("ref") == F.col("ref_b")) & (F.col("k") == F.col("k_b")) & (F.col("bin") == F.col("bin_b")) & (F.col("node") <= F.col("node_b")))
     wide = [F.col("beg") - buffer, F.col("end") + buffer, F.col("beg_b") - buffer, F.col("end_b") + buffer]
-    edges = pairs.where((F.col("node") <= F.col("node_b")) & ((F.col("node") == F.col("node_b")) | I.reciprocal(*wide, least_percent)))
+    edges = pairs.where(((F.col("node") == F.col("node_b")) | I.reciprocal(*wide, least_percent)))
     roots = components(edges.select(F.col("node").alias("a"), F.col("node_b").alias("b")))
     named = ivals.join(roots, "node").select(*[F.col(c).alias(f"{c}__") for c in ("ref", "beg", "end")], F.col("root").alias("cluster"))
     at = (F.col(ref) == F.col("ref__")) & (F.col(beg) == F.col("beg__")) & (F.col(end) == F.col("end__"))

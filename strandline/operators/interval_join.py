@@ -1,49 +1,120 @@
 """Joins of intervals on the same reference.
 
-Both sides are exploded over the bins that they touch and joined on (reference, bin); a
+Both sides are exploded over the bins that they touch and joined on (reference, level, bin); a
 pair is taken in one bin only, that of the greater begin, so nothing has to be made
-distinct. The shuffle is by (reference, bin), so a crowded reference spreads over its bins.
+distinct. The bins are about as wide as two typical intervals, by one cheap count of both sides, so
+few rows meet that don't overlap. An interval much longer than that has bins ``FACTOR`` times
+as wide, a level up, where the other side is exploded as well: no interval makes more than a few
+rows, however long. The shuffle is by (reference, level, bin), so a crowded reference
+spreads over its bins, and a crowded bin is a join key that adaptive execution can split.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import intervals as I
 
-BIN = 10_000
+FACTOR = 16
+
 
+def _shape(a: DataFrame, b: DataFrame, a_cols, b_cols, buffer: int) -> tuple[int, int]:
+    """Width of the lowest level's bins, and the highest level."""
+    sides = [df.select((F.col(end) - F.col(beg) + 1 + grow).alias("n")) for df, (_, beg, end), grow in ((a, a_cols, 2 * buffer), (b, b_cols, 0))]
+    found = [side.agg(F.avg("n").alias("mean"), F.max("n").alias("most")).first() for side in sides]
+    width = 1 << max(6, math.ceil(math.log2(sum(x["mean"] or 0 for x in found) + 1)))
+    most, levels = max(x["most"] or 0 for x in found), 0
+    while most > width * FACTOR**levels * FACTOR:
+        levels += 1
+    return width, levels
 
-def _binned(df: DataFrame, beg: str, end: str, width: int, buffer: int = 0) -> DataFrame:
+
+def _binned(df: DataFrame, beg: str, end: str, width: int, levels: int, buffer: int = 0) -> DataFrame:
     low, high = F.greatest(F.col(beg) - buffer, F.lit(0)), F.col(end) + buffer
-    return df.withColumn("bin__", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+    bins = lambda k: F.sequence(F.floor(low / (width * FACTOR**k)), F.floor(high / (width * FACTOR**k)))
+    if not levels:
+        return df.withColumn("level__", F.lit(0)).withColumn("own__", F.lit(0)).withColumn("bin__", F.explode(bins(0)))
+    own = F.lit(levels)
+    for k in reversed(range(levels)):
+        own = F.when(high - low < width * FACTOR ** (k + 1), F.lit(k)).otherwise(own)
+    every = [F.when(F.col("own__") <= k, F.transform(bins(k), lambda x, k=k: F.struct(F.lit(k).alias("level"), x.alias("bin")))).otherwise(F.array().cast("array<struct<level:int,bin:bigint>>")) for k in range(levels + 1)]
+    rows = df.withColumn("own__", own).withColumn("at__", F.explode(F.concat(*every)))
+    return rows.withColumn("level__", F.col("at__.level")).withColumn("bin__", F.col("at__.bin")).drop("at__")
+
 
+def interval_join(a: DataFrame, b: DataFrame, a_cols: tuple[str, str, str], b_cols: tuple[str, str, str], width: int | None = None, buffer: int = 0, how: str = "inner") -> DataFrame:
+    """Pairs of overlapping intervals; a's are widened by ``buffer``. Column names must differ between the sides.
 
-def interval_join(a: DataFrame, b: DataFrame, a_cols: tuple[str, str, str], b_cols: tuple[str, str, str], width: int = BIN, buffer: int = 0, how: str = "inner") -> DataFrame:
-    """Pairs of overlapping intervals; a's are widened by ``buffer``. Column names must differ between the sides."""
+    With ``width`` all intervals are at one level of that width and nothing is counted first.
+    """
     (ar, ab, ae), (br, bb, be) = a_cols, b_cols
-    left = _binned(a.where(F.col(ab) <= F.col(ae)), ab, ae, width, buffer)
-    right = _binned(b.where(F.col(bb) <= F.col(be)), bb, be, width).withColumnRenamed("bin__", "bin_b__")
+    a, b = a.where(F.col(ab) <= F.col(ae)), b.where(F.col(bb) <= F.col(be))
+    size, levels = (width, 0) if width else _shape(a, b, a_cols, b_cols, buffer)
+    left = _binned(a, ab, ae, size, levels, buffer)
+    names = {x: x.replace("__", "_b__") for x in ("level__", "own__", "bin__")}
+    right = _binned(b, bb, be, size, levels).withColumnsRenamed(names)
     low = F.greatest(F.col(ab) - buffer, F.lit(0))
     on = (F.col(ar) == F.col(br)) & (F.col("bin__") == F.col("bin_b__"))
     on &= (F.col(ab) - buffer <= F.col(be)) & (F.col(bb) <= F.col(ae) + buffer)
-    on &= F.col("bin__") == F.greatest(F.floor(low / width), F.floor(F.col(bb) / width))
-    return left.join(right, on, how).drop("bin__", "bin_b__")
+    at = F.lit(size)
+    if levels:
+        on &= (F.col("level__") == F.col("level_b__")) & (F.col("level__") == F.greatest("own__", "own_b__"))
+        at = size * F.pow(F.lit(FACTOR), F.col("level__"))
+    on &= F.col("bin__") == F.floor(F.greatest(low, F.col(bb)) / at)
+    return left.join(right, on, how).drop(*names, *names.values())
+
+
+def overlap_totals(a: DataFrame, b: DataFrame, a_cols, b_cols, key: list[str], tile: int = 1 << 14) -> DataFrame:
+    """key, n and shared (the sum of shared lengths without the last position) of b's intervals over a's, without pairs.
+
+    How many begins and ends lie up to a position, and their sums, are running sums over the sorted
+    positions: inside tiles of a reference, and over the tiles' totals. Each interval of b asks
+    at its begin and at its end.
+    """
+    (ar, ab, ae), (br, bb, be) = a_cols, b_cols
+    a, b = a.where(F.col(ab) <= F.col(ae)), b.where(F.col(bb) <= F.col(be))
+    zero = F.lit(0).cast("long")
+    long = lambda c: F.col(c).cast("long")
+    ids = [F.lit(None).cast(b.schema[k].dataType).alias(k) for k in key]
+    point = lambda pos, begins, ends, rank: [F.col(ar).alias("ref"), pos.alias("pos"), F.lit(rank).alias("rank"), begins.alias("nb"), (begins * pos).alias("sb"), ends.alias("ne"), (ends * pos).alias("se"), *ids, zero.alias("side")]
+    one = F.lit(1).cast("long")
+    given = a.select(*point(long(ab), one, zero, 0)).unionByName(a.select(*point(long(ae), zero, one, 0)))
+    given = given.groupBy("ref", "pos", "rank", "side", *key).agg(*[F.sum(x).alias(x) for x in ("nb", "sb", "ne", "se")])
+    asks = [b.select(F.col(br).alias("ref"), (long(bb) - 1).alias("pos"), F.lit(1).alias("rank"), *[zero.alias(x) for x in ("nb", "sb", "ne", "se")], *key, F.lit(1).cast("long").alias("side"), long(bb).alias("beg__"), long(be).alias("end__"))]
+    asks.append(asks[0].withColumn("pos", F.col("end__")).withColumn("side", F.lit(2).cast("long")))
+    rows = given.withColumns({"beg__": zero, "end__": zero}).unionByName(asks[0]).unionByName(asks[1]).withColumn("tile__", F.floor(F.col("pos") / tile))
+    sums = ("nb", "sb", "ne", "se")
+    w = Window.partitionBy("ref", "tile__").orderBy("pos", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"{x}_in": F.sum(x).over(w) for x in sums})
+    tiles = rows.groupBy("ref", "tile__").agg(*[F.sum(x).alias(x) for x in sums])
+    over = Window.partitionBy("ref").orderBy("tile__").rowsBetween(Window.unboundedPreceding, -1)
+    before = tiles.select("ref", "tile__", *[F.coalesce(F.sum(x).over(over), zero).alias(f"{x}_0") for x in sums])
+    asked = rows.where("side > 0").join(before, ["ref", "tile__"]).select("ref", *key, "beg__", "end__", "side", *[(F.col(f"{x}_in") + F.col(f"{x}_0")).alias(x) for x in sums])
+    at = lambda x, side: F.max(F.when(F.col("side") == side, F.col(x)))
+    both = asked.groupBy("ref", *key, "beg__", "end__").agg(*[at(x, k).alias(f"{x}{k}") for x in sums for k in (1, 2)])
+    v = F.col
+    n = v("nb2") - v("ne1")  # begins up to the end, less ends before the begin
+    # of those: the lesser of their ends and this end, less the greater of their begins and this begin
+    upper = v("se2") - v("se1") + v("end__") * (v("nb2") - v("ne2"))
+    lower = v("sb2") - v("sb1") + v("beg__") * (v("nb1") - v("ne1"))
+    return both.where(n > 0).select(*key, n.alias("n"), (upper - lower).alias("shared"))
 
 
-def anti_overlap(a: DataFrame, b: DataFrame, key: list[str], a_cols, b_cols, max_percent: float) -> DataFrame:
+def anti_overlap(a: DataFrame, b: DataFrame, key: list[str], a_cols, b_cols, max_percent: float, width: int | None = None) -> DataFrame:
     """Rows of a whose greatest overlap with b is under max_percent of their length, or that have none."""
     (_, ab, ae), (_, bb, be) = a_cols, b_cols
-    hit = interval_join(a, b, a_cols, b_cols).where(I.overlap_percent(ab, ae, bb, be) >= max_percent)
+    hit = interval_join(a, b, a_cols, b_cols, width).where(I.overlap_percent(ab, ae, bb, be) >= max_percent)
     return a.join(hit.select(*key).distinct(), key, "left_anti")
 
 
-def best_overlap(a: DataFrame, b: DataFrame, key: list[str], a_cols, b_cols, ties: list[str]) -> DataFrame:
+def best_overlap(a: DataFrame, b: DataFrame, key: list[str], a_cols, b_cols, ties: list[str], width: int | None = None) -> DataFrame:
     """For each row of a with any overlap, the interval of b that covers most of it; ties by the given columns."""
     (_, ab, ae), (_, bb, be) = a_cols, b_cols
-    pairs = interval_join(a, b, a_cols, b_cols).withColumn("percent", I.overlap_percent(ab, ae, bb, be))
+    pairs = interval_join(a, b, a_cols, b_cols, width).withColumn("percent", I.overlap_percent(ab, ae, bb, be))
     order = Window.partitionBy(*key).orderBy(F.desc("percent"), *ties)
     return pairs.withColumn("rank__", F.row_number().over(order)).where("rank__ = 1").drop("rank__")
 

@@ -168,6 +168,12 @@ def interval_join(hits, bed):
     return J.interval_join(hits, bed, *HB).groupBy("bed_id").agg(F.count(F.lit(1)).alias("n_hits"), F.sum(shared).alias("shared"))
 
 
+@query("SELECT bed_id, count(*) AS n_hits, sum(least(t_end, end_pos) - greatest(t_beg, beg))::BIGINT AS shared FROM hits JOIN bed ON t_name = ref AND t_beg <= end_pos AND beg <= t_end GROUP BY bed_id", "hits", "bed")
+def overlap_totals(hits, bed):
+    """The same sums without pairs, by running sums over sorted positions."""
+    return J.overlap_totals(hits, bed, *HB, key=["bed_id"]).select("bed_id", F.col("n").alias("n_hits"), "shared")
+
+
 @query(f"SELECT q_name, hit_ord FROM hits WHERE NOT EXISTS (SELECT 1 FROM bed WHERE t_name = ref AND t_beg <= end_pos AND beg <= t_end AND {PERC} >= 10)", "hits", "bed")
 def interval_anti_join(hits, bed):
     """Hits that no interval covers by 10 percent."""

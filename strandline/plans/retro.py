@@ -34,7 +34,7 @@ def merged_hits(consensus: DataFrame, reference: DataFrame, max_percent: float =
     Both have q_name, hit_ord, q_beg, q_end, ...; adds ``src``, 0 for consensus, and the order ``ord``.
     """
     c = consensus.select(*[F.col(x).alias(f"{x}_c") for x in ("q_name", "q_beg", "q_end")])
-    rest = J.anti_overlap(reference, c, ["q_name", "hit_ord"], ("q_name", "q_beg", "q_end"), ("q_name_c", "q_beg_c", "q_end_c"), max_percent)
+    rest = J.anti_overlap(reference, c, ["q_name", "hit_ord"], ("q_name", "q_beg", "q_end"), ("q_name_c", "q_beg_c", "q_end_c"), max_percent, width=1 << 16)
     both = consensus.withColumn("src", F.lit(0)).unionByName(rest.withColumn("src", F.lit(1)))
     return both.withColumn("ord", F.col("src").cast("long") * (1 << 40) + F.col("hit_ord"))
 
