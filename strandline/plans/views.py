@@ -36,6 +36,20 @@ VIEWS = {
         "lineitem",
         "SELECT l_suppkey AS sample_id, l_partkey % 12 AS position, CAST(min(l_partkey % 5) AS BIGINT) AS status FROM lineitem GROUP BY l_suppkey, l_partkey % 12",
     ),
+    "metas": (
+        "orders",
+        """SELECT o_orderkey AS meta_id, CAST(o_custkey % 8 + 1 AS STRING) AS ref, (o_orderkey * 131) % 90000 AS beg, (o_orderkey * 131) % 90000 + 50 + o_orderkey % 400 AS end_pos,
+ CASE o_orderkey % 5 WHEN 0 THEN 'INS' WHEN 1 THEN 'DUP' WHEN 2 THEN 'DEL' WHEN 3 THEN 'BND' ELSE 'INS' END AS sv_type,
+ CASE o_custkey % 7 WHEN 1 THEN 'TD1' WHEN 2 THEN 'TD2' WHEN 3 THEN 'partnered' WHEN 4 THEN 'orphan' WHEN 5 THEN 'L1' WHEN 6 THEN 'Alu' END AS identity,
+ concat(CAST(o_orderkey % 8 + 1 AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN 'p' ELSE 'q' END, '21.3') AS src_id, o_orderkey % 3 = 0 AS has_tail,
+ CASE o_custkey % 3 WHEN 0 THEN 'RECIPROCAL' WHEN 1 THEN 'PLUS' ELSE 'MINUS' END AS orientation FROM orders""",
+    ),
+    "pairs": (
+        "events",
+        """SELECT event_id AS read_ord, event_type AS ref, (event_id * 7919) % 50000 AS beg, (event_id * 7919) % 50000 + 40 + CAST(floor(value) AS BIGINT) % 110 AS end_pos, concat('r', CAST(user_id AS STRING)) AS read_name,
+ concat('m', CAST(user_id % 6 AS STRING)) AS mate_ref, (event_id * 104729) % 50000 AS mate_beg, event_id % 3 <> 0 AS proper, CAST(event_id % 2 + 1 AS INT) AS pair_no, CASE WHEN event_id % 4 < 2 THEN 'PLUS' ELSE 'MINUS' END AS orientation,
+ event_id % 401 - 200 AS insert_size, event_id % 5 * 10 AS q_beg, event_id % 5 * 10 + 60 AS q_end, CAST(floor(value) AS BIGINT) % 61 AS mapq, event_id % 7 = 0 AS double_clip, user_id % 3 = 0 AS normal FROM events""",
+    ),
     "variants": (
         "documents",
         """SELECT doc_id AS variant_ord, concat('chr', CAST(doc_id % 5 + 1 AS STRING)) AS chrom, 1000 + (doc_id * 7919) % 90000 AS pos, concat('sv', CAST(doc_id AS STRING)) AS id, 'N' AS ref_allele,
