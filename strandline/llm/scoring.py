@@ -103,18 +103,24 @@ class Block:
     """The tokens of a block's documents, and by order their n-grams' distinct hashes and each token's place among them."""
 
     def __init__(self, texts: bytes, sizes: bytes, folds: bytes, order: int):
-        data = LOWER_CODE[np.frombuffer(zstandard.ZstdDecompressor().decompress(texts), np.uint8)]
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(texts), np.uint8)
         offsets = np.concatenate(([0], np.cumsum(grow(sizes).astype(np.int64))))
         n = len(offsets) - 1
         self.folds = np.frombuffer(folds, np.uint8)
-        starts, ends, row = C.words_of(data, offsets)
+        words, row = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for lo, hi in C.slices(offsets):
+            part = LOWER_CODE[data[offsets[lo] : offsets[hi]]]
+            starts, ends, of = C.words_of(part, offsets[lo : hi + 1] - offsets[lo])
+            words.append(C.word_hashes(part, starts, ends))
+            row.append(of + lo)
+        words, row = np.concatenate(words), np.concatenate(row)
         count = np.bincount(row, minlength=n)
         pad = order - 1
         length = count + pad + 1
         first = np.cumsum(length) - length
         symbols = np.full(length.sum(), BEGIN, np.uint64)
         symbols[first + length - 1] = END
-        symbols[np.arange(len(row)) - (np.cumsum(count) - count)[row] + (first + pad)[row]] = C.word_hashes(data, starts, ends)
+        symbols[np.arange(len(row)) - (np.cumsum(count) - count)[row] + (first + pad)[row]] = words
         self.n_tokens = count + 1
         self.begins = np.cumsum(self.n_tokens) - self.n_tokens
         self.row = np.repeat(np.arange(n), self.n_tokens)
