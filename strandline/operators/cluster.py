@@ -132,3 +132,12 @@ def two_groups(events: DataFrame, by: list[str], value: str, ties: list[str], le
     r = r.withColumn("score__", score).withColumn("silhouette", F.avg("score__").over(whole))
     good = F.col("cut__").isNotNull() & (F.col("silhouette") >= least_silhouette)
     return r.withColumn("part", F.when(good & ~first, 1).otherwise(0)).drop("k__", "s__", "n__", "t__", "gain__", "cut__", "low__", "score__")
+
+
+def chromothriptic(chromosomes: DataFrame, least_share: float = 0.25, max_gap: int = 200_000, least_bias: float = 0.8) -> DataFrame:
+    """enriched, clustered, biased and their conjunction for each cell's chromosome (n, total, gap, h1, h2)."""
+    phased = F.col("h1") + F.col("h2")
+    enriched = F.col("n") > least_share * F.col("total")
+    near = F.coalesce(F.col("gap") < max_gap, F.lit(False))
+    biased = (F.greatest("h1", "h2") >= least_bias * phased) & (phased > 0)
+    return chromosomes.select("cell_id", "chrom", enriched.alias("enriched"), near.alias("clustered"), biased.alias("biased"), (enriched & near & biased).alias("chromothriptic"))
