@@ -119,8 +119,8 @@ def complementary_hits(hits: DataFrame, key: str, order: str, carry: list[str],
 
 
 def kmer_complexity(seq: str, k: int) -> Column:
-    """Distinct k-mers by all k-mers of a sequence; null if it has none."""
-    return F.expr(f"CASE WHEN length({seq}) >= {k} THEN size(array_distinct(transform(sequence(1, length({seq}) - {k - 1}), i -> substring({seq}, i, {k})))) / (length({seq}) - {k - 1}) END")
+    """Distinct k-mers by all k-mers of a sequence; null if it has none. One pass over the sequence, by a lookahead."""
+    return F.expr(f"transform(array(regexp_extract_all({seq}, '(?=(.{{{k}}}))', 1)), x -> CASE WHEN size(x) > 0 THEN size(array_distinct(x)) / size(x) END)[0]")
 
 
 def flipped(beg: Column, end: Column, length: Column, strand: Column) -> Column:

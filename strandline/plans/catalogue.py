@@ -224,19 +224,6 @@ def overlap_pairs(bed):
     return _pairs(bed).groupBy("ref").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(I.overlap_length(*x)).alias("shared"), F.count_if(I.reciprocal(*x, 60)).alias("n_reciprocal"))
 
 
-@query(
-    f"SELECT CASE WHEN {_LEN.replace('a.', 'x.').replace('b.', 'y.')} > 0 THEN 1 ELSE 0 END AS meets, CASE WHEN x.beg > y.beg THEN 'LEFT' ELSE 'RIGHT' END AS side, count(*) AS n FROM bed x JOIN bed y ON x.ref = y.ref AND x.bed_id + 1 = y.bed_id OR x.ref = y.ref AND x.bed_id + 5 = y.bed_id WHERE x.beg - 5000 <= y.end_pos + 5000 AND y.beg - 5000 <= x.end_pos + 5000 AND greatest(least(x.end_pos, y.end_pos) - greatest(x.beg, y.beg) + 1, 0) / (x.end_pos - x.beg + 1) * 100 <= 25 AND greatest(least(x.end_pos, y.end_pos) - greatest(x.beg, y.beg) + 1, 0) / (y.end_pos - y.beg + 1) * 100 <= 25 GROUP BY ALL",
-    "bed",
-)
-def complementary_pairs(bed):
-    """Of intervals whose ids differ by 1 or 5, those that continue each other; ``complementary_all_pairs`` takes every pair."""
-    b = bed.select(*[F.col(c).alias(f"{c}_b") for c in ("ref", "beg", "end_pos", "bed_id")])
-    near = bed.withColumn("next", F.explode(F.array(F.col("bed_id") + 1, F.col("bed_id") + 5))).join(b, (F.col("next") == F.col("bed_id_b")) & (F.col("ref") == F.col("ref_b")))
-    x = ("beg", "end_pos", "beg_b", "end_pos_b")
-    side = I.complementary(*x, 5000, 25)
-    return near.where(side.isNotNull()).groupBy((I.overlap_length(*x) > 0).cast("int").alias("meets"), side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
-
-
 _SHARED = f"greatest({_LEN}, 0)"
 
 
@@ -536,16 +523,6 @@ def haplotype_scores(haplotypes):
     return H.diagnostic_scores(haplotypes).withColumn("score", F.round("score", 6))
 
 
-@query(
-    _HC + ", b AS (SELECT *, max(score) OVER (PARTITION BY target_id) AS best FROM c), g AS (SELECT target_id, max(best) AS best, count(*) FILTER (WHERE score = best) AS nb, min(ref_id) FILTER (WHERE score = best) AS ref_id, max(score) FILTER (WHERE score < best) AS second FROM b GROUP BY 1) SELECT target_id, CASE WHEN nb = 1 AND second > 0 AND round(log2(best / second), 2) >= 0.08 THEN ref_id END AS assigned, best, second FROM g",
-    "haplotypes",
-)
-def haplotype_assign(haplotypes):
-    """Targets (even samples) assigned to references (odd ones); ``haplotype_assign_all`` has every sample as both."""
-    scored = H.diagnostic_scores(haplotypes)
-    return H.assign(H.compare(haplotypes.where("sample_id % 2 = 0"), scored.where("sample_id % 2 = 1")))
-
-
 _HALVES = "WHERE a.sample_id % 2 = 0 AND b.sample_id % 2 = 1"
 _HEAD = "SELECT target_id, CASE WHEN nb = 1 AND second > 0 AND round(log2(best / second), 2) >= 0.08 THEN ref_id END AS assigned, best, second FROM g"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import aligner as A
 from ..operators import cluster as L
 from ..operators import events as E
 from .catalogue import CHAIN_SQL, HIT, _GAPS, chained, clustered, query
@@ -161,10 +162,10 @@ def events_by_name(reads):
     return reads.groupBy("read_name").agg(places.alias("places"), F.array_sort(F.collect_set("ref")).alias("refs"))
 
 
-@query("SELECT read_ord, ref, beg, 'pairs' AS src FROM pairs WHERE read_ord % 3 = 0 UNION ALL SELECT read_ord, ref, beg, 'reads' AS src FROM reads WHERE read_ord NOT IN (SELECT read_ord FROM pairs WHERE read_ord % 3 = 0)", "reads", "pairs")
+@query("SELECT read_ord, ref, beg, 'pairs' AS src FROM pairs WHERE NOT proper UNION ALL SELECT read_ord, ref, beg, 'reads' AS src FROM reads WHERE read_ord NOT IN (SELECT read_ord FROM pairs WHERE NOT proper)", "reads", "pairs")
 def merged_with_precedence(reads, pairs):
     """Two tables by key, the second's rows before the first's."""
-    a, b = (x.select("read_ord", "ref", "beg", F.lit(n).alias("src")) for x, n in ((reads, "reads"), (pairs.where("read_ord % 3 = 0"), "pairs")))
+    a, b = (x.select("read_ord", "ref", "beg", F.lit(n).alias("src")) for x, n in ((reads, "reads"), (pairs.where("NOT proper"), "pairs")))
     return E.with_precedence(a, b, ["read_ord"])
 
 
@@ -210,3 +211,26 @@ def chromothripsis(svs):
     c = svs.withColumn("gap", F.lead("beg").over(w) - F.col("end_pos")).groupBy("cell_id", "chrom")
     c = c.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("haplo") == "h1").alias("h1"), F.count_if(F.col("haplo") == "h2").alias("h2"), F.median("gap").alias("gap"))
     return L.chromothriptic(c.join(c.groupBy("cell_id").agg(F.sum("n").alias("total")), "cell_id"))
+
+
+_READ_NAMES = "CASE WHEN read_ord % 4 = 0 THEN concat('v', CAST(read_ord % 3 AS VARCHAR)) END"
+
+
+@query(f"WITH v AS (SELECT read_name, min({_READ_NAMES}) AS virus FROM reads GROUP BY 1) SELECT virus, count(*) AS n, count(DISTINCT p.read_name) AS n_reads FROM pairs p JOIN v ON v.read_name = p.read_name AND v.virus IS NOT NULL GROUP BY virus", "reads", "pairs")
+def viral_mates(reads, pairs):
+    """Discordant reads whose names are among a virus' reads, by virus."""
+    v = reads.groupBy("read_name").agg(F.min(F.expr(_READ_NAMES.replace("VARCHAR", "STRING"))).alias("virus")).where("virus IS NOT NULL")
+    return pairs.join(v, "read_name").groupBy("virus").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("read_name").alias("n_reads"))
+
+
+_K = 24
+
+
+@query(
+    f"WITH y AS (SELECT variant_ord, 256 * j AS o, substr(alt, CAST(256 * j + 1 AS INT), 256 + {_K - 1}) AS y FROM variants, unnest(range(0, length(alt) // 256 + 1)) AS u(j)), q AS (SELECT variant_ord, o + i.i AS q_pos, substr(y, CAST(i.i + 1 AS INT), {_K}) AS k FROM y, unnest(range(0, length(y) - {_K - 1})) AS i(i)), t AS (SELECT t_name, i.i AS t_pos, substr(seq, CAST(i.i + 1 AS INT), {_K}) AS k FROM targets, unnest(range(0, length(seq) - {_K - 1})) AS i(i)), f AS (SELECT k FROM t GROUP BY k HAVING count(*) <= 50), s AS (SELECT variant_ord, t_name, q_pos - t_pos AS d, q_pos FROM q JOIN t ON t.k = q.k JOIN f ON f.k = t.k), n AS (SELECT *, CASE WHEN q_pos - lag(q_pos) OVER (PARTITION BY variant_ord, t_name, d ORDER BY q_pos) <= 10 THEN 0 ELSE 1 END AS new FROM s), g AS (SELECT *, sum(new) OVER (PARTITION BY variant_ord, t_name, d ORDER BY q_pos) AS run FROM n) SELECT variant_ord AS q_name, t_name, min(q_pos) AS q_beg, max(q_pos) + {_K} AS q_end, min(q_pos) - d AS t_beg, max(q_pos) + {_K} - d AS t_end, count(*) AS n_seeds FROM g GROUP BY variant_ord, t_name, d, run HAVING count(*) >= 5",
+    "variants",
+    "targets",
+)
+def seed_hits(variants, targets):
+    """Hits of sequences to targets by seeds on one diagonal."""
+    return A.seed_hits(variants.select(F.col("variant_ord").alias("q_name"), F.col("alt").alias("seq")), targets, k=_K, max_gap=10, least_seeds=5, most_places=50)

@@ -105,11 +105,11 @@ def region_filters(pairs):
     return V.region_shares(_calls(pairs), pairs, "call")
 
 
-@query("SELECT read_ord FROM pairs p WHERE mate_ref IN ('m1', 'm2', 'm4') AND NOT EXISTS (SELECT 1 FROM bed WHERE bed.ref = 'chr' || substr(mate_ref, 2) AND bed.bed_id % 50 = 7 AND mate_beg - 10000 <= bed.end_pos AND bed.beg <= mate_beg + 10000)", "pairs", "bed")
-def mate_position_filter(pairs, bed):
+@query("SELECT read_ord FROM pairs p WHERE mate_ref IN ('m1', 'm2', 'm4') AND NOT EXISTS (SELECT 1 FROM zones WHERE zones.ref = mate_ref AND mate_beg - 10000 <= zones.end_pos AND zones.beg <= mate_beg + 10000)", "pairs", "zones")
+def mate_position_filter(pairs, zones):
     """Mates or supplementary alignments on target references, away from known regions by 10 kb."""
-    p = V.on_targets(pairs, "mate_ref", ["m1", "m2", "m4"]).select("read_ord", F.concat(F.lit("chr"), F.substring("mate_ref", 2, 9)).alias("m_ref"), F.col("mate_beg").alias("m_beg"), F.col("mate_beg").alias("m_end"))
-    return V.outside(p, bed.where("bed_id % 50 = 7"), ("m_ref", "m_beg", "m_end"), ("ref", "beg", "end_pos"), ["read_ord"]).select("read_ord")
+    p = V.on_targets(pairs, "mate_ref", ["m1", "m2", "m4"]).select("read_ord", F.col("mate_ref").alias("m_ref"), F.col("mate_beg").alias("m_beg"), F.col("mate_beg").alias("m_end"))
+    return V.outside(p, zones, ("m_ref", "m_beg", "m_end"), ("ref", "beg", "end_pos"), ["read_ord"]).select("read_ord")
 
 
 @query("SELECT read_ord, insert_size FROM pairs p WHERE (insert_size = 0 OR abs(insert_size) > 150) AND NOT EXISTS (SELECT 1 FROM reads r WHERE r.is_dup AND r.read_ord = p.read_ord)", "pairs", "reads")

@@ -131,12 +131,11 @@ def chained_all(hits):
     return _chain(hits)
 
 
-_KLASS = "CASE bed_id % 5 WHEN 0 THEN 'Simple_repeat' WHEN 1 THEN 'L1' WHEN 2 THEN 'Satellite' WHEN 3 THEN 'telo' ELSE 'Alu' END"
 _LAP = "greatest(least({b}, {d}) - greatest({a}, {c}) + 1, 0)"
 _KINDS = (
     f"WITH k AS (SELECT q_name, any_value(chrom) AS ref, any_value(pos) AS beg, any_value(pos) + 300 AS end_pos FROM ({_PLACE}) GROUP BY q_name), "
     f"d AS (SELECT h.q_name, least(sum({_LAP.format(a='k.beg - 100', b='k.end_pos + 100', c='h.t_beg', d='h.t_end')} * 100.0::DOUBLE / q_len), 100) AS percent FROM hits h JOIN k ON k.q_name = h.q_name AND h.t_name = k.ref AND h.t_beg <= k.end_pos + 100 AND k.beg - 100 <= h.t_end GROUP BY h.q_name), "
-    f"rep AS (SELECT ref, beg, end_pos, {_KLASS} AS family, bed_id, gene_name FROM bed WHERE bed_id % 40 = 0), "
+    "rep AS (SELECT * FROM repeats), "
     "w AS (SELECT DISTINCT k.q_name, rep.family FROM k JOIN rep ON rep.ref = k.ref AND rep.beg <= k.end_pos AND k.beg <= rep.end_pos WHERE rep.family IN ('Low_complexity', 'Simple_repeat', 'Satellite', 'telo', 'centr', 'acro')), "
     f"x AS (SELECT h.q_name, least(sum({_LAP.format(a='h.t_beg', b='h.t_end', c='rep.beg', d='rep.end_pos')} * 100.0::DOUBLE / q_len), 100) AS percent FROM hits h JOIN rep ON rep.ref = h.t_name AND rep.beg <= h.t_end AND h.t_beg <= rep.end_pos JOIN w ON w.q_name = h.q_name AND w.family = rep.family GROUP BY h.q_name), "
     f"b AS (SELECT h.q_name, h.hit_ord, h.q_len, rep.gene_name, {_LAP.format(a='h.t_beg', b='h.t_end', c='rep.beg', d='rep.end_pos')} AS n FROM hits h JOIN rep ON rep.ref = h.t_name AND rep.beg <= h.t_end AND h.t_beg <= rep.end_pos QUALIFY row_number() OVER (PARTITION BY h.q_name, h.hit_ord ORDER BY (least(h.t_end, rep.end_pos) - greatest(h.t_beg, rep.beg)) / (h.t_end - h.t_beg + 1) * 100 DESC, rep.beg, rep.gene_name) = 1), "
@@ -146,13 +145,12 @@ _KINDS = (
 )
 
 
-@query(_KINDS, "hits", "bed")
-def insertion_kinds(hits, bed):
+@query(_KINDS, "hits", "repeats")
+def insertion_kinds(hits, rep):
     """Expansion, duplication, interspersed, pseudogene, virus, in this order."""
     key = "q_name"
     at = placed(hits)
     calls = at.groupBy(key).agg(F.first("chrom").alias("ref"), F.first("pos").alias("beg")).withColumn("end_pos", F.col("beg") + 300)
-    rep = bed.where("bed_id % 40 = 0").withColumn("family", F.expr(_KLASS))
     repeats = rep.select(F.col("ref").alias("r_ref"), F.col("beg").alias("r_beg"), F.col("end_pos").alias("r_end"), F.col("family").alias("r_family"))
     wanted = J.interval_join(calls, repeats, ("ref", "beg", "end_pos"), ("r_ref", "r_beg", "r_end")).select(key, F.col("r_family").alias("family")).distinct()
     exons = rep.select(F.col("ref").alias("x_ref"), F.col("beg").alias("x_beg"), F.col("end_pos").alias("x_end"), F.col("gene_name").alias("gene"))

@@ -36,6 +36,16 @@ VIEWS = {
         "lineitem",
         "SELECT l_suppkey AS sample_id, l_partkey % 12 AS position, CAST(min(l_partkey % 5) AS BIGINT) AS status FROM lineitem GROUP BY l_suppkey, l_partkey % 12",
     ),
+    "repeats": (
+        "supplier",
+        """SELECT concat('chr', CAST(s_suppkey % 5 + 1 AS STRING)) AS ref, (s_suppkey * 977) % 90000 AS beg, (s_suppkey * 977) % 90000 + 200 + s_suppkey % 700 AS end_pos,
+ CASE s_suppkey % 5 WHEN 0 THEN 'Simple_repeat' WHEN 1 THEN 'L1' WHEN 2 THEN 'Satellite' WHEN 3 THEN 'telo' ELSE 'Alu' END AS family, concat('gene', CAST(s_nationkey AS STRING)) AS gene_name FROM supplier""",
+    ),
+    "zones": ("region", "SELECT concat('m', CAST(r_regionkey AS STRING)) AS ref, r_regionkey * 9000 + 1000 AS beg, r_regionkey * 9000 + 2000 AS end_pos FROM region"),
+    "targets": (
+        "benchmark",
+        "SELECT item_id AS t_name, translate(regexp_replace(lower(text), '[^a-z]', ''{G}), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM benchmark",
+    ),
     "metas": (
         "orders",
         """SELECT o_orderkey AS meta_id, CAST(o_custkey % 8 + 1 AS STRING) AS ref, (o_orderkey * 131) % 90000 AS beg, (o_orderkey * 131) % 90000 + 50 + o_orderkey % 400 AS end_pos,

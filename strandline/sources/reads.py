@@ -113,3 +113,11 @@ def blocks(reads: DataFrame) -> DataFrame:
     e = F.concat(F.transform(cut, lambda s: s["r"]), F.array((F.col("end") - F.col("pos")).cast("long")))
     rows = reads.withColumn("x", F.explode(F.arrays_zip(n.alias("b"), e.alias("e"))))
     return rows.select("ref", (F.col("pos") + F.col("x.b")).alias("beg"), (F.col("pos") + F.col("x.e")).alias("end"), "read_name", "mapq", F.when(F.col("reverse"), "-").otherwise("+").alias("strand"))
+
+
+def as_paf(reads: DataFrame) -> DataFrame:
+    """Mapped alignments as the columns of PAF that a SAM line knows: query and target intervals, strand, quality."""
+    on_read = S.query_interval("cigar", "reverse")
+    n = S.cigar_length("cigar", "M=XISH")
+    strand = F.when(F.col("reverse"), "-").otherwise("+")
+    return reads.where("NOT unmapped").select(F.col("read_name").alias("q_name"), n.alias("q_len"), on_read["beg"].alias("q_beg"), on_read["end"].alias("q_end"), strand.alias("strand"), F.col("ref").alias("t_name"), F.col("pos").alias("t_beg"), F.col("end").alias("t_end"), "mapq")

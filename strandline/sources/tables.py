@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The columns of the formats, in their order.
 PAF = "q_name string, q_len int, q_beg int, q_end int, strand string, t_name string, t_len int, t_beg int, t_end int, nb_matches int, block_len int, mapq int"
 PSL = (
     "matches int, mismatches int, rep_matches int, n_count int, q_gaps int, q_gap_bases int, t_gaps int, t_gap_bases int, strand string,"
@@ -87,11 +88,11 @@ def read_bed(spark: SparkSession, path: str, refs: list[str] | None = None) -> D
 
 
 def write_bed(ivals: DataFrame, path: str, optional: list[str] = ()) -> None:
-    """One file with a header line, by reference and begin."""
+    """A header line and rows by reference and begin, in parts whose order is that of their names."""
     columns = ["ref", "beg", "end", *optional]
     head = ivals.sparkSession.createDataFrame([(0, "", 0, "#" + "\t".join(columns))], "o int, ref string, beg int, value string")
     rows = ivals.select(F.lit(1).alias("o"), "ref", F.col("beg").cast("int").alias("beg"), F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in columns]).alias("value"))
-    head.unionByName(rows).orderBy("o", "ref", "beg", "value").coalesce(1).select("value").write.mode("overwrite").text(path)
+    head.unionByName(rows).orderBy("o", "ref", "beg", "value").select("value").write.mode("overwrite").text(path)
 
 
 def annovar_line() -> Column:

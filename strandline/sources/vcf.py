@@ -74,7 +74,8 @@ def header_text(header: Header) -> str:
 
 
 def write_variants(variants: DataFrame, header: Header, path: str) -> None:
-    """One file: header, then variants by chromosome (as text) and position; INFO from the map, genotypes kept."""
+    """Header, then variants by chromosome (as text) and position, in parts whose order is that of their names;
+    INFO from the map, genotypes kept."""
     info = F.array_join(F.transform(F.map_entries("info"), lambda e: F.when(e["value"] == "true", e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))), ";")
     columns = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", F.when(info == "", ".").otherwise(info)]
     if header.samples:
@@ -83,4 +84,4 @@ def write_variants(variants: DataFrame, header: Header, path: str) -> None:
         columns += [F.array_join(keys, ":"), *[F.array_join(values(s), ":") for s in header.samples]]
     rows = variants.select(F.lit(1).alias("o"), "chrom", "pos", line(*columns).alias("value"))
     head = variants.sparkSession.createDataFrame([(0, "", 0, header_text(header))], "o int, chrom string, pos int, value string")
-    head.unionByName(rows).orderBy("o", "chrom", "pos", "value").coalesce(1).select("value").write.mode("overwrite").text(path)
+    head.unionByName(rows).orderBy("o", "chrom", "pos", "value").select("value").write.mode("overwrite").text(path)

@@ -30,12 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted with the tables."""
+    at = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
+    _made.append((spark, at))
+    return at
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: its lineage ends there."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
+    at = scratch(spark)
     df.write.option("compression", "zstd").parquet(at)
-    _made.append((spark, at))
     return spark.read.schema(df.schema).parquet(at)
 
 
