@@ -25,7 +25,8 @@ def sv_type(types: Column, spanned: Column | None = None) -> Column:
 def majority_identity(mates: DataFrame, by: list[str]) -> DataFrame:
     """For each cluster, the identity that most mates of an orientation have: plus_id, plus_src, minus_id, minus_src.
 
-    ``mates`` has orientation, identity and src (null unless a transduction's source). Ties go by name.
+    ``mates`` has orientation, identity and src (a transduction's source element with its end, null for others).
+    Ties go by name.
     """
     n = mates.where("identity IS NOT NULL").groupBy(*by, "orientation", "identity", "src").agg(F.count(F.lit(1)).alias("n"))
     best = n.groupBy(*by, "orientation").agg(F.min(F.struct((-F.col("n")).alias("n"), "identity", F.coalesce("src", F.lit("")).alias("src"))).alias("x"))

@@ -174,7 +174,7 @@ def sv_types(reads):
 
 @query(
     _GAPS
-    + """, i AS (SELECT ref, cluster, orientation, ['L1', 'Alu', 'SVA', 'Simple_repeat', 'gene'][mapq % 5 + 1] AS identity, CASE WHEN mapq % 15 = 0 THEN 'src' || (beg % 2) ELSE '' END AS src FROM c),
+    + """, i AS (SELECT ref, cluster, orientation, ['L1', 'Alu', 'SVA', 'Simple_repeat', 'gene'][mapq % 5 + 1] AS identity, CASE WHEN mapq % 15 = 0 THEN 'src' || (beg % 2) || '_' || (CASE beg % 3 WHEN 0 THEN '5' ELSE '3' END) ELSE '' END AS src FROM c),
 n AS (SELECT ref, cluster, orientation, identity, src, count(*) AS n FROM i GROUP BY ALL),
 b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY ref, cluster, orientation ORDER BY n DESC, identity, src) = 1),
 s AS (SELECT ref, cluster, max(identity) FILTER (WHERE orientation = 'PLUS') AS p, max(identity) FILTER (WHERE orientation = 'MINUS') AS m, nullif(max(src) FILTER (WHERE orientation = 'PLUS'), '') AS ps, nullif(max(src) FILTER (WHERE orientation = 'MINUS'), '') AS ms FROM b GROUP BY 1, 2)
@@ -187,7 +187,7 @@ SELECT ref, CAST(cluster AS BIGINT) AS cluster,
 def mate_insertions(reads):
     """Mobile elements by what the mates on both sides are."""
     identity = F.expr("element_at(array('L1', 'Alu', 'SVA', 'Simple_repeat', 'gene'), CAST(mapq % 5 + 1 AS INT))")
-    src = F.when(F.col("mapq") % 15 == 0, F.concat(F.lit("src"), F.col("beg") % 2))
+    src = F.when(F.col("mapq") % 15 == 0, F.concat(F.lit("src"), F.col("beg") % 2, F.lit("_"), F.when(F.col("beg") % 3 == 0, "5").otherwise("3")))
     best = V.majority_identity(clustered(reads).withColumns({"identity": identity, "src": src}), ["ref", "cluster"])
     name, kind = V.insertion_by_mates()
     return best.select("ref", "cluster", name.alias("identity"), kind.alias("ins_type"))
