@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gc
 import json
+import os
 from array import array
 
 import numpy as np
@@ -26,10 +27,15 @@ from . import _common as C
 from .pieces import PLAIN, Memory, plain_bytes
 
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: A longer word is walked alone, without a trie.
+#: A longer word is walked alone by the same states: the path's encodings by depth would take its length squared.
 LONG_WORD = 2000
 
 
+def refuse_unless(fits: bool, path: str) -> None:
+    if not fits:
+        raise ValueError(f"{path} cuts, normalises or merges text in a way that isn't supported")
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable character of each byte, as byte-level vocabularies write them."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -206,7 +212,13 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        first, *rest = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        fits = first.get("pattern", {}).get("Regex") == WORDS.pattern and first.get("invert") and [x["type"] for x in rest] == ["ByteLevel"] and steps == ["NFC", "Replace", "Lowercase"]
+        plain = not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        refuse_unless(bool(fits and plain and model["type"] == "BPE" and model["end_of_word_suffix"] and not model["unk_token"] and not model["ignore_merges"]), path)
         self.path, self.library = path, None
+        self.mark = os.path.commonprefix([t["content"] for t in spec["added_tokens"]])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.shown = {i: b" " + s.encode() for s, i in [*model["vocab"].items(), *self.special.items()]}
         self.encoder = TrieEncoder(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"], self.shown)
@@ -237,7 +249,7 @@ class WordBpe:
         return [bytes(self.of[c] for c in w).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def pieces(self, text: str, plain: bool) -> list[str | int]:
-        if "<|" not in text:
+        if self.mark not in text or not self.special:
             return self.chunks(text, plain)
         out: list = []
         for part in self.cut.split(text):
@@ -253,7 +265,7 @@ class WordBpe:
         self.ids.learn({x for x in set().union(*cut) if x.__class__ is str})
         get, ids, shown = self.ids.get, [], []
         for p, text in zip(cut, texts):
-            if "<|" in text:
+            if self.special and self.mark in text:
                 got = [get(x) or (array("i", [x]).tobytes(), self.shown[x]) for x in p]
             else:
                 got = map(get, p)

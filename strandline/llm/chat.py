@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,13 +59,19 @@ def put(out: np.ndarray, at: np.ndarray, source: np.ndarray, begin: np.ndarray,
 
 
 def escaped(column: pa.Array, how) -> tuple[np.ndarray, np.ndarray]:
-    """A column's escaped bytes and offsets; untouched as a whole if nothing needs it."""
+    """A column's escaped bytes and offsets; only the rows with a sign that may need it are looked at one by one."""
     data, offsets = C.buffers(column)
-    if (data == 0x7C).any() or how is escape_role and ((data == 0x5C) | (data == 0x0A)).any():
-        parts = [how(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-        offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-        data = np.frombuffer(b"".join(parts), np.uint8)
-    return data, offsets
+    sign = (data == 0x7C) | (data == 0x5C) | (data == 0x0A) if how is escape_role else data == 0x7C
+    rows = np.unique(np.searchsorted(offsets, np.flatnonzero(sign), side="right") - 1)
+    if not len(rows):
+        return data, offsets
+    size, parts, done = np.diff(offsets), [], 0
+    for i in rows.tolist():
+        new = how(data[offsets[i] : offsets[i + 1]].tobytes())
+        parts += [data[done : offsets[i]].tobytes(), new]
+        size[i], done = len(new), offsets[i + 1]
+    parts.append(data[done:].tobytes())
+    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum(size)))
 
 
 def assemble(turns: pa.Table) -> pa.RecordBatch:
@@ -98,8 +106,21 @@ def assemble(turns: pa.Table) -> pa.RecordBatch:
     return pa.record_batch([ids.take(pa.array(first)), formatted, lists], names=["conv_id", "formatted", "loss"])
 
 
+def assembled(turns: pa.Table, most: int = 256 << 20) -> Iterator[pa.RecordBatch]:
+    """Whole conversations as rows, in batches of about ``most`` bytes; a conversation that alone has 2 GB or more is refused."""
+    edge = np.append(np.flatnonzero(turns.column("first").to_numpy().astype(bool)), len(turns))
+    upto = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(turns.column("text")), 0).to_numpy().astype(np.int64))))[edge]
+    for lo, hi in C.slices(upto, most):
+        yield assemble(turns.slice(int(edge[lo]), int(edge[hi] - edge[lo])))
+
+
 def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, formatted (UTF-8 bytes) and loss (byte ranges of assistant contents)."""
+    """conv_id, formatted (UTF-8 bytes) and loss (byte ranges of assistant contents).
+
+    Null texts and roles are empty; rows without an id are one conversation; ties of the turn go by role and
+    text; repeated rows are turns of their own; an empty table gives an empty table; further columns are left out,
+    whatever their names. A conversation is one row, so it has less than 2 GB and about 30 times its bytes in one task.
+    """
     C.findable(turns.sparkSession)
     text = lambda c: F.coalesce(turns[c].cast("string"), F.lit(""))
     rows = turns.select(turns[id_col].alias("conv_id"), turns[turn_col].alias("turn"), text(role_col).alias("role"), text(text_col).alias("text"))
@@ -123,13 +144,13 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
             if len(starts) and (starts[-1] or count):
                 whole = table([*held, rows.slice(0, int(starts[-1]))])
                 if len(whole):
-                    yield assemble(whole)
+                    yield from assembled(whole)
                 held = [rows.slice(int(starts[-1]))]
             else:
                 held.append(rows)
             count += len(rows)
         if held and count:
-            yield assemble(table(held))
+            yield from assembled(table(held))
 
     kind = rows.schema["conv_id"].dataType.simpleString()
     return rows.mapInArrow(emit, f"conv_id {kind}, formatted binary, loss array<array<long>>")

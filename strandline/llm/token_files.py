@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from .bpe import byte_alphabet
+from .bpe import byte_alphabet, refuse_unless
 from .pieces import PLAIN, Lazy, plain_bytes
 
 #: How the tokenizer cuts text before it merges.
@@ -46,6 +46,11 @@ class PieceEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut = spec["pre_tokenizer"] or {}
+        fits = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not spec["normalizer"] and spec["model"]["type"] == "BPE"
+        refuse_unless(bool(fits), path)
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
@@ -108,7 +113,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     """Write every whole text's ids and the end id, in ascending order of document id; returns the manifest."""
     spark = docs.sparkSession
     docs = C.keyed(docs, id_col, text_col)
-    n = C.partitions(spark)
+    bytes_ = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(C.partitions(spark), bytes_ // C.DEALT_BYTES)
     ordered = docs.repartitionByRange(n, "doc_id", "kid").sortWithinPartitions("doc_id", "kid").select("doc_id", "text")
     store, at = _open(folder)
     store.create_dir(at)
@@ -149,12 +155,20 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     return manifest
 
 
-def _map(store: fs.FileSystem, path: str, kind: str) -> np.ndarray:
-    """The file's numbers: memory-mapped where it is local to all, else read."""
+#: Bytes of ids that are read at once.
+READ_BYTES = 16 << 20
+
+
+def _reader(store: fs.FileSystem, path: str, kind: str):
+    """Numbers a to b of a file: memory-mapped where it is local to all, else that range is read."""
+    size = np.dtype(kind).itemsize
     if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, kind, "r") if store.get_file_info(path).size else np.zeros(0, kind)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), kind)
+        if not store.get_file_info(path).size:
+            return lambda a, b: np.zeros(0, kind)
+        whole = np.memmap(path, kind, "r")
+        return lambda a, b: whole[a:b]
+    f = store.open_input_file(path)
+    return lambda a, b: np.frombuffer(f.read_at((b - a) * size, a * size), kind)
 
 
 def read_token_files(spark: SparkSession, folder: str, id_type: str = "long") -> DataFrame:
@@ -170,12 +184,15 @@ def read_token_files(spark: SparkSession, folder: str, id_type: str = "long") ->
         for batch in batches:
             for i in batch.column("id").to_pylist():
                 part = parts[i]
-                ids = _map(store, f"{at}/{part['name']}.ids", f"<u{width}")
-                offsets = _map(store, f"{at}/{part['name']}.offsets", "<u8").astype(np.int64)
-                with store.open_input_file(f"{at}/{part['name']}.docs") as f:
-                    names = pa.ipc.open_stream(f.read()).read_all().column("doc_id").combine_chunks()
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pa.record_batch([names, part["base"] + offsets[:-1], np.diff(offsets), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                ids = _reader(store, f"{at}/{part['name']}.ids", f"<u{width}")
+                offsets = _reader(store, f"{at}/{part['name']}.offsets", "<u8")(0, part["n_docs"] + 1).astype(np.int64)
+                with store.open_input_stream(f"{at}/{part['name']}.docs") as f:
+                    names = pa.ipc.open_stream(f).read_all().column("doc_id").combine_chunks()
+                for lo, hi in C.slices(offsets, READ_BYTES // width):
+                    here = ids(int(offsets[lo]), int(offsets[hi]))
+                    some = offsets[lo : hi + 1]
+                    crc = [zlib.crc32(here[a:b].astype("<u4").tobytes()) for a, b in zip(some[:-1] - some[0], some[1:] - some[0])]
+                    yield pa.record_batch([names.slice(lo, hi - lo), part["base"] + some[:-1], np.diff(some), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return spark.range(0, len(parts), 1, max(1, len(parts))).mapInArrow(emit, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
