@@ -446,14 +446,120 @@ def test_empty_tables(spark, table, tmp_path):
     assert token_files.read_token_files(spark, str(tmp_path / "e")).count() == 0
 
 
-def test_pipeline(spark):
+def measured(text):
+    """The quality rules' counts and verdict of a text, as plainly as can be."""
+    w = WORD.findall(text or "")
+    n = len(w)
+    lines_ = [x for x in (text or "").split("\n") if WORD.search(x)]
+    triples = collections.Counter(tuple(w[i : i + 3]) for i in range(n - 2))
+    again = {j for i in range(n - 2) if triples[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+    best = [0] * n
+    for i in range(n):
+        for j in range(i):
+            k = 0
+            while i + k < n and w[i + k] == w[j + k]:
+                k += 1
+            best[i], best[j] = max(best[i], k), max(best[j], k)
+    covered = {k for i in range(n) if best[i] >= 5 for k in range(i, i + best[i])}
+    longest = max(best, default=0)
+    failed = n < 50 or 100 * len(again) > 50 * n
+    kept = not failed and len(covered) <= 0.4 * n and (longest < 5 or longest <= min(200, 0.3 * n))
+    return n, sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>") if text else 0, len(lines_) - len(set(lines_)), len(again), len(covered), longest, failed, kept
+
+
+QUALITY = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat", "base_failed", "kept")
+
+
+def test_quality_against_brute_force(table, texts):
+    r = random.Random(31)
+    word = lambda: r.choice("abcdefghijklmnop") * r.randint(1, 4) + r.choice(["", "#", "é", "|"])
+    docs = generated(8) + [(None, None), (500, ""), (500, "")]
+    for i in range(60):
+        body = [word() for _ in range(r.randint(40, 120))]
+        body += body[: r.choice([0, 4, 6, 30])] + [word() for _ in range(5)]
+        docs.append((600 + i, " ".join(body).replace(" a", "\n", 3)))
+    df = table(docs)
+    want = sorted(((d, *measured(t)) for d, t in docs), key=repr)
+    assert rows(quality.quality_rules(df), "doc_id", *QUALITY) == want
+    kept = quality.keep_good(df)
+    assert kept.schema == df.schema and sorted(map(repr, kept.collect())) == sorted(repr(x) for x in df.collect() if measured(x.text)[-1])
+    assert {x[-1] for x in want} == {True, False}
+
+
+def without_chunks(docs):
+    """Line dedup with chunks of two lines at least; (id, text) in order of ids, null ids last."""
+    seen, out = set(), []
+    for d, text in sorted(docs, key=lambda x: (x[0] is None, x[0])):
+        ls = (text or "").split("\n")
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in ls]
+        n = len(ls)
+        ends = [i for i in range(n) if i == n - 1 or (h[i] + 31 * (h[i - 1] if i else 0) + 961 * (h[i - 2] if i > 1 else 0)) % lines.DIVISOR == 0]
+        ends = [e for k, e in enumerate(ends) if e == n - 1 or 0 < e < n - 2 and (k == 0 or ends[k - 1] < e - 1)]
+        kept, at = [], 0
+        for e in ends:
+            chunk = ls[at : e + 1]
+            at = e + 1
+            if len(chunk) < 2 or "\n".join(chunk) not in seen:
+                kept += chunk
+            if len(chunk) > 1:
+                seen.add("\n".join(chunk))
+        out.append((d, "\n".join(kept)))
+    return out
+
+
+def pipeline_by_brute_force(docs, items, path):
+    from tokenizers import Tokenizer
+
+    docs = [(d, t) for d, t in docs if measured(t)[-1]]
+    docs = without_chunks(docs)
+    found = classes_by_brute_force(docs)
+    groups = collections.defaultdict(list)
+    for (d, t), (_, c, _) in zip(docs, found):
+        groups[c].append((d is None, d, t))
+    docs = [min(g, key=lambda x: (x[0], x[1] or 0))[1:] for g in groups.values()]
+    clean = [(d, t) for d, t in docs if not any(q and len(q & shingles(t)) >= 0.8 * len(q) for q in map(shingles, items))]
+    lib, out = Tokenizer.from_file(path), []
+    for d, t in clean:
+        ids = lib.encode(t, add_special_tokens=False).ids
+        out.append((d, len(ids), sha(" ".join(map(str, ids)).encode()), sha(lib.decode(ids, skip_special_tokens=False).encode())))
+    return sorted(out, key=repr)
+
+
+def test_pipeline_against_brute_force(spark, table, tmp_path):
+    import corpus_pipeline as p
+
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    prose = lambda n: "\n".join(" ".join(word() for _ in range(12)) for _ in range(n))
+    shared = prose(9)
+    items = [" ".join(word() for _ in range(20)) for _ in range(4)]
+    docs = [(i, prose(r.randint(6, 14))) for i in range(25)]
+    docs += [(30 + i, prose(6) + "\n" + shared + "\n" + prose(3)) for i in range(5)]
+    docs += [(40 + i, t.replace("a", "b", 1)) for i, (_, t) in enumerate(docs[:6])] + [(50, docs[3][1]), (50, docs[3][1])]
+    docs += [(60 + i, prose(6) + "\n" + x + "\n" + prose(2)) for i, x in enumerate(items)]
+    docs += [(70, None), (None, prose(8)), (71, ""), (72, "too short"), (73, "same words here " * 40)]
+    table(docs).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)) + [(9, None), (10, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = pipeline_by_brute_force(docs, items, C.vocabulary("word_bpe_49k.json"))
+    got = rows(p.run(spark, str(tmp_path)), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert got == want and 20 < len(want) < len(docs) - 8
+
+
+def test_stages_on_empty_tables(spark, table):
+    empty = table().limit(0)
+    items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    stages = (quality.keep_good, lines.without_repeated_chunks, jaccard.one_of_each_class, lambda d: contamination.without_items(d, items), lambda d: contamination.without_items(d, items.limit(0)))
+    for stage in stages:
+        out = stage(empty)
+        assert out.schema == empty.schema and out.count() == 0
+
+
+def test_pipeline_keeps_columns(spark):
     import corpus_pipeline as p
 
-    out = p.run(spark, "/root/testdata/sf0.001")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
-    assert 0 < out.count() < docs.count()
 
 
 def test_tokens_that_meet():
