@@ -98,7 +98,7 @@ def reciprocal_clusters(events: DataFrame, key: str, ref: str, beg: str, end: st
     twin = wide.withColumn("k", step(F.col("hi") - F.col("lo") + 1)).select(*[F.col(c).alias(f"{c}_b") for c in ("ref", "beg", "end", "node")], F.col("k").alias("k_b"), bin_(F.col("lo"), F.col("k")).alias("bin_b"))
     near = wide.withColumn("k", F.explode(F.transform(F.array(*[F.lit(x) for x in (-1, 0, 1)]), lambda x: step(F.col("hi") - F.col("lo") + 1) + x)))
     near = near.withColumn("bin", F.explode(F.transform(F.array(*[F.lit(x) for x in (-1, 0, 1)]), lambda x: bin_(F.col("lo"), F.col("k")) + x)))
-    pairs = near.join(twin, (F.col("ref") == F.col("ref_b")) & (F.col("k") == F.col("k_b")) & (F.col("bin") == F.col("bin_b")) & (F.col("node") <= F.col("node_b")))
+    pairs = near.join(twin.hint("merge"), (F.col("ref") == F.col("ref_b")) & (F.col("k") == F.col("k_b")) & (F.col("bin") == F.col("bin_b")) & (F.col("node") <= F.col("node_b")))
     wide = [F.col("beg") - buffer, F.col("end") + buffer, F.col("beg_b") - buffer, F.col("end_b") + buffer]
     edges = pairs.where(((F.col("node") == F.col("node_b")) | I.reciprocal(*wide, least_percent)))
     roots = components(edges.select(F.col("node").alias("a"), F.col("node_b").alias("b")))

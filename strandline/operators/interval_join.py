@@ -65,7 +65,8 @@ def interval_join(a: DataFrame, b: DataFrame, a_cols: tuple[str, str, str], b_co
         on &= (F.col("level__") == F.col("level_b__")) & (F.col("level__") == F.greatest("own__", "own_b__"))
         at = size * F.pow(F.lit(FACTOR), F.col("level__"))
     on &= F.col("bin__") == F.floor(F.greatest(low, F.col(bb)) / at)
-    return left.join(right, on, how).drop(*names, *names.values())
+    # many rows share a bin: sorted runs are passed much faster than the chains of a hash table, and nothing is broadcast
+    return left.join(right.hint("merge"), on, how).drop(*names, *names.values())
 
 
 def overlap_totals(a: DataFrame, b: DataFrame, a_cols, b_cols, key: list[str], tile: int = 1 << 14) -> DataFrame:
