@@ -96,3 +96,10 @@ def query_interval(cigar: str, reverse: str) -> Column:
     n = cigar_length(cigar, "M=XI")
     beg = F.when(F.col(reverse), tail).otherwise(head)
     return F.struct(beg.alias("beg"), (beg + n).alias("end"))
+
+
+def without_tail(seq: str, run: Column, strand: Column) -> Column:
+    """struct(tail, rest): a tail's bases, and what stands before it (+ strand) or behind it."""
+    cut = lambda beg, end: F.substring(F.col(seq), (beg + 1).cast("int"), (end - beg).cast("int"))
+    n = F.length(seq)
+    return F.struct(cut(run["beg"], run["end"]).alias("tail"), F.when(strand == "+", cut(F.lit(0), run["beg"])).otherwise(cut(run["end"], n)).alias("rest"))

@@ -141,3 +141,13 @@ def chromothriptic(chromosomes: DataFrame, least_share: float = 0.25, max_gap: i
     near = F.coalesce(F.col("gap") < max_gap, F.lit(False))
     biased = (F.greatest("h1", "h2") >= least_bias * phased) & (phased > 0)
     return chromosomes.select("cell_id", "chrom", enriched.alias("enriched"), near.alias("clustered"), biased.alias("biased"), (enriched & near & biased).alias("chromothriptic"))
+
+
+def adjacent(svs: DataFrame, by: list[str], kind: str, beside: str, max_dist: int) -> DataFrame:
+    """sv_id of variants of a kind, and whether one of the other kind is the next before or after, near enough."""
+    w = Window.partitionBy(*by).orderBy("beg", "sv_id")
+    before = (F.lag("sv_type").over(w) == beside) & (F.col("beg") - F.lag("end_pos").over(w) <= max_dist)
+    after = (F.lead("sv_type").over(w) == beside) & (F.lead("beg").over(w) - F.col("end_pos") <= max_dist)
+    no = F.lit(False)
+    rows = svs.withColumns({f"{beside}_before": F.coalesce(before, no), f"{beside}_after": F.coalesce(after, no)})
+    return rows.where(F.col("sv_type") == kind).select("sv_id", f"{beside}_before", f"{beside}_after")

@@ -184,3 +184,30 @@ def own_site_as_templated(rows: DataFrame, reach: int = 1000) -> DataFrame:
         "td5_len": F.when(~F.col("own__"), F.col("td5_len")),
         "td5_n": F.when(~F.col("own__"), F.col("td5_n")),
     }).drop("own__")
+
+
+def resolved(itype: Column, family: Column, percent: Column, least: float = 75, least_sva: float = 50) -> Column:
+    """Enough of an insert is explained; chimeras need not be."""
+    return (itype == "chimera") | (percent >= F.when(family == "SVA", least_sva).otherwise(least))
+
+
+def hexamer_fits(hexamer: Column, family: Column, itype: Column) -> Column:
+    """A hexamer is in an SVA, or in an insert whose own element isn't told."""
+    return ~hexamer | (family == "SVA") | itype.isin("PSD", "orphan")
+
+
+def supporting_clippings(clusters: DataFrame, clips: DataFrame, buffer: int) -> DataFrame:
+    """ref, cluster, side, n: of the clippings around a cluster the larger side's; all PLUS reads point right, all MINUS ones left.
+
+    ``clusters``: ref, cluster, b, e, plus, minus; ``clips``: r_ref, r_beg, side.
+    """
+    k = clusters.withColumn("from", F.greatest(F.col("b") - buffer, F.lit(0)))
+    met = J.interval_join(k, clips.withColumn("r_end", F.col("r_beg")), ("ref", "from", "e"), ("r_ref", "r_beg", "r_end"))
+    met = met.where((~F.col("plus") | (F.col("side") == "right")) & (~F.col("minus") | (F.col("side") == "left")))
+    n = met.groupBy("ref", "cluster", "side").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("ref", "cluster").agg(F.min(F.struct((-F.col("n")).alias("neg"), "side")).alias("x")).select("ref", "cluster", F.col("x.side").alias("side"), (-F.col("x.neg")).alias("n"))
+
+
+def named(calls: DataFrame, annotations: DataFrame, name: str) -> DataFrame:
+    """Calls with what an annotator says of their name, null where it says nothing."""
+    return calls.join(annotations, name, "left")

@@ -126,3 +126,9 @@ def interspersed(tail_percent: Column, repeat: Column, transduced: Column, least
 def insertion_kind(expansion: Column, duplication: Column, interspersed_kind: Column, pseudogene: Column, viral: Column) -> Column:
     """The first kind in order of priority that holds."""
     return F.when(expansion, "expansion").when(duplication, "duplication").when(interspersed_kind.isNotNull(), interspersed_kind).when(pseudogene, "pseudogene").when(viral, "viral").otherwise("unknown")
+
+
+def lenient(cov: Column, families: Column, least: float, unknown: list[str]) -> Column:
+    """Type of an insert by its repeats' chain alone: unknown if too little is covered or its only family is not an element."""
+    one = F.size(families) == 1
+    return F.when(cov < least, "UNK").when(one & families[0].isin(unknown), "UNK").when(one, "solo").otherwise("chimera")

@@ -101,3 +101,13 @@ def gap_clustering(svs: DataFrame, by: list[str], ref_length: Column, seed: int,
     medians = both.groupBy(*by).agg(F.median(F.when(F.col("seen"), F.col("gap"))).alias("m"), F.median(F.when(~F.col("seen"), F.col("gap"))).alias("r"))
     ks = ks_distance(both, by, "gap", "seen")
     return ks.join(medians, by).select(*by, F.col("n_x").alias("n"), "distance", "p", (-F.log2(F.col("m") / F.col("r"))).alias("score"))
+
+
+def random_chromosome(key: str, lengths: dict[str, int], seed: int) -> Column:
+    """A chromosome for each row, as likely as it is long; the same for the same key and seed. ``lengths`` has a genome's few contigs."""
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    total, upto, out = sum(lengths.values()), 0, None
+    for name, n in lengths.items():
+        upto += n
+        out = F.when(u < upto / total, name) if out is None else out.when(u < upto / total, name)
+    return out.otherwise(list(lengths)[-1])

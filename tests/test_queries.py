@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from strandline.plans import annotation, catalogue, events, filters, formats, inserts  # noqa: F401
+from strandline.plans import annotation, calls, catalogue, events, filters, formats, inserts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-MODULES = (events, filters, formats, inserts)
+MODULES = (calls, events, filters, formats, inserts)
 NAMES = [n for n in catalogue.QUERIES if any(getattr(m, n, None) is not None and getattr(m, n).__module__ == m.__name__ for m in MODULES)]
 
 
