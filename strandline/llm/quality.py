@@ -147,3 +147,40 @@ def keep_good(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _longest_sql(levels: int) -> str:
+    """Common table expressions up to ``longest`` (doc_id, n): classes of 2 ** k words by doubling, then the length's bits from the top."""
+    out = ["g0 AS MATERIALIZED (SELECT doc_id, i, hash(w[i]) AS h FROM d, unnest(range(1, len(w) + 1)) AS u(i))"]
+    for k in range(1, levels):
+        out.append(f"g{k} AS MATERIALIZED (SELECT a.doc_id, a.i, hash(a.h, b.h) AS h FROM g{k - 1} AS a JOIN g{k - 1} AS b ON b.doc_id = a.doc_id AND b.i = a.i + {1 << (k - 1)})")
+    out.append(f"c{levels} AS MATERIALIZED (SELECT doc_id, i, CAST(0 AS UBIGINT) AS h, 0 AS n FROM g0)")
+    for k in reversed(range(levels)):
+        out.append(f"t{k} AS MATERIALIZED (SELECT c.doc_id, c.i, hash(c.h, g.h) AS h, c.n + {1 << k} AS n FROM c{k + 1} AS c JOIN g{k} AS g ON g.doc_id = c.doc_id AND g.i = c.i + c.n)")
+        out.append(f"r{k} AS MATERIALIZED (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM t{k} GROUP BY doc_id, h HAVING count(*) > 1))")
+        out.append(f"c{k} AS MATERIALIZED (SELECT * FROM t{k} WHERE doc_id IN (SELECT doc_id FROM r{k}) UNION ALL SELECT * FROM c{k + 1} WHERE doc_id NOT IN (SELECT doc_id FROM r{k}))")
+    out.append("longest AS (SELECT doc_id, max(n) AS n FROM c0 GROUP BY doc_id)")
+    return ",\n".join(out)
+
+
+def _covered_sql(name: str, k: int) -> str:
+    """(doc_id, n): words in windows of k words that the text has twice or more."""
+    return f"""{name}_w AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + {k - 1}], ' ')) AS n FROM d, unnest(range(1, len(w) - {k - 2})) AS u(i)),
+{name} AS (SELECT doc_id, count(DISTINCT i + j.j) AS n FROM {name}_w, unnest(range(0, {k})) AS j(j) WHERE n > 1 GROUP BY doc_id)"""
+
+
+#: For texts of fewer than 2 ** 15 words.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x.x) AS n FROM d, unnest(string_split(t, chr(10))) AS x(x) WHERE regexp_matches(x.x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+{_covered_sql("three", 3)},
+{_covered_sql("five", LIMITS["min_repeat"])},
+{_longest_sql(15)},
+m AS (SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(l.n, 0) AS n_dup_lines, coalesce(three.n, 0) AS n_repeat_words, coalesce(five.n, 0) AS n_covered, CAST(coalesce(longest.n, 0) AS BIGINT) AS longest_repeat
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN three ON three.doc_id = d.doc_id LEFT JOIN five ON five.doc_id = d.doc_id LEFT JOIN longest ON longest.doc_id = d.doc_id),
+b AS (SELECT *, n_words < {LIMITS["min_words"]} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND n_covered <= {LIMITS["max_covered"]}::DOUBLE * n_words
+  AND (longest_repeat < {LIMITS["min_repeat"]} OR longest_repeat <= least({LIMITS["max_longest"]}, {LIMITS["max_longest_share"]}::DOUBLE * n_words)) AS kept
+FROM b
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, contamination, jaccard, lines, substring, suffix
+from . import chat, contamination, jaccard, lines, quality, substring, suffix
 from .bpe import op5_bpe_encode_decode
 from .chat import op8_chat_formatting
 from .contamination import op9_benchmark_decontamination
@@ -35,6 +35,7 @@ ORACLES: dict[str, str] = {
     "op1_line_dedup_pairs": lines.PAIRS_SQL,
     "op3_substring_dedup": substring.ORACLE_SQL,
     "op6_suffix_array_dedup": suffix.ORACLE_SQL,
+    "op7_quality_rules": quality.ORACLE_SQL,
     "op8_chat_formatting": chat.ORACLE_SQL,
     "op9_benchmark_decontamination": contamination.ORACLE_SQL,
     "op10_ngram_jaccard_join": jaccard.ORACLE_SQL,
