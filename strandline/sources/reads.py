@@ -12,8 +12,13 @@ FLAGS = {"paired": 1, "proper": 2, "unmapped": 4, "mate_unmapped": 8, "reverse":
 
 def read_sam(spark: SparkSession, path: str, sample: str | None = None) -> DataFrame:
     """Alignments of a SAM text: pos is 0-based, end exclusive; a column for each flag; sa is the SA tag."""
+    return from_lines(spark.read.text(path), sample)
+
+
+def from_lines(lines: DataFrame, sample: str | None = None) -> DataFrame:
+    """The same from SAM lines in the column ``value``."""
     f = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.col("value").startswith("@") & (F.size(f) >= 11))
+    rows = lines.where(~F.col("value").startswith("@") & (F.size(f) >= 11))
     flag = f[1].cast("int")
     tag = F.regexp_extract("value", r"\tSA:Z:([^\t]*)", 1)
     out = rows.select(
@@ -34,6 +39,13 @@ def read_sam(spark: SparkSession, path: str, sample: str | None = None) -> DataF
     return out.withColumn("end", F.col("pos") + S.reference_length("cigar").cast("int"))
 
 
+def read_size(reads: DataFrame, most: int = 500) -> int:
+    """The length of most of some reads (``most`` of them; the longest of equals): a property of a library, not of a read."""
+    n = reads.where("seq IS NOT NULL").select(F.length("seq").alias("n")).limit(most)
+    found = n.groupBy("n").count().orderBy(F.desc("count"), F.desc("n")).first()
+    return found.n if found else 0
+
+
 def usable(reads: DataFrame, least_mapq: int = 10, duplicates: bool = False, supplementary: bool = True) -> DataFrame:
     """Mapped primary alignments with bases and quality enough."""
     keep = ~F.col("unmapped") & ~F.col("secondary") & F.col("seq").isNotNull() & (F.col("mapq") >= least_mapq)

@@ -45,6 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def newest(spark: SparkSession, folder: str) -> str | None:
+    """The path in a folder that was changed last, the greatest name of equals; null if it is empty."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return max(((x.getModificationTime(), x.getPath().toString()) for x in found), default=(0, None))[1]
+
+
 def remove_tables() -> int:
     """Delete the tables that ``cut`` has written so far; call it when results are written. Runs at exit, too."""
     removed = 0
