@@ -50,3 +50,17 @@ def strand_runs(chain: str = "chain") -> Column:
     """FOR and REV of runs of equal strands, in chain order."""
     kept = f"filter(transform(sequence(0, size({chain}) - 1), i -> CASE WHEN i > 0 AND {chain}[i].strand = {chain}[i - 1].strand THEN '' WHEN {chain}[i].strand = '+' THEN 'FOR' ELSE 'REV' END), x -> x <> '')"
     return F.array_join(F.expr(kept), "+")
+
+
+def conformation_extended(chain: str = "chain", t_len: str = "t_len", least_truncation: int = 10) -> Column:
+    """The conformation with lengths and places: hits as (query length,begin-end), junctions with what they skip or repeat."""
+    hit = f"transform({chain}, h -> concat(CASE WHEN h.strand = '+' THEN 'FOR' ELSE 'REV' END, '(', CAST(h.end - h.beg AS STRING), ',', CAST(h.t_beg AS STRING), '-', CAST(h.t_end AS STRING), ')'))"
+    back, gap = f"{chain}[i - 1].t_beg - {chain}[i - 2].t_beg", f"{chain}[i - 1].t_beg - {chain}[i - 2].t_end"
+    step = f"transform(sequence(1, size({chain})), i -> CASE WHEN i = 1 THEN '' WHEN {back} < 0 THEN concat('JUMP(', CAST({back} AS STRING), ')+') WHEN {gap} = 0 THEN 'BLUNT(NA)+' WHEN {gap} > 0 THEN concat('DEL(', CAST({gap} AS STRING), ')+') ELSE concat('DUP(', CAST(-({gap}) AS STRING), ')+') END)"
+    body = F.array_join(F.zip_with(F.expr(step), F.expr(hit), lambda a, b: F.concat(a, b)), "+")
+    first, last = F.element_at(chain, 1), F.element_at(chain, -1)
+    text = lambda x: x.cast("string")
+    left = last[t_len] - last["t_end"]
+    head = F.when(first["t_beg"] > least_truncation, F.concat(F.lit("TRUN("), text(first["t_beg"]), F.lit(",0-"), text(first["t_beg"]), F.lit(")+"))).otherwise("")
+    tail = F.when(left > least_truncation, F.concat(F.lit("+TRUN("), text(left), F.lit(","), text(last["t_end"]), F.lit("-"), text(last[t_len]), F.lit(")"))).otherwise("")
+    return F.concat(head, body, tail)

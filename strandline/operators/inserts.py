@@ -132,3 +132,16 @@ def lenient(cov: Column, families: Column, least: float, unknown: list[str]) ->
     """Type of an insert by its repeats' chain alone: unknown if too little is covered or its only family is not an element."""
     one = F.size(families) == 1
     return F.when(cov < least, "UNK").when(one & families[0].isin(unknown), "UNK").when(one, "solo").otherwise("chimera")
+
+
+def resolved_percent(itype: Column, ins_len: Column, element: Column, tails: Column, others: list[Column], transduced: list[Column]) -> Column:
+    """Share of an insert that is explained: its element, tails (comma-separated lengths) and other parts; of a partnered one also
+    what it transduced; null lengths count nothing, an unknown type explains nothing."""
+    total = lambda c: F.coalesce(F.aggregate(F.split(c, ","), F.lit(0).cast("long"), lambda a, x: a + x.cast("long")), F.lit(0).cast("long"))
+    n = F.coalesce(element, F.lit(0)) + total(tails)
+    for x in others:
+        n = n + F.coalesce(x, F.lit(0))
+    more = F.lit(0).cast("long")
+    for x in transduced:
+        more = more + total(x)
+    return F.when(itype == "UNK", 0.0).otherwise((n + F.when(itype == "partnered", more).otherwise(0)) / ins_len * 100)

@@ -46,3 +46,20 @@ def median_member(events: DataFrame, by: list[str], size: str, ties: list[str])
     w = Window.partitionBy(*by)
     rank = F.row_number().over(w.orderBy(size, *ties))
     return events.withColumn("rank__", rank).withColumn("n__", F.count(F.lit(1)).over(w)).where(F.col("rank__") == F.ceil((F.col("n__") - 1) / 2) + 1).drop("rank__", "n__")
+
+
+def breakpoint(events: DataFrame, by: list[str], pos: str) -> DataFrame:
+    """by, position, n: the best supported position; of several the nearest to the median of all, then the smallest."""
+    middle = events.groupBy(*by).agg(F.floor(F.median(pos)).alias("middle"))
+    counts = events.groupBy(*by, F.col(pos).alias("position")).agg(F.count(F.lit(1)).alias("n")).join(middle, by)
+    best = counts.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("neg"), F.abs(F.col("position") - F.col("middle")).alias("apart"), "position")).alias("x"))
+    return best.select(*by, F.col("x.position").alias("position"), (-F.col("x.neg")).alias("n"))
+
+
+def supported_pairs(pairs: DataFrame, reads: DataFrame, key: str, least: int, least_percent: float) -> DataFrame:
+    """Pairs of clusters (a, b, read_name) that share enough reads, and enough of both clusters' reads: a, b, n_reads."""
+    total = reads.groupBy(key).agg(F.count_distinct("read_name").alias("total"))
+    n = pairs.groupBy("a", "b").agg(F.count_distinct("read_name").alias("n_reads")).where(F.col("n_reads") >= least)
+    for side in ("a", "b"):
+        n = n.join(total.select(F.col(key).alias(side), F.col("total").alias(f"of_{side}")), side)
+    return n.where((F.col("n_reads") * 100 >= least_percent * F.col("of_a")) & (F.col("n_reads") * 100 >= least_percent * F.col("of_b"))).select("a", "b", "n_reads")

@@ -11,7 +11,7 @@ from ..operators import inserts as N
 from ..operators import interval_join as J
 from ..operators import statistics as P
 from ..operators import support as U
-from .catalogue import _TAIL, HIT, query
+from .catalogue import _TAIL, CHAIN_SQL, HIT, query
 from .events import _PAIR_GAPS
 from .filters import _ANNOTATED, _CASES, annotated
 from .inserts import _FEATURE, _feature, chains_of
@@ -109,3 +109,53 @@ def adjacent_duplications(svs):
     from ..operators import cluster as L
 
     return L.adjacent(svs, ["cell_id", "chrom"], "del", "dup", 500_000)
+
+
+@query(
+    CHAIN_SQL
+    + """, s AS (SELECT *, CASE WHEN strand = '+' THEN 'FOR' ELSE 'REV' END || '(' || (q_end - q_beg) || ',' || t_beg || '-' || t_end || ')' AS part, t_beg - lag(t_beg) OVER w AS back, t_beg - lag(t_end) OVER w AS gap FROM m WINDOW w AS (PARTITION BY q_name ORDER BY i))
+SELECT q_name, (CASE WHEN min(t_beg) FILTER (WHERE i = 1) > 10 THEN 'TRUN(' || min(t_beg) FILTER (WHERE i = 1) || ',0-' || min(t_beg) FILTER (WHERE i = 1) || ')+' ELSE '' END)
+  || string_agg((CASE WHEN i = 1 THEN '' WHEN back < 0 THEN 'JUMP(' || back || ')+' WHEN gap = 0 THEN 'BLUNT(NA)+' WHEN gap > 0 THEN 'DEL(' || gap || ')+' ELSE 'DUP(' || -gap || ')+' END) || part, '+' ORDER BY i)
+  || (CASE WHEN min(t_len - t_end) FILTER (WHERE i = n) > 10 THEN '+TRUN(' || min(t_len - t_end) FILTER (WHERE i = n) || ',' || min(t_end) FILTER (WHERE i = n) || '-' || min(t_len) FILTER (WHERE i = n) || ')' ELSE '' END) AS conformation FROM s GROUP BY q_name""",
+    "hits",
+)
+def conformation_extended(hits):
+    """conformations with lengths and places."""
+    return K.chain(hits, "q_name", "q_beg", "q_end", "hit_ord", HIT, 10, 25).select("q_name", K.conformation_extended().alias("conformation"))
+
+
+@query(
+    _PAIR_GAPS.replace("<= 25", "<= 200")
+    + ", n AS (SELECT ref, cluster, end_pos AS position, count(*) AS n FROM c GROUP BY ALL), m AS (SELECT ref, cluster, floor(median(end_pos)) AS middle FROM c GROUP BY ALL) SELECT n.ref, CAST(n.cluster AS BIGINT) AS cluster, position, n FROM n JOIN m ON m.ref = n.ref AND m.cluster = n.cluster QUALIFY row_number() OVER (PARTITION BY n.ref, n.cluster ORDER BY n DESC, abs(position - middle), position) = 1",
+    "pairs",
+)
+def breakpoints(pairs):
+    """The breakpoint of a cluster of clippings, ties by the median."""
+    from ..operators import cluster as L
+
+    return U.breakpoint(L.gap_clusters(pairs, ["ref"], "beg", 200, ["read_ord"]), ["ref", "cluster"], "end_pos")
+
+
+@query(
+    _PAIR_GAPS.replace("<= 25", "<= 200")
+    + ", k AS (SELECT DISTINCT ref || ':' || cluster AS k, read_name FROM c), t AS (SELECT k, count(*) AS total FROM k GROUP BY k), j AS (SELECT a.k AS a, b.k AS b, count(*) AS n_reads FROM k a JOIN k b ON a.read_name = b.read_name AND a.k < b.k GROUP BY ALL HAVING count(*) >= 2) SELECT a, b, n_reads FROM j JOIN t x ON x.k = a JOIN t y ON y.k = b WHERE n_reads * 100 >= 60 * x.total AND n_reads * 100 >= 60 * y.total",
+    "pairs",
+)
+def supported_junctions(pairs):
+    """Clusters that share enough reads, as a number and of both."""
+    from ..operators import cluster as L
+
+    k = L.gap_clusters(pairs, ["ref"], "beg", 200, ["read_ord"]).select(F.concat_ws(":", "ref", F.col("cluster").cast("string")).alias("k"), "read_name").distinct()
+    both = k.withColumnRenamed("k", "a").join(k.withColumnRenamed("k", "b"), "read_name").where("a < b")
+    return U.supported_pairs(both, k, "k", 2, 60)
+
+
+@query(
+    f"WITH a AS ({_ANNOTATED}) SELECT meta_id, round(((meta_id % 300) + 32 + CASE WHEN meta_id % 2 = 0 THEN meta_id % 17 ELSE 0 END + CASE WHEN itype = 'partnered' THEN coalesce(list_sum(list_transform(string_split(td_len, ','), lambda x: CAST(x AS BIGINT))), 0) + coalesce(CAST(td5_len AS BIGINT), 0) ELSE 0 END) / 700 * 100, 6) AS percent FROM a",
+    "metas",
+)
+def resolved_percents(metas):
+    """How much of an insert its parts explain."""
+    x = annotated(metas)
+    m = F.col("meta_id")
+    return x.select("meta_id", F.round(N.resolved_percent(F.col("itype"), F.lit(700), m % 300, F.col("tail_len"), [F.when(m % 2 == 0, m % 17)], [F.col("td_len"), F.col("td5_len")]), 6).alias("percent"))
