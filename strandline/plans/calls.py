@@ -125,29 +125,29 @@ def conformation_extended(hits):
 
 
 @query(
-    _PAIR_GAPS.replace("<= 25", "<= 200")
+    _PAIR_GAPS
     + ", n AS (SELECT ref, cluster, end_pos AS position, count(*) AS n FROM c GROUP BY ALL), m AS (SELECT ref, cluster, floor(median(end_pos)) AS middle FROM c GROUP BY ALL) SELECT n.ref, CAST(n.cluster AS BIGINT) AS cluster, position, n FROM n JOIN m ON m.ref = n.ref AND m.cluster = n.cluster QUALIFY row_number() OVER (PARTITION BY n.ref, n.cluster ORDER BY n DESC, abs(position - middle), position) = 1",
     "pairs",
 )
 def breakpoints(pairs):
     """The breakpoint of a cluster of clippings, ties by the median."""
-    from ..operators import cluster as L
+    from .catalogue import clustered
 
-    return U.breakpoint(L.gap_clusters(pairs, ["ref"], "beg", 200, ["read_ord"]), ["ref", "cluster"], "end_pos")
+    return U.breakpoint(clustered(pairs), ["ref", "cluster"], "end_pos")
 
 
 @query(
-    _PAIR_GAPS.replace("<= 25", "<= 200")
-    + ", k AS (SELECT DISTINCT ref || ':' || cluster AS k, read_name FROM c), t AS (SELECT k, count(*) AS total FROM k GROUP BY k), j AS (SELECT a.k AS a, b.k AS b, count(*) AS n_reads FROM k a JOIN k b ON a.read_name = b.read_name AND a.k < b.k GROUP BY ALL HAVING count(*) >= 2) SELECT a, b, n_reads FROM j JOIN t x ON x.k = a JOIN t y ON y.k = b WHERE n_reads * 100 >= 60 * x.total AND n_reads * 100 >= 60 * y.total",
+    _PAIR_GAPS
+    + ", k AS (SELECT DISTINCT ref || ':' || cluster AS k, read_name FROM c), t AS (SELECT k, count(*) AS total FROM k GROUP BY k), j AS (SELECT a.k AS a, b.k AS b, count(*) AS n_reads FROM k a JOIN k b ON a.read_name = b.read_name AND a.k < b.k GROUP BY ALL HAVING count(*) >= 2) SELECT a, b, n_reads FROM j JOIN t x ON x.k = a JOIN t y ON y.k = b WHERE n_reads * 100 >= 30 * x.total AND n_reads * 100 >= 30 * y.total",
     "pairs",
 )
 def supported_junctions(pairs):
     """Clusters that share enough reads, as a number and of both."""
-    from ..operators import cluster as L
+    from .catalogue import clustered
 
-    k = L.gap_clusters(pairs, ["ref"], "beg", 200, ["read_ord"]).select(F.concat_ws(":", "ref", F.col("cluster").cast("string")).alias("k"), "read_name").distinct()
+    k = clustered(pairs).select(F.concat_ws(":", "ref", F.col("cluster").cast("string")).alias("k"), "read_name").distinct()
     both = k.withColumnRenamed("k", "a").join(k.withColumnRenamed("k", "b"), "read_name").where("a < b")
-    return U.supported_pairs(both, k, "k", 2, 60)
+    return U.supported_pairs(both, k, "k", 2, 30)
 
 
 @query(
