@@ -32,3 +32,9 @@ def assign(scores: DataFrame, least_log: float = 0.08) -> DataFrame:
     )
     ok = (F.col("n_best") == 1) & (F.col("second") > 0) & (F.round(F.log2(F.try_divide("best", "second")), 2) >= least_log)
     return out.select("target_id", F.when(ok, F.col("ref_id")).alias("assigned"), "best", "second")
+
+
+def informative(haplotypes: DataFrame) -> DataFrame:
+    """Without the positions at which all samples agree."""
+    told = haplotypes.groupBy("position").agg(F.min("status").alias("a"), F.max("status").alias("b")).where("a <> b").select("position")
+    return haplotypes.join(told, "position", "left_semi")

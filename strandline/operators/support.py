@@ -63,3 +63,22 @@ def supported_pairs(pairs: DataFrame, reads: DataFrame, key: str, least: int, le
     for side in ("a", "b"):
         n = n.join(total.select(F.col(key).alias(side), F.col("total").alias(f"of_{side}")), side)
     return n.where((F.col("n_reads") * 100 >= least_percent * F.col("of_a")) & (F.col("n_reads") * 100 >= least_percent * F.col("of_b"))).select("a", "b", "n_reads")
+
+
+#: 0.975 quantiles of Student's t for 1 to 9 degrees of freedom.
+T_975 = [12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157]
+
+
+def t_quantile(df: str) -> str:
+    """SQL of the 0.975 quantile of Student's t: the fixed values, and from 10 degrees of freedom on the normal one corrected by powers of 1 / df."""
+    z = 1.959963985
+    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
+    series = " + ".join([f"{z}e0", *[f"{x:.9f}e0 / power({df}, {k})" for k, x in enumerate(terms, 1)]])
+    return "CASE " + " ".join(f"WHEN {df} = {k} THEN {x}e0" for k, x in enumerate(T_975, 1)) + f" ELSE {series} END"
+
+
+def mean_position(events: DataFrame, by: list[str], pos: str) -> DataFrame:
+    """by, position (the mean, cut off), and the 95 % confidence interval's begin and end relative to it."""
+    s = events.groupBy(*by).agg(F.floor(F.avg(pos)).alias("position"), F.count(F.lit(1)).alias("n"), F.coalesce(F.stddev_samp(pos), F.lit(0.0)).alias("sd"))
+    wide = F.when(F.col("n") > 1, F.floor(F.expr(t_quantile("(n - 1)")) * F.col("sd") / F.sqrt("n"))).otherwise(0).cast("long")
+    return s.select(*by, "position", (-wide).alias("ci_beg"), wide.alias("ci_end"))

@@ -159,3 +159,22 @@ def resolved_percents(metas):
     x = annotated(metas)
     m = F.col("meta_id")
     return x.select("meta_id", F.round(N.resolved_percent(F.col("itype"), F.lit(700), m % 300, F.col("tail_len"), [F.when(m % 2 == 0, m % 17)], [F.col("td_len"), F.col("td5_len")]), 6).alias("percent"))
+
+
+@query("WITH h AS (SELECT sample_id, position, status + sample_id % (position % 3 + 1) AS status FROM haplotypes) SELECT * FROM h WHERE position IN (SELECT position FROM h GROUP BY position HAVING count(DISTINCT status) > 1)", "haplotypes")
+def informative_positions(haplotypes):
+    """Positions at which samples differ."""
+    from ..operators import haplotype as H
+
+    return H.informative(haplotypes.withColumn("status", F.expr("status + sample_id % (position % 3 + 1)"))).select("sample_id", "position", "status")
+
+
+@query(
+    _PAIR_GAPS + f", s AS (SELECT ref, CAST(cluster AS BIGINT) AS cluster, CAST(floor(avg(beg)) AS BIGINT) AS position, count(*) AS n, coalesce(stddev_samp(beg), 0) AS sd FROM c GROUP BY ref, cluster), w AS (SELECT *, CAST(CASE WHEN n > 1 THEN floor(({U.t_quantile('(n - 1)')}) * sd / sqrt(n)) ELSE 0 END AS BIGINT) AS wide FROM s) SELECT ref, cluster, position, -wide AS ci_beg, wide AS ci_end FROM w",
+    "pairs",
+)
+def mean_positions(pairs):
+    """Mean positions with their confidence intervals."""
+    from .catalogue import clustered
+
+    return U.mean_position(clustered(pairs), ["ref", "cluster"], "beg")
