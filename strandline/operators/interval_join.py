@@ -41,7 +41,11 @@ def _binned(df: DataFrame, beg: str, end: str, width: int, levels: int, buffer:
     own = F.lit(levels)
     for k in reversed(range(levels)):
         own = F.when(high - low < width * FACTOR ** (k + 1), F.lit(k)).otherwise(own)
-    every = [F.when(F.col("own__") <= k, F.transform(bins(k), lambda x, k=k: F.struct(F.lit(k).alias("level"), x.alias("bin")))).otherwise(F.array().cast("array<struct<level:int,bin:bigint>>")) for k in range(levels + 1)]
+
+    def at_level(k: int):
+        return F.transform(bins(k), lambda x: F.struct(F.lit(k).alias("level"), x.alias("bin")))
+
+    every = [F.when(F.col("own__") <= k, at_level(k)).otherwise(F.array().cast("array<struct<level:int,bin:bigint>>")) for k in range(levels + 1)]
     rows = df.withColumn("own__", own).withColumn("at__", F.explode(F.concat(*every)))
     return rows.withColumn("level__", F.col("at__.level")).withColumn("bin__", F.col("at__.bin")).drop("at__")
 
