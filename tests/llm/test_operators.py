@@ -224,10 +224,10 @@ def test_scores_against_brute_force(table, texts, order):
 
 
 def test_sums_as_a_tree(table, texts):
-    df = table(generated(3, 120))
+    df = table(generated(3, 40))
     names = ("doc_id", "n_tokens", "n_known", "train_tokens", "held_out", "base_score", "score")
     want = rows(scoring.score_documents(df), *names)
-    got = rows(scoring.score_documents(df, fan=2, block_bytes=2000), *names)
+    got = rows(scoring.score_documents(df, fan=2, block_bytes=3000), *names)
     assert all(a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-6) for a, b in zip(got, want)) and len(got) == len(want)
 
 
