@@ -94,8 +94,11 @@ def psl_targets(hits):
 def trf_read(bed):
     """Tandem-repeat calls read from blocks by sequence."""
     call = F.concat_ws(" ", (F.col("beg") + 1).cast("string"), (F.col("end_pos") + 1).cast("string"), F.lit("3 2.5 3 99 0 50 20 30 30 20 1.9 ACG ACGACG . ."))
-    blocks = bed.withColumn("call", call).groupBy("ref").agg(F.concat(F.lit("@"), F.col("ref"), F.lit("\n"), F.array_join(F.array_sort(F.collect_list("call")), "\n")).alias("value"))
-    return T.read_trf(bed.sparkSession, written(blocks)).select("seq_id", "beg", "end", "motif_seq", "tr_len")
+    # blocks of a sequence in several parts, each under its own name line: no row or task holds a whole sequence
+    parts = bed.select("ref", F.pmod(F.xxhash64("bed_id"), F.lit(64)).alias("part"), F.lit(1).alias("o"), call.alias("value"))
+    heads = parts.select("ref", "part", F.lit(0).alias("o"), F.concat(F.lit("@"), F.col("ref")).alias("value")).distinct()
+    lines = heads.unionByName(parts).repartition("ref", "part").sortWithinPartitions("ref", "part", "o")
+    return T.read_trf(bed.sparkSession, written(lines)).select("seq_id", "beg", "end", "motif_seq", "tr_len")
 
 
 @query("SELECT substr(chrom, 4) AS ref, CAST(beg AS INT) AS beg, CAST(cell_id AS VARCHAR) AS cell, sv_type AS type1, haplo AS haplo1, af FROM sv_cells", "sv_cells")

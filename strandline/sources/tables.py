@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The columns of the formats, in their order.
 PAF = "q_name string, q_len int, q_beg int, q_end int, strand string, t_name string, t_len int, t_beg int, t_end int, nb_matches int, block_len int, mapq int"
@@ -146,12 +147,32 @@ def psl_coverage(hits: DataFrame) -> DataFrame:
 
 
 def read_trf(spark: SparkSession, path: str) -> DataFrame:
-    """Calls of a tandem repeat finder by sequence; beg and end are stored less by 1, tr_len is end - beg."""
-    blocks = spark.read.option("lineSep", "@").text(path).where(F.trim("value") != "")
-    calls = blocks.select(F.regexp_extract("value", r"^(\S*)", 1).alias("seq_id"), F.posexplode(F.slice(F.split("value", "\n"), 2, 1 << 30)).alias("ord", "call"))
-    f = F.split(F.trim("call"), r"\s+")
-    rows = calls.where(F.size(f) == 17).select("seq_id", "ord", *_typed(f, TRF))
-    return rows.withColumns({"beg": F.col("beg") - 1, "end": F.col("end") - 1}).withColumn("tr_len", F.col("end") - F.col("beg"))
+    """Calls of a tandem repeat finder by sequence; beg and end are stored less by 1, tr_len is end - beg.
+
+    A line that begins with '@' names the sequence of the calls below it. Lines are read one by one, so a
+    sequence with many calls is spread over tasks; a split of a file takes over the name of the splits before it.
+    """
+    at = ["file__", "block__"]
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file__"), F.col("_metadata.file_block_start").alias("block__"), F.monotonically_increasing_id().alias("id__"), "value")
+    # a name and the number of its line in the split; the lines of a split are in order by id
+    lines = lines.withColumn("name__", F.when(F.col("value").startswith("@"), F.regexp_extract("value", r"^@(\S*)", 1)))
+    w = Window.partitionBy(*at).orderBy("id__").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("line__", F.row_number().over(Window.partitionBy(*at).orderBy("id__")))
+    rows = rows.withColumn("head__", F.last(F.when(F.col("name__").isNotNull(), F.struct(F.col("name__").alias("name"), F.col("line__").alias("line"))), ignorenulls=True).over(w))
+    blocks = lines.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.max_by("name__", F.when(F.col("name__").isNotNull(), F.col("id__"))).alias("name"), F.max(F.when(F.col("name__").isNotNull(), F.col("id__"))).alias("last_id"), F.max("id__").alias("end_id"))
+    over = Window.partitionBy("file__").orderBy("block__")
+    upto, before = over.rowsBetween(Window.unboundedPreceding, 0), over.rowsBetween(Window.unboundedPreceding, -1)
+    # lines of the file up to the end of a split; the name that its last lines have, and where it stands
+    blocks = blocks.withColumn("sum__", F.sum("n").over(upto))
+    blocks = blocks.withColumn("open__", F.when(F.col("name").isNotNull(), F.struct("name", (F.col("sum__") - (F.col("end_id") - F.col("last_id"))).alias("line"))))
+    carried = blocks.select(*at, (F.col("sum__") - F.col("n")).alias("offset__"), F.last("open__", ignorenulls=True).over(before).alias("carried__"))
+    rows = rows.where(F.col("name__").isNull()).join(carried, at)
+    seq = F.coalesce("head__.name", "carried__.name")
+    line = F.coalesce(F.col("offset__") + F.col("head__.line"), F.col("carried__.line"))
+    calls = rows.select(seq.alias("seq_id"), (F.col("offset__") + F.col("line__") - line - 1).cast("int").alias("ord"), F.split(F.trim("value"), r"\s+").alias("f__"))
+    calls = calls.where(F.col("seq_id").isNotNull() & (F.size("f__") == 17))
+    typed = calls.select("seq_id", "ord", *_typed(F.col("f__"), TRF))
+    return typed.withColumns({"beg": F.col("beg") - 1, "end": F.col("end") - 1}).withColumn("tr_len", F.col("end") - F.col("beg"))
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:

@@ -79,3 +79,17 @@ def test_reads(spark, put):
     assert [(x.ref, x.pos, x.end, x.q_beg, x.q_end) for x in s] == [("chr2", 50, 60, 9, 19)]
     assert {x.seq_id: (x.seq, x.qual) for x in reads.fastq(r).collect()}["r2"] == ("AAAAACGGTT", "JIHGFEDCBA")
     assert [(x.beg, x.end) for x in reads.blocks(r.where("read_name = 'r2'")).collect()] == [(10, 15), (25, 30)]
+
+
+def test_repeats_across_splits(spark, put):
+    call = "{} 30 2 10.0 2 90 5 40 50 50 0 0 1.0 AC ACACACACACACACACACAC G T"
+    text = "".join(f"@s{k} x@y\n" + "".join(call.format(i + 1) + "\n" for i in range(40 * k)) for k in range(8))
+    at = put("no name\n" + text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 3000)
+    try:
+        assert spark.read.text(at).rdd.getNumPartitions() > 8
+        rows = tables.read_trf(spark, at)
+        got = sorted((r.seq_id, r.beg, r.ord) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((f"s{k}", i, i) for k in range(8) for i in range(40 * k))
