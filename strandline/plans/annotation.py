@@ -97,7 +97,8 @@ SELECT cell_id, chrom, a AS h1, b AS h2, round(sum(p) FILTER (WHERE p <= here *
 def haplotype_bias(svs):
     """Fisher's exact test of the haplotypes' counts against half and half."""
     n = svs.groupBy("cell_id", "chrom").agg(F.count_if(F.col("haplo") == "h1").alias("h1"), F.count_if(F.col("haplo") == "h2").alias("h2"))
-    n = n.withColumn("half", F.expr("(h1 + h2) div 2")).withColumn("rest", F.expr("h1 + h2 - half"))
+    # few rows, but each costs its counts: kept apart, as small rows would be put into one task
+    n = n.repartition(80, "cell_id", "chrom").withColumn("half", F.expr("(h1 + h2) div 2")).withColumn("rest", F.expr("h1 + h2 - half"))
     return n.select("cell_id", "chrom", "h1", "h2", F.round(P.fisher_exact("h1", "h2", "half", "rest"), 6).alias("p"))
 
 

@@ -61,6 +61,21 @@ def test_fisher(spark, a, b, c, d):
     assert got == pytest.approx(want)
 
 
+def test_fisher_on_large_counts(spark):
+    import time
+
+    table = a, b, c, d = 40_000, 39_500, 39_750, 39_750
+    rows, began = spark.createDataFrame([table], "a long, b long, c long, d long"), time.time()
+    got = rows.select(P.fisher_exact("a", "b", "c", "d")).first()[0]
+    weight = lambda x: -sum(math.lgamma(n + 1) for n in (a + b - x, a + c - x, d - a + x, x))
+    logs = [weight(x) for x in range(max(0, a - d), min(a + b, a + c) + 1)]
+    top = max(logs)
+    terms = [math.exp(v - top) for v in logs]
+    want = sum(t for t in terms if t <= terms[a - max(0, a - d)] * (1 + 1e-7)) / sum(terms)
+    assert math.isclose(got, want, rel_tol=1e-6)
+    assert time.time() - began < 60  # a sum over 1 to n for each term took hours
+
+
 def test_placements(spark):
     svs = spark.createDataFrame([(i, "c", i * 3, i * 3 + 2) for i in range(40)], "sv_id long, chrom string, beg long, end_pos long")
     s = P.shuffled(svs, F.lit(10_000), 1, 3)
@@ -110,3 +125,21 @@ def test_stream(spark, tmp_path):
     q = depth.depth_by_time(stream, "ts", "10 minutes", "1 minute", 1000).writeStream.format("memory").queryName("depth").option("checkpointLocation", str(tmp_path / "at")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.ref, r.bin, r.total, r.watson, r.crick) for r in spark.table("depth").collect()] == [("c1", 0, 2, 1, 1)]
+
+
+def test_assign_to_others_by_profiles(spark):
+    from strandline.operators import haplotype as H
+
+    random.seed(5)
+    few = [[(p, random.randrange(3)) for p in range(5) if random.random() < 0.8] for _ in range(9)]
+    for copies in (9, 30):  # some profiles once, most several times
+        rows = [(i, p, v) for i in range(copies) for p, v in few[i % 9 if i < 9 else i % 4]]
+        h = spark.createDataFrame(rows, "sample_id long, position int, status int")
+        want = H.assign(H.compare(h, H.diagnostic_scores(h)).where("target_id <> ref_id"))
+        got = H.assign_to_others(h)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # 2000 samples of one profile: 4 million pairs before, one now
+    same = spark.range(2000).selectExpr("id AS sample_id", "explode(array(0, 1)) AS position", "0 AS status").unionByName(spark.createDataFrame([(-1, 0, 1)], "sample_id long, position int, status int"))
+    got = H.assign_to_others(same)
+    assert got.count() == 2001
+    assert H._profiles(same).select("profile").distinct().count() == 2
