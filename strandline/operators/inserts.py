@@ -113,6 +113,7 @@ def repeat_share(hits: DataFrame, repeats: DataFrame, wanted: DataFrame, key: st
 
 def pseudogene_share(hits: DataFrame, exons: DataFrame, key: str, order: str) -> DataFrame:
     """key, n_exons, percent and genes: of each hit the exon that it shares most with, summed over an insert."""
+    hits = hits.select(key, order, "t_name", "t_beg", "t_end", "q_len")
     best = J.best_overlap(hits, exons, [key, order], ("t_name", "t_beg", "t_end"), ("x_ref", "x_beg", "x_end"), ties=["x_beg", "gene"])
     n = I.overlap_length("t_beg", "t_end", "x_beg", "x_end")
     return best.groupBy(key).agg(F.count(F.lit(1)).alias("n_exons"), F.least(F.sum(n * 100 / F.col("q_len")), F.lit(100.0)).alias("percent"), F.array_sort(F.collect_set("gene")).alias("genes"))

@@ -53,6 +53,43 @@ def test_long_intervals_use_levels(spark):
     assert len(got) == len(want) and {tuple(r[c] for c in ("beg", "e", "beg_b", "e_b")) for r in got} == want
 
 
+@pytest.mark.parametrize("longest", [30, 9000])
+def test_best_overlap_without_pairs(spark, longest):
+    import random
+
+    from strandline.operators import interval_join as J
+
+    random.seed(longest)
+    some = lambda n, most: [(random.choice("xy"), b := random.randrange(300), b + random.choice([0, 3, random.randrange(-2, 30), random.randrange(most)]), i) for i in range(n)]
+    left, right = some(300, longest), random.sample(some(250, longest), 250)
+    a = spark.createDataFrame(left, "ref string, beg long, e long, i long")
+    b = spark.createDataFrame(right, "ref_b string, beg_b long, e_b long, j long")
+    sides = ("ref", "beg", "e"), ("ref_b", "beg_b", "e_b")
+    want, none = {}, set()
+    for ref, s, e, i in left:
+        met = [(-(min(e, y) - max(s, x)), x, j) for r, x, y, j in right if r == ref and s <= e and x <= y and x <= e and s <= y]
+        if met:
+            want[i] = min(met)
+        if not met or -min(met)[0] / (e - s + 1) * 100 < 40:
+            none.add(i)
+    best = J.best_overlap(a, b, ["i"], *sides, ties=["beg_b", "j"])
+    got = best.collect()
+    assert len(got) == len(want) and {r.i: (-(min(r.e, r.e_b) - max(r.beg, r.beg_b)), r.beg_b, r.j) for r in got} == want
+    assert {r.i for r in J.anti_overlap(a, b, ["i"], *sides, 40).collect()} == none
+    old = J.most_shared
+    try:
+        J.most_shared = lambda *x, **y: old(*x, **{**y, "share": 20})
+        assert {r.i for r in J.best_overlap(a, b, ["i"], *sides, ties=["beg_b", "j"]).collect()} == set(want)
+    finally:
+        J.most_shared = old
+
+
+def test_totals_and_flags_without_pairs(spark):
+    for name in ("interval_join", "interval_top1", "interval_anti_join", "subfamily_filter"):
+        plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
+        assert "collect_list" not in plan.lower() if name == "subfamily_filter" else "bin_b__" not in plan
+
+
 def test_scans_across_tiles(spark):
     from strandline.operators import cluster as L
 
