@@ -99,6 +99,13 @@ def not_on_subfamily(repeats: Column, family: str = "L1", subtype: str = "L1PA",
     return ~(has & F.exists(repeats, lambda r: r["subfamily"].contains(subtype) & (r["distance"] <= least)))
 
 
+def off_subfamily(near: DataFrame, key: str, family: str = "L1", subtype: str = "L1PA", least: int = 150) -> DataFrame:
+    """key and passes, as ``not_on_subfamily``, from a row a repeat (family, subfamily, distance): two flags a call instead of lists of repeats."""
+    has = F.coalesce(F.bool_or(F.col("family") == family), F.lit(False))
+    young = F.coalesce(F.bool_or(F.col("subfamily").contains(subtype) & (F.col("distance") <= least)), F.lit(False))
+    return near.groupBy(key).agg((~(has & young)).alias("passes"))
+
+
 def mate_regions(events: DataFrame, by: list[str]) -> DataFrame:
     """by, reads (distinct), mate_ref, and the interval of the mates' begins."""
     return events.groupBy(*by, "mate_ref").agg(F.count_distinct("read_name").alias("reads"), F.min("mate_beg").alias("mates_beg"), F.max("mate_beg").alias("mates_end"))

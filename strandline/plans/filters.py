@@ -60,8 +60,8 @@ def subfamily_filter(variants, bed):
     """Calls next to young elements of the family."""
     from .catalogue import repeats_within_buffer
 
-    near = repeats_within_buffer(variants, bed).select("id", F.struct(F.expr(_FAMILY).alias("family"), F.expr(_SUB.replace("VARCHAR", "STRING")).alias("subfamily"), "distance").alias("r"))
-    return near.groupBy("id").agg(F.collect_list("r").alias("r")).select("id", V.not_on_subfamily(F.col("r")).alias("passes"))
+    near = repeats_within_buffer(variants, bed).select("id", F.expr(_FAMILY).alias("family"), F.expr(_SUB.replace("VARCHAR", "STRING")).alias("subfamily"), "distance")
+    return V.off_subfamily(near, "id")
 
 
 _TO_REF = "CASE mate_ref WHEN 'm0' THEN 'click' WHEN 'm1' THEN 'view' WHEN 'm2' THEN 'purchase' WHEN 'm3' THEN 'signup' ELSE mate_ref END"
