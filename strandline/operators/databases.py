@@ -48,9 +48,9 @@ def known_insertions(variants: DataFrame, buffer: int) -> DataFrame:
 
 
 def annotated_with(calls: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """key and the labels of known insertions at a call's place."""
-    k = known.select(F.col("ref").alias("k_ref"), F.col("beg").alias("k_beg"), F.col("end_pos").alias("k_end"), "label")
-    return J.interval_join(calls, k, ("ref", "beg", "end_pos"), ("k_ref", "k_beg", "k_end")).groupBy(key).agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    """key and the labels of known insertions at a call's place, without pairs."""
+    at = ("ref", "beg", "end_pos")
+    return J.labels_met(calls, known, [key], at, at, "label")
 
 
 def majority(rows: DataFrame, by: list[str], value: str) -> DataFrame:

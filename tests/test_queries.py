@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.plans import annotation, calls, catalogue, events, filters, formats, inserts  # noqa: F401
 
@@ -128,3 +129,28 @@ def test_tables_are_removed(spark):
     assert os.path.exists(at.removeprefix("file://"))
     storage._made[:] = [x for x in storage._made if x[1] == at]
     assert storage.remove_tables() == 1 and not os.path.exists(at.removeprefix("file://"))
+
+
+def test_labels_without_pairs(spark):
+    import random
+
+    from strandline.operators import interval_join as J
+
+    random.seed(11)
+    some = lambda n, most: [(random.choice(["x", "y", None]), b := random.randrange(-50, 3000), b + random.choice([0, random.randrange(-2, 30), random.randrange(most)])) for _ in range(n)]
+    calls = [(*x, i // 2) for i, x in enumerate([*some(300, 60), ("x", 0, 90_000)])]
+    known = [(*x, random.choice(["p", "q", "r", None])) for x in [*some(200, 400), ("y", 5, 80_000)]]
+    a, b = spark.createDataFrame(calls, "ref string, beg long, e long, i long"), spark.createDataFrame(known, "k_ref string, k_beg long, k_end long, label string")
+    want = {}
+    for r, s, e, i in calls:
+        met = [n for q, x, y, n in known if q == r and r and s <= e and x <= y and s <= y and x <= e]
+        if met:
+            want[i] = sorted({*want.get(i, []), *met} - {None})
+    sides = ("ref", "beg", "e"), ("k_ref", "k_beg", "k_end")
+    for share in (100_000, 20):
+        got = J.labels_met(a, b, ["i"], *sides, "label", share).collect()
+        assert len(got) == len(want) and {r.i: r.labels for r in got} == want
+    # a pile of n calls and n known intervals made n squared pairs
+    pile = spark.range(1 << 17).select(F.lit("x").alias("ref"), (F.col("id") % 9).alias("beg"), (F.col("id") % 9 + 5).alias("e"), F.col("id").alias("i"))
+    many = pile.select(F.col("ref").alias("k_ref"), F.col("beg").alias("k_beg"), F.col("e").alias("k_end"), (F.col("i") % 3).cast("string").alias("label"))
+    assert J.labels_met(pile, many, ["i"], *sides, "label").where("labels = array('0', '1', '2')").count() == 1 << 17
