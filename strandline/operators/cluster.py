@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import intervals as I
-from . import interval_join as J
+from ..storage import cut
 from .components import components
 
 #: Positions of a tile of a scan.
@@ -81,30 +80,155 @@ def gaps_between(ivals: DataFrame, by: list[str], length: Column) -> DataFrame:
     return before.unionByName(after).where("gap_beg < gap_end")
 
 
+def _linked(root, a, b):
+    """The least place that each place is linked to, where a and b are linked as well; ``root`` points to lesser places or to itself."""
+    import numpy as np
+
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _reciprocal_roots(lo, hi, percent: float, step: int = 1 << 22):
+    """A number for each of distinct intervals, the same for those that reciprocal overlaps connect.
+
+    Intervals that begin near each other and are about as long are a cell, and all of a cell overlap each
+    other enough. So cells are linked, not intervals: by one interval of each, and only
+    where that doesn't link them by pairs of theirs. Cells that are linked already make no pairs.
+    """
+    import numpy as np
+
+    share = percent / 100
+    size = hi - lo + 1
+
+    def linked(x, y):
+        n = np.minimum(hi[x], hi[y]) - np.maximum(lo[x], lo[y]) + 1
+        return (n > 0) & (n / size[x] * 100 >= percent) & (n / size[y] * 100 >= percent)
+
+    near = min(max((1 - share) / (1 + share), 0) * 0.98, 0.3)
+    loose = 0.999 * min(share, 0.95)
+    grow = max(near, 0.02)
+    k = np.floor(np.log(size) / np.log1p(grow)).astype(np.int64)
+    wide = lambda k: np.maximum((1 + grow) ** k * grow, 1)
+    j = np.floor(lo / wide(k)).astype(np.int64)
+    order = np.lexsort((hi, lo, j, k))
+    new = np.concatenate(([True], (k[order][1:] != k[order][:-1]) | (j[order][1:] != j[order][:-1])))
+    if near < grow:  # at so high a percentage each interval is a cell
+        new[:] = True
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(order))
+    ck, cj = k[order[head]], j[order[head]]
+    box = lambda f, x: f.reduceat(x[order], head)
+    lo0, lo1, hi1, least = box(np.minimum, lo), box(np.maximum, lo), box(np.maximum, hi), box(np.minimum, size)
+    span = int(cj.max() - cj.min()) + 3
+    code = (ck - ck.min()) * span + (cj - cj.min()) + 1
+    root = np.arange(len(head))
+
+    def spread(first, n):
+        """Each place as often as n says, and the numbers from first on."""
+        at = np.repeat(np.arange(len(n)), n)
+        return at, np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + first[at]
+
+    def parts(n):
+        upto, begin = np.cumsum(n), 0
+        while begin < len(n):
+            end = max(int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + step, side="right")), begin + 1)
+            yield slice(begin, end)
+            begin = end
+
+    left = []
+    for dk in range(int(np.ceil(np.log(1 / loose) / np.log1p(grow))) + 2):
+        to = ck + dk
+        reach = (1 - loose) * (1 + grow) ** (to + 1) + 1
+        low, high = (np.clip(np.floor(x / wide(to)), cj.min() - 1, cj.max() + 1).astype(np.int64) - cj.min() + 1 for x in (lo0 - reach, lo1 + reach))
+        first = np.searchsorted(code, (to - ck.min()) * span + low, side="left")
+        n = np.searchsorted(code, (to - ck.min()) * span + high, side="right") - first
+        for some in parts(n):
+            a, b = spread(first[some], n[some])
+            a += some.start
+            ok = a < b
+            a, b = a[ok], b[ok]
+            most = np.minimum(hi1[a], hi1[b]) - np.maximum(lo0[a], lo0[b]) + 1
+            ok = most >= loose * np.maximum(least[a], least[b])
+            a, b = a[ok], b[ok]
+            ok = linked(order[head[a]], order[head[b]])
+            root = _linked(root, a[ok], b[ok])
+            apart = root[a] != root[b]
+            left.append(np.stack((a[apart], b[apart])))
+    a, b = np.concatenate(left, axis=1)
+    apart = root[a] != root[b]
+    a, b = a[apart], b[apart]
+    count = tail - head
+    for some in parts(count[a] * count[b]):
+        x, y = a[some], b[some]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+        at, member = spread(np.zeros(len(x), np.int64), count[x] * count[y])
+        ok = linked(order[head[x[at]] + member // count[y[at]]], order[head[y[at]] + member % count[y[at]]])
+        root = _linked(root, x[at[ok]], y[at[ok]])
+    found = np.empty(len(order), np.int64)
+    found[order] = np.repeat(root, count)
+    return found
+
+
 def reciprocal_clusters(events: DataFrame, key: str, ref: str, beg: str, end: str, least_percent: float, buffer: int = 0) -> DataFrame:
     """(key, cluster): events that overlap each other by a share of both lengths, and what they connect, are one cluster.
 
-    The cluster is named by its least key. Equal intervals are taken once, so a pile of
-    events at one place makes no pairs; an event that meets no other is its own cluster.
+    The cluster is named by its least key; an event that meets no other, or is no interval, is its own cluster.
     The result doesn't depend on the events' order.
+
+    Events are dealt to tiles by length and begin, those near an edge to the tiles beyond it as well. A task
+    connects a tile without writing pairs; then the tiles' clusters are connected by the events that they share.
     """
-    ivals = events.groupBy(F.col(ref).alias("ref"), F.col(beg).alias("beg"), F.col(end).alias("end")).agg(F.min(key).alias("node"))
-    wide = ivals.withColumns({"lo": F.col("beg") - buffer, "hi": F.col("end") + buffer}).where("lo <= hi")
-    # a reciprocal pair's lengths differ by that share at most, and so do its begins: steps of the length, and bins of the begin
-    share = least_percent / 100
-    ratio = 1 / (0.999 * min(share, 0.95))
-    step = lambda n: F.floor(F.log(n) / F.log(F.lit(ratio)))
-    bin_ = lambda lo, k: F.floor(lo / (F.pow(F.lit(ratio), k + 2) * (1 - share) + 2))
-    twin = wide.withColumn("k", step(F.col("hi") - F.col("lo") + 1)).select(*[F.col(c).alias(f"{c}_b") for c in ("ref", "beg", "end", "node")], F.col("k").alias("k_b"), bin_(F.col("lo"), F.col("k")).alias("bin_b"))
-    near = wide.withColumn("k", F.explode(F.transform(F.array(*[F.lit(x) for x in (-1, 0, 1)]), lambda x: step(F.col("hi") - F.col("lo") + 1) + x)))
-    near = near.withColumn("bin", F.explode(F.transform(F.array(*[F.lit(x) for x in (-1, 0, 1)]), lambda x: bin_(F.col("lo"), F.col("k")) + x)))
-    pairs = near.join(twin.hint("merge"), (F.col("ref") == F.col("ref_b")) & (F.col("k") == F.col("k_b")) & (F.col("bin") == F.col("bin_b")) & (F.col("node") <= F.col("node_b")))
-    wide = [F.col("beg") - buffer, F.col("end") + buffer, F.col("beg_b") - buffer, F.col("end_b") + buffer]
-    edges = pairs.where(((F.col("node") == F.col("node_b")) | I.reciprocal(*wide, least_percent)))
-    roots = components(edges.select(F.col("node").alias("a"), F.col("node_b").alias("b")))
-    named = ivals.join(roots, "node").select(*[F.col(c).alias(f"{c}__") for c in ("ref", "beg", "end")], F.col("root").alias("cluster"))
-    at = (F.col(ref) == F.col("ref__")) & (F.col(beg) == F.col("beg__")) & (F.col(end) == F.col("end__"))
-    return events.select(key, ref, beg, end).join(named, at).select(key, "cluster")
+    loose, factor = 0.999 * min(least_percent / 100, 0.95), 4
+    rows = events.select(F.col(key).alias("key"), F.col(ref).alias("ref"), (F.col(beg) - buffer).cast("long").alias("lo"), (F.col(end) + buffer).cast("long").alias("hi"))
+    rows = rows.withColumn("good", F.coalesce(F.col("ref").isNotNull() & (F.col("lo") <= F.col("hi")), F.lit(False)))
+    size = F.col("hi") - F.col("lo") + 1
+    step = lambda n: F.floor(F.log(n) / F.log(F.lit(float(factor))) + 1e-9).cast("int")
+    # a pair meets in the tile of its longer length and greater begin
+    wide = lambda k: F.greatest(F.pow(F.lit(float(factor)), k + 3), F.lit(float(1 << 14)))
+    reach = lambda k: (1 - loose) * F.pow(F.lit(float(factor)), k + 1) * 1.001 + 1
+    dealt = rows.where("good").withColumn("k", F.explode(F.sequence(step(size), step(size / loose + 1))))
+    dealt = dealt.withColumn("tile", F.explode(F.sequence(F.floor(F.col("lo") / wide(F.col("k"))), F.floor((F.col("lo") + reach(F.col("k"))) / wide(F.col("k"))))))
+    own = (F.col("k") == step(size)) & (F.col("tile") == F.floor(F.col("lo") / wide(F.col("k"))))
+    again = (step(size / loose + 1) > step(size)) | (F.floor((F.col("lo") + reach(step(size))) / wide(step(size))) > F.floor(F.col("lo") / wide(step(size))))
+    dealt = dealt.select("key", "ref", "k", "tile", "lo", "hi", own.alias("own"), again.alias("again"))
+
+    def connect(table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        keys = table.column("key").combine_chunks()
+        by_key = pc.array_sort_indices(keys).to_numpy()
+        rank = np.empty(len(keys), np.int64)
+        rank[by_key] = np.arange(len(keys))
+        lo, hi, own, again = (table.column(c).to_numpy() for c in ("lo", "hi", "own", "again"))
+        order = np.lexsort((rank, hi, lo))
+        new = np.concatenate(([True], (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])))
+        heads = order[new]  # the least key of each interval
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        root = _reciprocal_roots(lo[heads], hi[heads], least_percent)
+        least = np.full(len(heads), len(order))
+        np.minimum.at(least, root, rank[heads])
+        name = by_key[least[root]]
+        mine, shared = np.flatnonzero(own), np.flatnonzero(again[heads])
+        at, to = np.concatenate((mine, heads[shared])), np.concatenate((name[place[mine]], name[shared]))
+        kind = np.repeat([True, False], [len(mine), len(shared)])
+        return pa.table({"key": keys.take(pa.array(at)), "root": keys.take(pa.array(to)), "event": kind})
+
+    type_ = events.schema[key].dataType.simpleString()
+    found = cut(dealt.groupBy("ref", "k", "tile").applyInArrow(connect, f"key {type_}, root {type_}, event boolean"))
+    roots = components(found.where("NOT event").select(F.col("key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    named = found.where("event").select("key", "root").join(roots, "root", "left").select("key", F.coalesce("whole", "root").alias("cluster"))
+    return named.unionByName(rows.where("NOT good").select("key", F.col("key").alias("cluster"))).withColumnRenamed("key", key)
 
 
 def two_groups(events: DataFrame, by: list[str], value: str, ties: list[str], least_silhouette: float = 0.60) -> DataFrame:

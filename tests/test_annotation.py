@@ -45,6 +45,42 @@ def test_reciprocal_clusters(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 7}
 
 
+@pytest.mark.parametrize("percent", [15, 60, 80, 97])
+def test_reciprocal_roots(percent):
+    import numpy as np
+
+    rng = np.random.default_rng(percent)
+    for n, most in ((1, 5), (150, 300), (250, 4000), (200, 40)):
+        lo = rng.integers(-most, most * 3, n)
+        lo, hi = np.unique(np.stack((lo, lo + rng.integers(0, most, n))), axis=1)
+        size, want = hi - lo + 1, np.arange(len(lo))
+        shared = np.minimum.outer(hi, hi) - np.maximum.outer(lo, lo) + 1
+        edges = np.argwhere((shared > 0) & (shared / size[:, None] * 100 >= percent) & (shared / size[None] * 100 >= percent))
+        for _ in range(len(lo)):
+            before = want.copy()
+            np.minimum.at(want, edges[:, 0], want[edges[:, 1]])
+            if (before == want).all():
+                break
+        for step in (1 << 22, 7):
+            got = L._reciprocal_roots(lo, hi, percent, step)
+            assert len(np.unique(got)) == len(np.unique(want)) == len(np.unique(np.stack((got, want)), axis=1).T)
+
+
+def test_reciprocal_clusters_over_tiles(spark):
+    # chains across the edges of tiles and of classes of length; keys fall from left to right in one
+    rows = [(i, "a", i * 10, i * 10 + 99) for i in range(4000)] + [(9000 - i, "b", 0, int(50 * 1.1**i)) for i in range(60)] + [(9500, "c", 5, 2), (9501, None, 0, 9), (9502, "c", 5, 2)]
+    e = spark.createDataFrame(rows, "k long, ref string, beg long, end long")
+    got = {r.k: r.cluster for r in L.reciprocal_clusters(e, "k", "ref", "beg", "end", 85).collect()}
+    assert got == {k: 0 if r == "a" else 8941 if r == "b" else k for k, r, *_ in rows}
+
+
+def test_reciprocal_clusters_without_pairs(spark):
+    # 90,000 distinct intervals that nearly all overlap each other by 80 percent: four thousand million pairs
+    e = spark.range(90_000).selectExpr("id AS k", "'a' AS ref", "id % 300 AS beg", "10000 + id DIV 300 AS end")
+    got = L.reciprocal_clusters(e, "k", "ref", "beg", "end", 80)
+    assert (got.count(), got.where("cluster = 0").count()) == (90_000, 90_000)
+
+
 def test_two_groups(spark):
     rows = [("x", i, v) for i, v in enumerate([10, 11, 12, 90, 91, 95])] + [("y", i, v) for i, v in enumerate([5, 5, 5])] + [("z", 0, 7)]
     out = L.two_groups(spark.createDataFrame(rows, "c string, i int, v int"), ["c"], "v", ["i"])
