@@ -23,3 +23,13 @@ def test_pair_counts(most, percent, gap):
         assert (C._reciprocal_pairs(lo, hi, np.ones(n, bool), percent) - n) / 2 == near
         limit = C._limit(size, percent, False)
         assert [*C._small_pairs(lo, lo - 1 + limit, ids, hi + 1 - limit, hi, ids, gap)] == small
+
+
+def test_all_pairs_of_many(spark):
+    # 400,000 intervals make eighty thousand million pairs
+    rows = spark.range(400_000).selectExpr("id", "'a' AS ref", "id DIV 2 * 10 + id % 2 * 4 AS beg", "id DIV 2 * 10 + id % 2 * 4 + 4 AS e")
+    got = C.complementary_pairs(rows, "id", "ref", "beg", "e", 1, 25, tile=1 << 12).collect()
+    # [0, 4] and [4, 8] share a fifth; [4, 8] and [10, 14] lie two apart
+    assert [tuple(r) for r in got] == [(1, "RIGHT", 200_000)]
+    pile = spark.range(400_000).selectExpr("'a' AS ref", "id % 7 AS beg", "id % 7 + 100 AS e")
+    assert C.reciprocal_pairs(pile, "ref", "beg", "e", 60).first().n == C.overlapping_pairs(pile, "ref", "beg", "e").first().n == 400_000 * 399_999 // 2
