@@ -105,49 +105,97 @@ def overlapping_pairs(ivals: DataFrame, ref: str, beg: str, end: str, tile: int
     return rows.withColumns({"pos": F.col("pos").cast("decimal(18,0)"), "nb": F.col("nb").cast("decimal(18,0)"), "open": F.col("open").cast("decimal(18,0)")}).groupBy("ref").agg(met.cast("long").alias("n"), shared.cast("long").alias("shared"))
 
 
-def _small_pairs(p, upto, seen, a, q, ask, gap: int):
-    """Of the pairs of an x (begin p, upto, id) and a y (a, end q, id): those apart by ``gap`` at most and those with a <= p <= q <= upto, each with x's id less and greater."""
+def _running(flags):
+    """How many flags are set before each place, and in all."""
     import numpy as np
 
-    ids = np.unique(np.concatenate((seen, ask)))
-    seen, ask = np.searchsorted(ids, seen), np.searchsorted(ids, ask)
-    order = np.argsort(p, kind="stable")
-    begins, names = p[order], seen[order]
-    first, last = (np.searchsorted(begins, x, side="right") for x in (q, q + gap))
-    less, upper = int(_below(names, first, last, ask).sum()), int(_below(names, first, last, ask + 1).sum())
-    apart = less, int((last - first).sum()) - upper
-    # y's end in [p, upto], less those of them whose a lies behind p; the latter by bits of the ids' ranks
-    order = np.argsort(q, kind="stable")
-    ends, names, a = q[order], ask[order], a[order]
-    first, last = np.searchsorted(ends, p), np.searchsorted(ends, upto, side="right")
-    last = np.maximum(first, last)
-    less, upper = int(_below(names, first, last, seen).sum()), int(_below(names, first, last, seen + 1).sum())
-    near = [int((last - first).sum()) - upper, less]  # x's id less: y's greater
-    steps = np.unique(a)
-    rank, low = np.searchsorted(steps, a), np.searchsorted(steps, p, side="right")
-    every = int((last - first).sum()) - int(_below(rank, first, last, low).sum())
-    equal = greater = 0
-    for bit in range(len(ids).bit_length() + 1):
-        # y's with the same bits above, and this bit set, where x's isn't: their ids are greater
-        group, mine = names >> bit, seen >> bit
-        of_x = np.flatnonzero(mine & 1 == 0)
-        by = np.argsort(group, kind="stable")  # each group is sorted by q still
-        base = np.arange(len(by))
-        wanted = mine[of_x] | 1
-        head, tail = np.searchsorted(group[by], wanted), np.searchsorted(group[by], wanted, side="right")
-        # places of first and last among the group's members
-        key = group[by] * (len(by) + 1) + by
-        lo = np.searchsorted(key, wanted * (len(by) + 1) + first[of_x])
-        hi = np.searchsorted(key, wanted * (len(by) + 1) + last[of_x])
-        lo, hi = np.clip(lo, head, tail), np.clip(hi, head, tail)
-        ok = hi > lo
-        greater += int((hi - lo)[ok].sum()) - int(_below(rank[by], lo[ok], hi[ok], low[of_x][ok]).sum())
-        if bit == 0:
-            by = np.argsort(names, kind="stable")
-            key = names[by] * (len(base) + 1) + by
-            lo, hi = (np.searchsorted(key, seen * (len(base) + 1) + x) for x in (first, last))
-            equal = int((hi - lo).sum()) - int(_below(rank[by], lo, hi, low).sum())
-    return (*apart, near[0] - greater, near[1] - (every - greater - equal))
+    counts = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, dtype=np.int32, out=counts[1:])
+    return counts
+
+
+def _split(up, starts, *arrays):
+    """The rows without a bit before those with it, in their order; blocks stay together, each in two at most. starts: where the blocks begin."""
+    import numpy as np
+
+    zeros, order = _running(~up), np.concatenate((np.flatnonzero(~up), np.flatnonzero(up)))
+    of = zeros[starts]
+    starts = np.concatenate((of, zeros[-1] + starts - of))
+    return starts[np.append(starts[1:] != starts[:-1], starts[-1] < len(up))], *(x.take(order) for x in arrays)
+
+
+def _ordered_pairs(values, given, starts):
+    """How many pairs of a given row and another of its block have the lesser value in the other one, by whether the given one comes first or last."""
+    import numpy as np
+
+    rows = values * 2 + given
+    most = int(rows.max(initial=0))
+    rows = rows.astype(np.int32) if most < 1 << 31 else rows
+    found = np.zeros(2, np.int64)
+    for bit in reversed(range(1, most.bit_length())):
+        up, given = (rows & 1 << bit) != 0, (rows & 1) != 0
+        above = up & given
+        low, high, places = _running(~(up | given)), _running(above), np.append(starts, len(rows))
+        begun, highs = low[places].astype(np.int64), np.diff(high[places]).astype(np.int64)
+        last = int(low.take(np.flatnonzero(above)).sum(dtype=np.int64)) - int((begun[:-1] * highs).sum())
+        found += (int((np.diff(begun) * highs).sum()) - last, last)
+        starts, rows = _split(up, starts, rows)
+    return found
+
+
+def _contained_pairs(at, to, given):
+    """How many pairs of a given row (at, to) and another one have the other's ``at`` behind it and its ``to`` not behind it, by which one comes first.
+
+    A pair is counted at the first bit in which the two ``at`` differ, with those that reach across it alone.
+    """
+    import numpy as np
+
+    found, starts, at, to = np.zeros(2, np.int64), np.zeros(1, np.int64), at - at.min(), to - to.min()
+    if max(at.max(), to.max()) < 1 << 29:
+        at, to = at.astype(np.int32), to.astype(np.int32)
+    least, most = -1, int(to.max()) + 1
+    for bit in reversed(range(int(at.max()).bit_length())):
+        up = (at & 1 << bit) != 0
+        x, y = given & ~up, ~given & up
+        last, first = np.maximum.reduceat(np.where(x, to, least), starts), np.minimum.reduceat(np.where(y, to, most), starts)
+        sizes = np.diff(starts, append=len(at))
+        reach = (x & (to >= np.repeat(first, sizes))) | (y & (to <= np.repeat(last, sizes)))
+        n = np.diff(_running(reach)[np.append(starts, len(at))])
+        first, n = first[n > 0], n[n > 0]
+        if len(n):
+            reach = np.flatnonzero(reach)
+            found += _ordered_pairs(to[reach] + given[reach] - np.repeat(first, n), given[reach], np.cumsum(n) - n)
+        starts, at, to, given = _split(up, starts, at, to, given)
+    return found
+
+
+def _small_pairs(p, upto, seen, a, q, ask, gap: int, least: int = 0):
+    """Of the pairs of an x (begin p, upto, id) and a y (a, end q, id): those apart by ``gap`` at most and those with a <= p <= q <= upto, each with x's id less and greater.
+
+    The latter are those with p <= q <= upto but for those with p < a; with ``least``, q is that far behind p at least, and all upto and a are.
+    """
+    import numpy as np
+
+    if not len(p) or not len(q):
+        return 0, 0, 0, 0
+
+    def counts(x_first: bool):
+        both = (lambda x, y: np.concatenate((x, y))) if x_first else (lambda x, y: np.concatenate((y, x)))
+        ids = both(seen, ask)
+        order = np.argsort(ids, kind="stable")
+        ids, given, one = ids[order], both(np.ones(len(p), bool), np.zeros(len(q), bool))[order], np.zeros(1, np.int64)
+        low, size = q.min(), q.max() - q.min() + 1
+        before = lambda bound: _ordered_pairs(both(np.clip(bound - low, 0, size), q - low)[order], given, one)
+        to = both(upto, q)[order]
+        begun = before(p + least)
+        found = [begun - before(p - gap) if gap else np.zeros(2, np.int64), before(upto + 1) - begun - _contained_pairs(both(p, a)[order], to, given)]
+        # of two that share an id, an interval and itself are never a pair
+        twice = (ids[2:] == ids[:-2]).any() or ((ids[1:] == ids[:-1]) & (given[1:] != given[:-1]) & np.where(given[1:], to[:-1] <= to[1:], to[1:] <= to[:-1])).any()
+        return found, twice
+
+    found, twice = counts(False)
+    other = counts(True)[0] if twice else found
+    return tuple(int(n) for x, y in zip(found, other) for n in (x[0], y[1]))
 
 
 def complementary_pairs(ivals: DataFrame, key: str, ref: str, beg: str, end: str, gap: int, percent: float, tile: int = 1 << 15) -> DataFrame:
@@ -155,21 +203,28 @@ def complementary_pairs(ivals: DataFrame, key: str, ref: str, beg: str, end: str
     whether they share any and by the side of the lesser key's interval on which the other one lies.
 
     Such a pair's intervals begin and end in the same order: the earlier one, y, is counted in the tile of its end, the later one, x, is dealt to all tiles of ends that it can follow.
+    Pairs that share more than ``tile`` positions are counted in wider tiles, by the length that they share, so an interval is in few of them however long it is.
     """
     rows = ivals.select(F.col(ref).alias("ref"), F.col(key).alias("id"), F.col(beg).cast("long").alias("lo"), F.col(end).cast("long").alias("hi")).where("lo <= hi AND ref IS NOT NULL AND id IS NOT NULL")
     over: Column = F.floor((F.col("hi") - F.col("lo") + 1) * (percent / 100)) + 2
-    x = rows.select("*", F.lit(False).alias("asks"), F.explode(F.sequence(F.floor((F.col("lo") - gap) / tile), F.floor((F.col("lo") + over) / tile))).alias("tile"))
-    dealt = x.unionByName(rows.select("*", F.lit(True).alias("asks"), F.floor(F.col("hi") / tile).alias("tile")))
+    wide: Column = F.pow(F.lit(4.0), F.col("k")) * tile
+    least = F.when(F.col("k") == 0, -gap).otherwise(wide / 4)
+    follows = F.sequence(F.floor((F.col("lo") + least) / wide), F.floor((F.col("lo") + F.least(over, wide)) / wide))
+    dealt = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log(4.0, over / tile)).cast("int")))))
+    dealt = dealt.withColumn("tile", F.explode(F.array_union(follows, F.array(F.floor(F.col("hi") / wide)))))
 
     def count(table):
         import numpy as np
         import pyarrow as pa
 
-        lo, hi, id_, asks = (table.column(c).to_numpy() for c in ("lo", "hi", "id", "asks"))
-        most = _limit(hi - lo + 1, percent, False)
-        given = ~asks
+        k, at = table.column("k")[0].as_py(), table.column("tile")[0].as_py()
+        wide, least = tile * 4**k, tile * 4**k // 4 if k else 0
+        lo, hi, id_ = (table.column(c).to_numpy() for c in ("lo", "hi", "id"))
+        most = np.minimum(_limit(hi - lo + 1, percent, False), wide)
+        given = most > least if k else np.ones(len(lo), bool)
+        asks = given & (hi // wide == at)
         p, q = lo[given], hi[asks]
-        found = _small_pairs(p, p - 1 + most[given], id_[given], q + 1 - most[asks], q, id_[asks], gap) if len(p) and len(q) else (0, 0, 0, 0)
+        found = _small_pairs(p, p - 1 + most[given], id_[given], q + 1 - most[asks], q, id_[asks], 0 if k else gap, least)
         return pa.table({"meets": np.array([0, 0, 1, 1], np.int32), "side": ["LEFT", "RIGHT"] * 2, "n": np.array(found, np.int64)})
 
-    return dealt.groupBy("ref", "tile").applyInArrow(count, "meets int, side string, n long").groupBy("meets", "side").agg(F.sum("n").alias("n")).where("n > 0")
+    return dealt.groupBy("ref", "k", "tile").applyInArrow(count, "meets int, side string, n long").groupBy("meets", "side").agg(F.sum("n").alias("n")).where("n > 0")

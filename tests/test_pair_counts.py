@@ -33,3 +33,14 @@ def test_all_pairs_of_many(spark):
     assert [tuple(r) for r in got] == [(1, "RIGHT", 200_000)]
     pile = spark.range(400_000).selectExpr("'a' AS ref", "id % 7 AS beg", "id % 7 + 100 AS e")
     assert C.reciprocal_pairs(pile, "ref", "beg", "e", 60).first().n == C.overlapping_pairs(pile, "ref", "beg", "e").first().n == 400_000 * 399_999 // 2
+
+
+def test_long_intervals_are_in_few_tiles(spark):
+    # by narrow tiles alone, each would be in a hundred million of them
+    size, rows = 10**12, []
+    for k in range(60):
+        first, shared = k * 3 * size, (50, 3 * size // 10, size // 2)[k % 3]
+        rows += [(2 * k + k % 2, "a", first, first + size - 1), (2 * k + 1 - k % 2, "a", first + size - shared, first + 2 * size - shared - 1)]
+    got = C.complementary_pairs(spark.createDataFrame(rows, "id long, ref string, beg long, e long"), "id", "ref", "beg", "e", 5, 40, tile=1 << 12).collect()
+    # two of three share 40 % at most, and each second one's ids are turned
+    assert {tuple(r) for r in got} == {(1, "RIGHT", 20), (1, "LEFT", 20)}
